@@ -43,3 +43,12 @@ def write_scores(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan out by key when it has fewer splits than the session has cores.
+
+    Such a scan is small by that very fact, so the extra shuffle is too; a large scan is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from .tables import table
+from .tables import spread, table
 
 HORIZON = 20.0
 
@@ -52,12 +52,12 @@ def survival(spark: SparkSession, folder: str, dims: bool = False) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
 
 
 def text_survival(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as homes: length as time, the quality label as event."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", "text", "lang", "source",
