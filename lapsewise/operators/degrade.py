@@ -150,7 +150,7 @@ def typos(
         return pd.Series(out, dtype=object)
 
     rate = p if isinstance(p, Column) else F.lit(float(p))
-    return run(text, F.xxhash64(key), rate)
+    return run.asNondeterministic()(text, F.xxhash64(key), rate)
 
 
 def degrade(

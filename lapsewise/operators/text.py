@@ -56,7 +56,8 @@ def terms_of(text: Column, opts: TermOptions) -> Column:
 
 def term_counts(docs: DataFrame, key: str, text: str, opts: TermOptions = TermOptions()) -> DataFrame:
     """Long document-term counts ``(key, term, tf)``; one shuffle, combined on the map side."""
-    long = docs.select(key, F.explode(terms_of(F.col(text), opts)).alias("term"))
+    # The outer form keeps the optimizer from running the stemmer a second time to test for empty arrays.
+    long = docs.select(key, F.explode_outer(terms_of(F.col(text), opts)).alias("term"))
     size = F.length("term")
     long = long.filter(size >= max(opts.min_length, 1))
     if opts.max_length is not None:
@@ -166,6 +167,9 @@ def _dense(index: pd.Series, weight: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+_dense = _dense.asNondeterministic()  # computed once, however often the vector is read
+
+
 def term_vectors(docs: DataFrame, key: str, weights: DataFrame, index: DataFrame, size: int) -> DataFrame:
     """One dense vector per document in the order of ``index``; documents without terms get zeros."""
     rows = weights.join(F.broadcast(index), "term").groupBy(key).agg(
