@@ -239,30 +239,37 @@ SCORES = ("brier_med", "integrated_brier", "c_uno", "c_index", "c_se", "auc_medi
 
 
 def score(train: DataFrame, test: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(),
-          times: Sequence[float] | None = None) -> dict[str, float]:
-    """All scores of one model from the linear predictor on the training and the held-out rows."""
+          times: Sequence[float] | None = None, wanted: Sequence[str] = SCORES) -> dict[str, float]:
+    """Scores of one model from the linear predictor on the training and the held-out rows."""
     cols = [F.col(surv.time).cast("double").alias(surv.time), F.col(surv.event).cast("int").alias(surv.event), F.col(lp)]
     train, test = settle(train.select(*cols)), settle(test.select(*cols))
-    if times is None:
-        times = sorted(r["time"] for r in event_times(test, surv).collect())
     middle = median_value(train, surv.time)
+    out: dict[str, float] = {"median_time": middle}
+    need = lambda *names: any(n in wanted for n in names)
+    if need("c_index", "c_se"):
+        c = concordance(test, lp, surv).first()
+        out["c_index"], out["c_se"] = c["c_index"], c["se"]
     g = censoring_curve(train, surv)
-    hazard = settle(baseline_hazard(train, lp, surv))
-    km = settle(kaplan_meier(test, surv).select("time", "surv"))
-    c = concordance(test, lp, surv).first()
-    grid = sorted({*times, middle})
-    errors = settle(brier(test, hazard, g, grid, lp, surv))
-    wanted = settle(test.sparkSession.createDataFrame([(float(t),) for t in times], "time double"))
-    out = {
-        "c_index": c["c_index"], "c_se": c["se"], "c_uno": uno_c(test, g, lp, surv).first()[0],
-        "brier_med": errors.filter(F.col("time") == middle).first()["brier"],
-        "integrated_brier": integrated_brier(errors.join(wanted, "time")).first()[0], "median_time": middle,
-    }
+    if need("c_uno"):
+        out["c_uno"] = uno_c(test, g, lp, surv).first()[0]
+    if need("brier_med", "integrated_brier", *[f"{k}_{m}" for k in ("auc_median", "iauc") for m in ("cd", "sh", "uno")]):
+        if times is None:
+            times = sorted(r["time"] for r in event_times(test, surv).collect())
+        hazard = settle(baseline_hazard(train, lp, surv))
+        km = settle(kaplan_meier(test, surv).select("time", "surv"))
+        grid = sorted({*times, middle})
+        among = settle(test.sparkSession.createDataFrame([(float(t),) for t in times], "time double"))
+    if need("brier_med", "integrated_brier"):
+        errors = brier(test, hazard, g, grid, lp, surv)
+        out["brier_med"] = errors.filter(F.col("time") == middle).first()["brier"]
+        out["integrated_brier"] = integrated_brier(errors.join(among, "time")).first()[0]
     for name, kind in (("cd", "cumulative"), ("sh", "incident")):
-        curve = settle(model_auc(test, hazard, grid, kind, lp))
-        out[f"auc_median_{name}"] = curve.filter(F.col("time") == middle).first()["auc"]
-        out[f"iauc_{name}"] = integrated_auc(curve.join(wanted, "time"), km).first()[0]
-    uno = settle(auc_uno(test, g, lp, surv))
-    out["auc_median_uno"] = auc_at(uno, middle)
-    out["iauc_uno"] = integrated_auc(uno.join(wanted, "time"), km).first()[0]
-    return {k: out[k] for k in SCORES}
+        if need(f"auc_median_{name}", f"iauc_{name}"):
+            curve = settle(model_auc(test, hazard, grid, kind, lp))
+            out[f"auc_median_{name}"] = curve.filter(F.col("time") == middle).first()["auc"]
+            out[f"iauc_{name}"] = integrated_auc(curve.join(among, "time"), km).first()[0]
+    if need("auc_median_uno", "iauc_uno"):
+        curve = settle(auc_uno(test, g, lp, surv))
+        out["auc_median_uno"] = auc_at(curve, middle)
+        out["iauc_uno"] = integrated_auc(curve.join(among, "time"), km).first()[0]
+    return {k: out[k] for k in SCORES if k in wanted}

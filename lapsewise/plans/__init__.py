@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-from . import listing, models, scores, texts, vectors  # noqa: F401
+from . import listing, models, scores, selection, texts, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "ship"]
