@@ -140,46 +140,46 @@ def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -
         F.array_distinct(F.percentile_approx("t", probs, F.lit(100 * pieces))).alias("_tb")))
     keyed = join_groups(cells, bounds, by)
     below = lambda value, cuts: F.size(F.filter(cuts, lambda b: b < value))
-    keyed = keyed.select(*cells.columns, below(F.col("lp"), F.col("_lb")).alias("b"), below(F.col("t"), F.col("_tb")).alias("g"))
-    alone = keyed.groupBy(*by, "b").agg((F.min("lp") == F.max("lp")).alias("alone"))
-    keyed = settle(join_groups(keyed, alone, [*by, "b"]))
+    keyed = keyed.select(*cells.columns, below(F.col("lp"), F.col("_lb")).alias("_b"), below(F.col("t"), F.col("_tb")).alias("_g"))
+    alone = keyed.groupBy(*by, "_b").agg((F.min("lp") == F.max("lp")).alias("_alone"))
+    keyed = settle(join_groups(keyed, alone, [*by, "_b"]))
     head = _typed(by, cells)
     counts = ", ".join(f"{c} double" for c in COUNTS)
 
     # 1. Pairs inside one score range. A range of a single score is also cut by time.
-    own = keyed.withColumn("h", F.when(F.col("alone"), F.col("g")).otherwise(F.lit(-1)))
+    own = keyed.withColumn("_h", F.when(F.col("_alone"), F.col("_g")).otherwise(F.lit(-1)))
 
     def in_range(pdf: pd.DataFrame) -> pd.DataFrame:
         return _nodes(pdf, "lp", strict)
 
-    first = own.groupBy(*by, "b", "h").applyInPandas(
-        in_range, head + "t double, lp double, b int, g int, alone boolean, h int, kind int, mass double, case double, " + counts)
+    first = own.groupBy(*by, "_b", "_h").applyInPandas(
+        in_range, head + "t double, lp double, _b int, _g int, _alone boolean, _h int, kind int, mass double, case double, " + counts)
 
     # 2. Pairs inside one time range but different score ranges: only the range numbers matter.
-    coarse = keyed.groupBy(*by, "t", "g", "b", "alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])
+    coarse = keyed.groupBy(*by, "t", "_g", "_b", "_alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])
     coarse = settle(coarse)
 
     def in_time(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nodes(pdf, "b", strict).assign(later_same=0.0, early_same=0.0)
+        return _nodes(pdf, "_b", strict).assign(later_same=0.0, early_same=0.0)
 
-    second = coarse.groupBy(*by, "g").applyInPandas(
-        in_time, head + "t double, g int, b int, alone boolean, kind int, mass double, case double, " + counts)
+    second = coarse.groupBy(*by, "_g").applyInPandas(
+        in_time, head + "t double, _g int, _b int, _alone boolean, kind int, mass double, case double, " + counts)
 
     # 3. Pairs in different time ranges and different score ranges, on the grid of ranges.
-    grid = coarse.groupBy(*by, "g", "b", "alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])
+    grid = coarse.groupBy(*by, "_g", "_b", "_alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])
 
     def on_grid(pdf: pd.DataFrame) -> pd.DataFrame:
         mass = (pdf["d"] + pdf["c"]).to_numpy()
-        found = count_nodes(pdf["g"].to_numpy(), pdf["b"].to_numpy(), mass, pdf["w"].to_numpy())
-        single = pdf["alone"].to_numpy()
+        found = count_nodes(pdf["_g"].to_numpy(), pdf["_b"].to_numpy(), mass, pdf["w"].to_numpy())
+        single = pdf["_alone"].to_numpy()
         found["later_same"] = np.where(single, found["later_same"], 0.0)
         found["early_same"] = np.where(single, found["early_same"], 0.0)
-        return pd.concat([pdf[[*by, "g", "b"]], pd.DataFrame(found, index=pdf.index)], axis=1)
+        return pd.concat([pdf[[*by, "_g", "_b"]], pd.DataFrame(found, index=pdf.index)], axis=1)
 
-    third = grid.groupBy(*(by or [F.lit(0).alias("_one")])).applyInPandas(on_grid, head + "g int, b int, " + counts)
-    rest = join_groups(second, third.withColumnsRenamed({c: f"{c}_3" for c in COUNTS}), [*by, "g", "b"])
-    rest = rest.select(*by, "t", "b", "kind", *[(F.col(c) + F.col(f"{c}_3")).alias(f"{c}_2") for c in COUNTS])
-    both = join_groups(first, rest, [*by, "t", "b", "kind"])
+    third = grid.groupBy(*(by or [F.lit(0).alias("_one")])).applyInPandas(on_grid, head + "_g int, _b int, " + counts)
+    rest = join_groups(second, third.withColumnsRenamed({c: f"{c}_3" for c in COUNTS}), [*by, "_g", "_b"])
+    rest = rest.select(*by, "t", "_b", "kind", *[(F.col(c) + F.col(f"{c}_3")).alias(f"{c}_2") for c in COUNTS])
+    both = join_groups(first, rest, [*by, "t", "_b", "kind"])
     return both.select(*by, "t", "lp", "kind", "mass", "case", *[(F.col(c) + F.col(f"{c}_2")).alias(c) for c in COUNTS])
 
 
