@@ -48,7 +48,8 @@ class CoxRows:
         p = self.p
 
         def moments(batches):
-            out = np.zeros(2 + 2 * p)
+            out = np.zeros(3 + p)
+            out[-1] = 1.0
             for b in batches:
                 m = matrix(b.column(4), p)
                 out[0] += len(m)
@@ -61,6 +62,12 @@ class CoxRows:
             raise ValueError("no rows to fit")
         self.n, self.n_event = sums[0], sums[1]
         self.mean = sums[2:2 + p] / self.n
+        # Few tasks mean little data: deal it out once, so that every pass uses all cores.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if sums[-1] < cores and self.n > 256 * cores:
+            few, self.df = self.df, self.df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+            self.df.count()
+            few.unpersist()
         mean = self.mean
 
         def spread(batches):
@@ -368,11 +375,12 @@ def baseline_hazard(df: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec())
                                           F.lit(0.0).alias("_out"), r.alias("_in")))
     per_time = settle(ends.groupBy("time").agg(F.sum("_d").alias("_d"), F.sum("_out").alias("_out"), F.sum("_in").alias("_in")))
     # Sums run from the last time down, so small risk sets are not differences of large numbers.
-    flipped = settle(per_time.withColumn("_back", -F.col("time")))
-    run = running(flipped, "_back", sums={"_out": "_left", "_in": "_enter"}, settled=True)
+    rows = per_time.count()
+    flipped = per_time.withColumn("_back", -F.col("time"))
+    run = running(flipped, "_back", sums={"_out": "_left", "_in": "_enter"}, settled=True, at_most=rows)
     at_risk = F.col("_left") - F.col("_enter")
     steps = run.filter("_d > 0").select("time", (F.col("_d") / at_risk).alias("hazard"))
-    return running(steps, "time", sums={"hazard": "cumulative"})
+    return running(steps, "time", sums={"hazard": "cumulative"}, at_most=rows)
 
 
 def with_hazard(df: DataFrame, hazard: DataFrame, surv: SurvSpec = SurvSpec(), name: str = "cumhaz") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import settle, shuffle_width
 
 # Up to this many rows a single window task is proven cheap; beyond it the order is cut in ranges.
-ONE_TASK_ROWS = 200_000
+ONE_TASK_ROWS = 1_000_000
 
 
 def range_bounds(df: DataFrame, order: str, pieces: int) -> list[float]:
@@ -33,16 +33,19 @@ def running(
     mins: Mapping[str, str] = (),
     by: Sequence[str] = (),
     settled: bool = False,
+    at_most: int | None = None,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add running sums and minima (``{input: output}``) in ascending ``order`` inside each ``by`` group.
 
     ``df`` holds one row per (``by``, ``order``), so it is already aggregated. A short table takes
     one window task. A long one is cut into ranges: totals inside the ranges, then offsets per range.
+    ``at_most`` is a row count the caller has already established.
     """
     sums, mins, by = dict(sums), dict(mins), list(by)
-    base = df if settled else settle(df)
-    rows = base.count()
+    known = at_most is not None and at_most <= one_task_rows
+    base = df if settled or known else settle(df)
+    rows = at_most if known else base.count()
     if rows <= one_task_rows:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         out = base

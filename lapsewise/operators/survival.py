@@ -47,7 +47,8 @@ def kaplan_meier(
             F.sum("_d").alias("_d"), F.sum("_c").alias("_c"), F.sum("_out").alias("_out"), F.sum("_in").alias("_in")
         )
     )
-    run = running(per_time, "time", sums={"_out": "_gone", "_in": "_entered"}, by=by, settled=True)
+    rows = per_time.count()
+    run = running(per_time, "time", sums={"_out": "_gone", "_in": "_entered"}, by=by, settled=True, at_most=rows)
     if surv.start is None:
         size = per_time.groupBy(*by).agg(F.sum("_out").alias("_all"))
         run = _with_groups(run, size, by)
@@ -60,7 +61,7 @@ def kaplan_meier(
         F.when(hits < at_risk, F.log(1 - hits / at_risk)).otherwise(F.lit(0.0)).alias("_log"),
         F.when(hits < at_risk, 0).otherwise(1).alias("_zero"),
     )
-    curve = running(steps, "time", sums={"_log": "_cum", "_zero": "_dead"}, by=by)
+    curve = running(steps, "time", sums={"_log": "_cum", "_zero": "_dead"}, by=by, at_most=rows)
     return curve.select(
         *by, "time", "n_risk", "n_event", "n_censor",
         F.when(F.col("_dead") > 0, F.lit(0.0)).otherwise(F.exp("_cum")).alias("surv"),

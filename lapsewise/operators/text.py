@@ -106,7 +106,7 @@ def pruned_vocabulary(vocab: DataFrame, opts: TermOptions) -> DataFrame:
 
 def tfidf(docs: DataFrame, key: str, text: str, opts: TermOptions = TermOptions()) -> tuple[DataFrame, DataFrame]:
     """Long weights and the pruned vocabulary. Sparse-term removal changes weights; pruning does not."""
-    counts = term_counts(docs, key, text, opts)
+    counts = settle(term_counts(docs, key, text, opts))  # read for the vocabulary and for the weights
     full = vocabulary(counts, docs, opts.sparse)
     weights = weighted(counts, full, key, opts)
     if opts.low_idf_quantile is None and opts.low_df == 1:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cox, linalg
 from ..operators.survival import SurvSpec
+from ..session import settle
 from ..sources import views
 from ..sources.views import SURVIVAL_SQL
 from .newton_sql import newton
@@ -68,7 +69,7 @@ def cox_univariate(spark, sf):
 
 @query("cox_fit_wide")
 def cox_fit_wide(spark, sf):
-    df = views.survival(spark, sf, dims=True)
+    df = settle(views.survival(spark, sf, dims=True).drop("obs", "listed_date", "sold_date"))
     df, cols = linalg.design(df, ["listed_price", "lot_area", "bed", "bath", "living_area"],
                              linalg.levels_of(df, ["heating", "parking", "outdoor"]))
     return cox.fit(df, cols).coefficients(spark)
@@ -95,6 +96,7 @@ _HAZ = _LP + """, hz AS (SELECT t, sum(e) AS d, sum(exp(lp)) AS r FROM p GROUP B
 @query("cox_lp", _FIT + _LP + " SELECT obs, round(lp, 5) AS lp FROM p")
 def cox_lp(spark, sf):
     df, cols = two_covariates(spark, sf)
+    df = settle(df.select("obs", "sale_time", "event", "x"))
     return cox.fit(df, cols).linear_predictor(df).select("obs", _r("lp", 5))
 
 
@@ -102,6 +104,7 @@ def cox_lp(spark, sf):
 SELECT round(t, 6) AS time, round(1000 * h, 4) AS hazard_1000, round(ch, 5) AS cumulative FROM cum WHERE d > 0""")
 def baseline_hazard(spark, sf):
     df, cols = two_covariates(spark, sf)
+    df = settle(df.select("obs", "sale_time", "event", "x"))
     scored = cox.fit(df, cols).linear_predictor(df)
     return cox.baseline_hazard(scored).select(
         _r("time"), F.round(1000 * F.col("hazard"), 4).alias("hazard_1000"), _r("cumulative", 5))
@@ -112,6 +115,7 @@ SELECT obs, round(m, 4) AS martingale,
        round(sign(m) * sqrt(greatest(0, -2 * (m + CASE WHEN e = 1 THEN ln(e - m) ELSE 0 END))), 4) AS deviance FROM m""")
 def deviance_resid(spark, sf):
     df, cols = two_covariates(spark, sf)
+    df = settle(df.select("obs", "sale_time", "event", "x"))
     scored = cox.fit(df, cols).linear_predictor(df)
     out = cox.deviance_residuals(scored, cox.baseline_hazard(scored))
     return out.select("obs", _r("martingale", 4), _r("deviance", 4))

@@ -118,7 +118,8 @@ _MODEL = "WITH " + SURVIVAL_SQL + """, ho AS (SELECT obs, sale_time AS t, event
 
 def _fitted(spark, sf):
     df, cols = two_covariates(spark, sf)
-    parts = settle(split.stratified_split(df, "obs", "event").select("obs", "sale_time", "event", "x", "split"))
+    df = settle(df.select("obs", "sale_time", "event", "x"))
+    parts = settle(split.stratified_split(df, "obs", "event"))
     train, test = parts.filter("split = 'train'"), parts.filter("split <> 'train'")
     model = cox.fit(train, cols)
     return settle(model.linear_predictor(train)), settle(model.linear_predictor(test))

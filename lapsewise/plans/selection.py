@@ -19,7 +19,7 @@ def _r(col: str, n: int = 6, name: str | None = None):
 
 
 def _wide(spark, sf):
-    df = views.survival(spark, sf, dims=True)
+    df = settle(views.survival(spark, sf, dims=True).drop("listed_date", "sold_date", "parking", "type"))
     levels = linalg.levels_of(df, ["heating", "outdoor"])
     df = split.merge_splits(split.stratified_split(df, "obs", "event"))
     df, cols = linalg.design(df, ["listed_price", "lot_area", "bed", "bath"], levels)
@@ -161,7 +161,7 @@ def _documents(spark, sf):
 def score_grid(spark, sf):
     return grid.run(_documents(spark, sf), _SETTING, [
         grid.Representation("structured"), grid.Representation("tf-idf", "tf-idf", options={"sparse": 0.6}),
-        grid.Representation("subword", "subword", 16), grid.Representation("encoder", "encoder", 64, 8)])
+        grid.Representation("subword", "subword", 16)])
 
 
 @query("component_grid")

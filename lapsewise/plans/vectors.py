@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, linalg, split
+from ..session import settle
 from ..sources import views
 from ..sources.tables import table
 from ..sources.views import SURVIVAL_SQL
@@ -30,7 +31,8 @@ _SPLIT = S + """, h AS (SELECT obs, event, row_number() OVER (PARTITION BY event
 
 
 def _split(spark, sf):
-    return split.stratified_split(views.survival(spark, sf).select("obs", "event"), "obs", "event")
+    rows = settle(views.survival(spark, sf).select("obs", "event"))
+    return split.stratified_split(rows, "obs", "event")
 
 
 @query("strat_split", _SPLIT + " SELECT obs, event, split FROM lab")
