@@ -116,9 +116,14 @@ def exclude_keys(df: DataFrame, key: str, keys: Sequence | DataFrame) -> DataFra
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of groups with more than one member, with the group size ``n``.
 
-    Sizes are counted with map-side combine and joined back, so a group that holds a large
-    share of all rows is never one window task; null keys match null keys.
+    Long keys (whole texts) are not shuffled for every row: only rows whose key hash occurs twice go on to the
+    exact comparison. Sizes are counted with map-side combine and joined back, so a group that holds
+    a large share of all rows is never one window task; null keys match null keys.
     """
+    h = F.xxhash64(*keys)
+    twice = df.select(h.alias("_h")).groupBy("_h").agg(F.count("*").alias("n")).filter("n > 1")
+    columns = df.columns
+    df = df.withColumn("_h", h).join(twice.select("_h"), "_h", "left_semi").select(*columns)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n")
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]

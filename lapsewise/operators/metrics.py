@@ -121,15 +121,19 @@ def _range_sums(t: np.ndarray, level: np.ndarray, kind: str):
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lp")
-        r, n = np.exp(pdf["lp"].to_numpy()), pdf["n"].to_numpy()
+        rate, mass = np.exp(pdf["lp"].to_numpy()), pdf["n"].to_numpy()
         case, ctrl, inside = (np.zeros(len(t)) for _ in range(3))
-        for s in range(0, len(t), 64):
-            alive = np.exp(-np.outer(level[s:s + 64], r))
-            control = alive * n
-            cases = (1 - alive) * n if kind == "cumulative" else r * alive * n
-            lower = control.cumsum(1) - 0.5 * control
-            case[s:s + 64], ctrl[s:s + 64] = cases.sum(1), control.sum(1)
-            inside[s:s + 64] = (cases * lower).sum(1)
+        for s in range(0, len(t), 256):
+            at = slice(s, s + 256)
+            for i in range(0, len(rate), 4096):
+                r, n = rate[i:i + 4096], mass[i:i + 4096]
+                alive = np.exp(-np.outer(level[at], r))
+                control = alive * n
+                cases = (1 - alive) * n if kind == "cumulative" else r * alive * n
+                lower = ctrl[at, None] + control.cumsum(1) - 0.5 * control
+                inside[at] += (cases * lower).sum(1)
+                case[at] += cases.sum(1)
+                ctrl[at] += control.sum(1)
         return pd.DataFrame({"b": pdf["b"].iloc[0], "time": t, "case": case, "ctrl": ctrl, "inside": inside})
 
     return sums

@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .running import range_index
 
 # Cells that one task may hold.
 GROUP_CELLS = 500_000
+# Ranges per axis; the coarse grid of one group then stays below a million cells.
+PIECES = 1000
 COUNTS = ("later_low", "later_high", "later_same", "early_low", "early_high", "early_same")
 _NODE = "t double, lp double, kind int, mass double, case double, " + ", ".join(f"{c} double" for c in COUNTS)
 
@@ -130,7 +133,7 @@ def node_counts(cells: DataFrame, by: Sequence[str] = (), strict: bool = False,
             return _nodes(pdf, "lp", strict)
 
         return grouped.applyInPandas(whole, _typed(by, cells) + _NODE)
-    return _ranged_counts(cells, by, strict, 2 * -(-most // group_cells))
+    return _ranged_counts(cells, by, strict, min(2 * -(-most // group_cells), PIECES))
 
 
 def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -> DataFrame:
@@ -138,9 +141,13 @@ def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -
     bounds = settle(cells.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("lp", probs, F.lit(100 * pieces))).alias("_lb"),
         F.array_distinct(F.percentile_approx("t", probs, F.lit(100 * pieces))).alias("_tb")))
-    keyed = join_groups(cells, bounds, by)
-    below = lambda value, cuts: F.size(F.filter(cuts, lambda b: b < value))
-    keyed = keyed.select(*cells.columns, below(F.col("lp"), F.col("_lb")).alias("_b"), below(F.col("t"), F.col("_tb")).alias("_g"))
+    if by:
+        below = lambda value, cuts: F.size(F.filter(cuts, lambda b: b < value))
+        keyed = join_groups(cells, bounds, by).select(
+            *cells.columns, below(F.col("lp"), F.col("_lb")).alias("_b"), below(F.col("t"), F.col("_tb")).alias("_g"))
+    else:
+        cuts = bounds.first()
+        keyed = cells.select("*", range_index(F.col("lp"), cuts["_lb"]).alias("_b"), range_index(F.col("t"), cuts["_tb"]).alias("_g"))
     alone = keyed.groupBy(*by, "_b").agg((F.min("lp") == F.max("lp")).alias("_alone"))
     keyed = settle(join_groups(keyed, alone, [*by, "_b"]))
     head = _typed(by, cells)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,15 @@ def range_index(value: Column, bounds: Sequence[float]) -> Column:
     """Number of bounds below ``value``: equal values always share a range."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < value)).cast("int")
+    if len(bounds) <= 32:
+        return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < value)).cast("int")
+    cuts = np.asarray(bounds, dtype=float)
+
+    @F.arrow_udf("int")
+    def find(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, values.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+
+    return find(value.cast("double"))
 
 
 def running(

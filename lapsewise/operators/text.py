@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -83,13 +83,19 @@ def _matched(counts: DataFrame, vocab: DataFrame, sparse: float) -> DataFrame:
     return counts.join(F.broadcast(vocab) if sparse < 1 else vocab, "term")
 
 
-def weighted(counts: DataFrame, vocab: DataFrame, key: str, opts: TermOptions = TermOptions()) -> DataFrame:
-    """``(key, term, tf, df, weight)``: frequency within the kept terms of the document, times idf."""
+def weighted(counts: DataFrame, vocab: DataFrame, key: str, opts: TermOptions = TermOptions(),
+             weight: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """``(key, term, tf, df, weight)``: frequency within the kept terms of the document, times idf.
+
+    ``weight`` may be any function of the columns (tf, kept terms of the document, df, idf).
+    """
     kept = _matched(counts, vocab, opts.sparse)
-    share = F.col("tf").cast("double")
-    if opts.normalize:
-        share = share / F.sum("tf").over(Window.partitionBy(key))
-    return kept.select(key, "term", "tf", "df", "idf", (share * F.col("idf")).alias("weight"))
+    size = F.sum("tf").over(Window.partitionBy(key))
+    if weight is not None:
+        value = weight(F.col("tf"), size, F.col("df"), F.col("idf"))
+    else:
+        value = F.col("tf") / size * F.col("idf") if opts.normalize else F.col("tf").cast("double") * F.col("idf")
+    return kept.select(key, "term", "tf", "df", "idf", value.alias("weight"))
 
 
 def pruned_vocabulary(vocab: DataFrame, opts: TermOptions) -> DataFrame:

@@ -184,6 +184,13 @@ def natural_left_join(spark, sf):
     return clean.natural_left_join(table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels"))
 
 
+@query("keyed_left_join", """
+SELECT c_custkey, c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey""")
+def keyed_left_join(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return clean.keyed_left_join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), orders, ["c_custkey"])
+
+
 @query("bind_columns", """
 SELECT d.doc_id, d.lang, length(text) AS n_text, n_chars FROM documents d""")
 def bind_columns(spark, sf):

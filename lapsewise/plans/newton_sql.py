@@ -48,3 +48,21 @@ def newton(source: str, x: list[str], ties: str = "efron", steps: int = 8, late:
     out.append(f"fit AS MATERIALIZED (SELECT {betas}, {v}, n.loglik AS loglik, z.loglik AS loglik0 "
                f"FROM b{steps} b, n{steps} n, (SELECT loglik FROM n0) z)")
     return ", ".join(out)
+
+
+def penalised(source: str, lambdas: list[float], alpha: float, steps: int = 10) -> str:
+    """CTEs that end in ``path(lambda, beta)``: proximal Newton steps with one covariate ``x1`` on unit scale, Breslow ties."""
+    out = [f"sc AS MATERIALIZED (SELECT avg(x1) AS m, stddev_pop(x1) AS s, count(*) AS n FROM {source})",
+           f"z AS MATERIALIZED (SELECT t, e, (x1 - m) / s AS x FROM {source}, sc)",
+           "k0 AS MATERIALIZED (SELECT unnest([" + ", ".join(map(str, lambdas)) + "])::DOUBLE AS lam, CAST(0 AS DOUBLE) AS b)"]
+    for k in range(steps):
+        out.append(f"g{k} AS MATERIALIZED (SELECT lam, b, t, sum(e) AS d, sum(exp(b * x)) AS s0, sum(x * exp(b * x)) AS s1, "
+                   f"sum(x * x * exp(b * x)) AS s2, sum(e * x) AS ex FROM z, k{k} GROUP BY lam, b, t)")
+        over = ", ".join(f"sum(s{i}) OVER (PARTITION BY lam ORDER BY t DESC) AS r{i}" for i in range(3))
+        out.append(f"c{k} AS MATERIALIZED (SELECT lam, b, d, ex, {over} FROM g{k})")
+        out.append(f"u{k} AS MATERIALIZED (SELECT lam, b, 2 * sum(ex - d * r1 / r0) / any_value(n) AS u, "
+                   f"2 * sum(d * (r2 / r0 - (r1 / r0) * (r1 / r0))) / any_value(n) AS i FROM c{k}, sc GROUP BY lam, b)")
+        soft = f"sign(i * b + u) * greatest(abs(i * b + u) - lam * {alpha}, 0)"
+        out.append(f"k{k + 1} AS MATERIALIZED (SELECT lam, {soft} / (i + lam * {1 - alpha}) AS b FROM u{k})")
+    out.append(f'path AS (SELECT lam AS "lambda", b / s AS beta FROM k{steps}, sc)')
+    return ", ".join(out)

@@ -9,6 +9,7 @@ from ..session import settle
 from ..sources import views
 from ..sources.tables import table
 from ..sources.views import SURVIVAL_SQL
+from .newton_sql import penalised
 from .registry import query
 
 S = "WITH " + SURVIVAL_SQL
@@ -43,6 +44,18 @@ def coxnet_path(spark, sf):
     return p.coefficients(spark)
 
 
+_LAMBDAS = [0.05, 0.01, 0.004, 0.001, 0.0]
+
+
+@query("coxnet_one_covariate", S + """, src AS MATERIALIZED (SELECT sale_time AS t, event AS e, CAST(lot_area AS DOUBLE) AS x1 FROM survival), """
+       + penalised("src", _LAMBDAS, 0.95) + """
+SELECT "lambda", 'lot_area' AS term, round(1000 * beta, 4) + 0.0::DOUBLE AS beta_1000 FROM path""")
+def coxnet_one_covariate(spark, sf):
+    df, cols = linalg.design(views.survival(spark, sf), ["lot_area"])
+    p = coxnet.path(df, cols, lambdas=_LAMBDAS, tol=1e-12)
+    return p.coefficients(spark).select("lambda", "term", (F.round(1000 * F.col("beta"), 4) + 0.0).alias("beta_1000"))
+
+
 @query("coxnet_cv_concordance")
 def coxnet_cv_concordance(spark, sf):
     p, *_ = _path(spark, sf, "C")

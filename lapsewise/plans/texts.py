@@ -185,6 +185,23 @@ def vocab_overlap(spark, sf):
     })
 
 
+@query("term_intersection", W + """
+SELECT term FROM dfs, n WHERE df > n * (1 - 0.99::DOUBLE) INTERSECT SELECT term FROM dfs, n WHERE df > 25 AND log2(n / df) > 4""")
+def term_intersection(spark, sf):
+    full = settle(text.vocabulary(_counts(spark, sf), _docs(spark, sf)))
+    n = _docs(spark, sf).count()
+    return full.filter(F.col("df") > n * (1 - 0.99)).select("term").intersect(full.filter("df > 25 and idf > 4").select("term"))
+
+
+@query("log_tf_weight", W + _vocab(0.9) + """
+SELECT doc_id, term, round((1 + ln(tf)) * idf, 6) AS weight FROM counts JOIN vocab USING (term)""")
+def log_tf_weight(spark, sf):
+    counts = _counts(spark, sf)
+    vocab = text.vocabulary(counts, _docs(spark, sf), 0.9)
+    out = text.weighted(counts, vocab, "doc_id", weight=lambda tf, size, df, idf: (1 + F.log(tf)) * idf)
+    return out.select("doc_id", "term", _r("weight"))
+
+
 @query("term_vectors", _S90 + """, ix AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS place FROM vocab)
 SELECT d.doc_id, ix.place, round(coalesce(w.weight, 0), 6) AS weight
 FROM documents d CROSS JOIN ix LEFT JOIN weights w ON w.doc_id = d.doc_id AND w.term = ix.term""")
@@ -216,9 +233,18 @@ def subword_vec(spark, sf):
         "doc_id", "place", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query("encoder_vec")
+@query("encoder_vec", """
+WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '[ \\t\\n\\r\\f\\v]+') AS ws FROM documents),
+ e AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM w),
+ h AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS place,
+              (2 * (('0x' || substr(md5(token), 9, 1))::BIGINT % 2) - 1) / sqrt(i) AS s FROM e WHERE token <> ''),
+ v AS (SELECT doc_id, place, sum(s) AS s FROM h GROUP BY ALL)
+SELECT d.doc_id, CAST(p.place AS INTEGER) AS place, round(tanh(coalesce(s, 0)), 6) + 0.0::DOUBLE AS value
+FROM documents d CROSS JOIN range(0, 64) p(place) LEFT JOIN v ON v.doc_id = d.doc_id AND v.place = p.place""")
 def encoder_vec(spark, sf):
-    return encode.embed(_docs(spark, sf), "doc_id", "text", "encoder", dim=64).select("doc_id", "vector")
+    df = encode.embed(_docs(spark, sf), "doc_id", "text", "encoder", dim=64)
+    return df.select("doc_id", F.posexplode("vector").alias("place", "value")).select(
+        "doc_id", "place", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("vector_table_mean", W + """, m AS (SELECT count(*) AS m FROM embeddings),

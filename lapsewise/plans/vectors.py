@@ -174,10 +174,36 @@ def vif(spark, sf):
     return linalg.collinearity(df, "x", cols).select("variable", _r("vif"), _r("tolerance"))
 
 
-@query("condition_indices")
+# Eigenvalues of a 3 x 3 matrix with unit diagonal and off-diagonal a, b, c in closed form.
+_EIG3 = """, q AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM m), f AS (SELECT p, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS phi FROM q),
+ ev AS (SELECT 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM f),
+ e AS (SELECT unnest([1, 2, 3]) AS i, unnest([e1, 3 - e1 - e3, e3]) AS v FROM ev)"""
+
+
+@query("condition_indices", S + """, m AS (SELECT sum(lot_area) / sqrt(count(*) * sum(lot_area * lot_area)) AS a,
+   sum(bath) / sqrt(count(*) * sum(bath * bath)) AS b, sum(lot_area * bath) / sqrt(sum(lot_area * lot_area) * sum(bath * bath)) AS c FROM survival)"""
+       + _EIG3 + """
+SELECT CAST(i AS INTEGER) AS dimension, round(v, 6) AS eigenvalue, round(sqrt(max(v) OVER () / v), 5) AS condition_index FROM e""")
 def condition_indices(spark, sf):
-    df, cols = linalg.design(views.survival(spark, sf, dims=True), _VIF_COLS)
-    return linalg.condition_indices(df, "x", cols)
+    df, cols = linalg.design(views.survival(spark, sf, dims=True), ["lot_area", "bath"])
+    return linalg.condition_indices(df, "x", cols).select("dimension", _r("eigenvalue"), _r("condition_index", 5))
+
+
+@query("pca_structured", S + """, m AS (SELECT corr(listed_price, lot_area) AS a, corr(listed_price, sold_price) AS b, corr(lot_area, sold_price) AS c FROM survival)"""
+       + _EIG3 + """
+SELECT CAST(i AS INTEGER) AS component, round(v, 6) AS eigenvalue, round(100 * v / 3, 4) AS percent,
+       round(100 * sum(v) OVER (ORDER BY i) / 3, 4) AS cumulative FROM e""")
+def pca_structured(spark, sf):
+    df, _ = linalg.design(views.survival(spark, sf), ["listed_price", "lot_area", "sold_price"])
+    return linalg.pca(df, "x", scaled=True).table(spark).select(
+        "component", _r("eigenvalue"), _r("percent", 4), _r("cumulative", 4))
+
+
+@query("vector_head", """
+SELECT vec_id, CAST(i AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, range(1, 9) t(i)""")
+def vector_head(spark, sf):
+    return _vectors(spark, sf).select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("p", "v")).select(
+        "vec_id", (F.col("p") + 1).alias("place"), F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
 @query("least_squares", S + """, m AS (SELECT covar_pop(sale_time, listed_price) AS ya, covar_pop(sale_time, lot_area) AS yb, covar_pop(listed_price, lot_area) AS ab,
