@@ -1,8 +1,8 @@
 """Elastic-net Cox paths, cross-validation, selection and refit.
 
 Objective on standardised columns: ``-(2/n) loglik + lambda * (alpha * |b|_1 + (1 - alpha)/2 * |b|_2^2)``.
-All folds run side by side: one scan gives the gradients of every fold's own coefficients, another
-their curvature; the penalised quadratic problem is solved on the driver.
+All folds, and as many lambdas as fit, run side by side: one scan gives the gradients of all their own
+coefficients, another their curvature; the penalised quadratic problems are solved on the driver.
 """
 
 from __future__ import annotations
@@ -107,8 +107,48 @@ def lambda_grid(top: float, n: int, p: int, n_lambda: int, min_ratio: float | No
     return top * ratio ** (np.arange(n_lambda) / max(n_lambda - 1, 1))
 
 
-def _objective(loglik: float, n: float, b: np.ndarray, lam: float, alpha: float) -> float:
-    return -2 / n * loglik + lam * (alpha * np.abs(b).sum() + (1 - alpha) / 2 * (b @ b))
+@dataclass
+class _Fit:
+    """One lane at one lambda: its rows, its likelihood at the current coefficients, a curvature near them."""
+
+    lane: Lane
+    n: float
+    step: cox.Step
+    curve: np.ndarray
+    lam: float = 0.0
+    done: bool = False
+
+    def objective(self, step: cox.Step, beta: np.ndarray, alpha: float) -> float:
+        return -2 / self.n * step.loglik + self.lam * (alpha * np.abs(beta).sum() + (1 - alpha) / 2 * (beta @ beta))
+
+
+def _solve(rows: CoxRows, fits: list[_Fit], alpha: float, ties: str, max_iter: int, tol: float) -> None:
+    """Bring all fits to their optimum together: one scan serves the folds of every lambda in the block."""
+    active = fits
+    for turn in range(max_iter):
+        if turn % 2 == 1:
+            for f, c in zip(active, cox.information(rows, [f.lane for f in active], [f.step for f in active])):
+                f.curve = c
+        moved = {}
+        for i, f in enumerate(active):
+            q = 2 / f.n * f.curve
+            b = coordinate_descent(q, 2 / f.n * f.step.gradient, f.lane.beta, f.lam, alpha, rows.flat)
+            f.done = float((np.diag(q) * (b - f.lane.beta) ** 2).max()) < tol
+            if not f.done:
+                moved[i] = b
+        active, trials = [active[i] for i in moved], list(moved.values())
+        if not active:
+            return
+        for _ in range(20):
+            with np.errstate(over="ignore", invalid="ignore"):
+                steps = cox.likelihood(rows, [replace(f.lane, beta=b) for f, b in zip(active, trials)], ties)
+            worse = [not np.isfinite(s.loglik) or f.objective(s, b, alpha) > f.objective(f.step, f.lane.beta, alpha) + 1e-10
+                     for f, s, b in zip(active, steps, trials)]
+            if not any(worse):
+                break
+            trials = [(b + f.lane.beta) / 2 if w else b for f, b, w in zip(active, trials, worse)]
+        for f, s, b in zip(active, steps, trials):
+            f.lane, f.step = replace(f.lane, beta=b), s
 
 
 def path(
@@ -130,33 +170,17 @@ def path(
         lambdas = lambda_grid(top, rows.n, rows.p, n_lambda, min_ratio)
     else:
         lambdas = np.sort(np.asarray(lambdas, dtype=float))[::-1]
-    curves = cox.information(rows, lanes, steps)
+    fits = [_Fit(lane, n, step, curve)
+            for lane, n, step, curve in zip(lanes, sizes, steps, cox.information(rows, lanes, steps))]
+    width = max(1, cox.PASS_CELLS // (2 * len(fits) * max(rows.n_times, 1) * (rows.p + 1)))
     kept, status = [], []
-    for lam in lambdas:
-        state = "max_iter"
-        for turn in range(max_iter):
-            if turn and turn % 2 == 0:
-                curves = cox.information(rows, lanes, steps)
-            moved = [coordinate_descent(2 / n * h, 2 / n * s.gradient, l.beta, lam, alpha, rows.flat)
-                     for l, s, h, n in zip(lanes, steps, curves, sizes)]
-            change = max(float((2 / n * np.diag(h) * (b - l.beta) ** 2).max())
-                         for b, l, h, n in zip(moved, lanes, curves, sizes))
-            if change < tol:
-                state = "converged"
-                break
-            for _ in range(20):
-                trial = [replace(l, beta=b) for l, b in zip(lanes, moved)]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    nxt = cox.likelihood(rows, trial, ties)
-                worse = [not np.isfinite(t.loglik)
-                         or _objective(t.loglik, n, b, lam, alpha) > _objective(s.loglik, n, l.beta, lam, alpha) + 1e-10
-                         for t, s, b, l, n in zip(nxt, steps, moved, lanes, sizes)]
-                if not any(worse):
-                    break
-                moved = [(b + l.beta) / 2 if w else b for b, l, w in zip(moved, lanes, worse)]
-            lanes, steps = trial, nxt
-        kept.append([l.beta for l in lanes])
-        status.append(state)
+    for start in range(0, len(lambdas), width):
+        block = [[replace(f, lam=float(lam)) for f in fits] for lam in lambdas[start:start + width]]
+        _solve(rows, [f for group in block for f in group], alpha, ties, max_iter, tol)
+        for group in block:
+            kept.append([f.lane.beta for f in group])
+            status.append("converged" if all(f.done for f in group) else "max_iter")
+        fits = [replace(f, done=False) for f in block[-1]]
     betas = np.array(kept)  # lambda x lane x column, standardised
     out = CoxPath(tuple(columns), np.asarray(lambdas), betas[:, 0] / rows.sd, tuple(status), alpha, x, surv)
     if measure:
