@@ -23,13 +23,14 @@ def numbers(column: pa.Array, dtype=float) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
 
 
-def tree_sum(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray | None:
+def tree_sum(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
+             tasks: int | None = None) -> np.ndarray | None:
     """Sum of ``kernel(batches)`` over all tasks. Only arrays of one fixed size travel, never rows.
 
     On a wide session the partial arrays are first summed on executors, so that the driver
-    receives about the square root of the task number.
+    receives about the square root of the task number; ``tasks`` is that number where it is known.
     """
-    width = max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    width = tasks or max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = kernel(batches)

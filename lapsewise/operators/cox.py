@@ -62,11 +62,13 @@ class CoxRows:
             raise ValueError("no rows to fit")
         self.n, self.n_event = sums[0], sums[1]
         self.mean = sums[2:2 + p] / self.n
+        self.tasks = int(sums[-1])
         # Few tasks mean little data: deal it out once, so that every pass uses all cores.
         cores = df.sparkSession.sparkContext.defaultParallelism
         if sums[-1] < cores and self.n > 256 * cores:
             few, self.df = self.df, self.df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
             self.df.count()
+            self.tasks = cores
             few.unpersist()
         mean = self.mean
 
@@ -76,7 +78,7 @@ class CoxRows:
                 out += ((matrix(b.column(4), p) - mean) ** 2).sum(0)
             return out
 
-        sd = np.sqrt(tree_sum(self.df, spread) / self.n)
+        sd = np.sqrt(tree_sum(self.df, spread, self.tasks) / self.n)
         self.sd = np.where(sd > 1e-12, sd, 1.0)
         self.flat = sd <= 1e-12
         self._times = settle(self.df.filter("e = 1").select("t").distinct())
@@ -165,7 +167,7 @@ def _risk_pass(rows: CoxRows, lanes: Sequence[Lane], times: np.ndarray) -> list[
                     out[j, -p:] += z[ev].sum(0)
         return out.ravel()
 
-    flat = tree_sum(rows.df, kernel).reshape(len(lanes), size)
+    flat = tree_sum(rows.df, kernel, rows.tasks).reshape(len(lanes), size)
     found = []
     for row in flat:
         cut = (k + 1) * (p + 1)
@@ -272,7 +274,7 @@ def information(rows: CoxRows, lanes: Sequence[Lane], steps: Sequence[Step]) ->
                     out[j] += z.T @ (w[:, None] * z)
             return out.ravel()
 
-        total += tree_sum(rows.df, kernel).reshape(total.shape)
+        total += tree_sum(rows.df, kernel, rows.tasks).reshape(total.shape)
         for j, s in enumerate(steps):
             total[j] -= s.blocks[block][3]
     return list(total)

@@ -240,7 +240,7 @@ def loglik_only(rows: CoxRows, betas: np.ndarray, skip: np.ndarray, ties: str) -
                 lp_sum += (lp[ev] * on[ev]).sum(0)
             return np.concatenate([risk.ravel(), hit.ravel(), ties_.ravel(), lp_sum])
 
-        flat = tree_sum(rows.df, kernel)
+        flat = tree_sum(rows.df, kernel, rows.tasks)
         risk = flat[:(k + 1) * m].reshape(k + 1, m)[::-1].cumsum(0)[::-1][1:]
         hit, d = (flat[(k + 1) * m + i * k * m:(k + 1) * m + (i + 1) * k * m].reshape(k, m) for i in (0, 1))
         for j in range(m):
@@ -265,7 +265,7 @@ def _cv_concordance(rows: CoxRows, betas: np.ndarray, folds, counts, ties):
 
     held = rows.df.select("t", "e", "f", scores.asNondeterministic()("x", "f").alias("lp"))
     long = held.select("t", "e", "f", F.posexplode("lp").alias("i", "lp"))
-    c = metrics.concordance(long, "lp", SurvSpec("t", "e"), by=["f", "i"]).select("f", "i", "c_index").collect()
+    c = metrics.concordance(long, "lp", SurvSpec("t", "e"), by=["f", "i"], with_se=False).select("f", "i", "c_index").collect()
     raw = np.full((n_lambda, k), 0.5)
     for r in c:
         if r["c_index"] is not None:

@@ -28,11 +28,13 @@ GRID = 4096
 # --- concordance ----------------------------------------------------------------------------
 
 def concordance(df: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(), by: Sequence[str] = (),
-                weight: Column | None = None, **kw) -> DataFrame:
+                weight: Column | None = None, with_se: bool = True, **kw) -> DataFrame:
     """Harrell C: pairs where the earlier time is an event, tied scores count half; with the pair counts,
     the standard error from per-row influences, and ``dxy = 2 * (C - 1/2)``."""
     by = list(by)
-    nodes = settle(node_counts(cells_of(df, surv.time, surv.event, lp, by, weight), by, **kw))
+    nodes = node_counts(cells_of(df, surv.time, surv.event, lp, by, weight), by, **kw)
+    if with_se:
+        nodes = settle(nodes)  # read for the totals and again for the influences
     case = F.col("case")
     totals = nodes.groupBy(*by).agg(
         F.sum(case * F.col("later_low")).alias("concordant"), F.sum(case * F.col("later_high")).alias("discordant"),
@@ -40,6 +42,9 @@ def concordance(df: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(), by:
     pairs_ = F.col("concordant") + F.col("discordant") + F.col("tied")
     totals = totals.withColumn("_n", pairs_).withColumn(
         "c_index", F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("_n")))
+    dxy = (2 * (F.col("c_index") - 0.5)).alias("dxy")
+    if not with_se:
+        return totals.select(*by, "concordant", "discordant", "tied", "c_index", dxy)
     # Only an event opens a pair with later rows; every row can close one with an earlier event.
     good = F.col("kind") * (F.col("later_low") + 0.5 * F.col("later_same")) + F.col("early_high") + 0.5 * F.col("early_same")
     every = F.col("kind") * (F.col("later_low") + F.col("later_high") + F.col("later_same")) + (
@@ -47,7 +52,7 @@ def concordance(df: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(), by:
     influence = F.try_divide(good - F.col("c_index") * every, F.col("_n"))
     se = join_groups(nodes, totals, by).groupBy(*by).agg(F.sqrt(F.sum(F.col("mass") * influence * influence)).alias("se"))
     return join_groups(totals, se, by).select(
-        *by, "concordant", "discordant", "tied", "c_index", "se", (2 * (F.col("c_index") - 0.5)).alias("dxy"))
+        *by, "concordant", "discordant", "tied", "c_index", "se", dxy)
 
 
 def c_from_dxy(dxy: float) -> float:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cox, linalg
+from ..operators import cox, linalg, text
 from ..operators.survival import SurvSpec
 from ..session import settle
 from ..sources import views
-from ..sources.views import SURVIVAL_SQL
+from ..sources.views import SURVIVAL_SQL, TEXT_SURVIVAL_SQL
 from .newton_sql import newton
 from .registry import query
+from .texts import _S90
 
 S = "WITH " + SURVIVAL_SQL
 
@@ -67,6 +68,22 @@ def cox_univariate(spark, sf):
     return _table(cox.fit(df, cols), spark)
 
 
+_TOP_TERM = _S90 + """, top AS (SELECT term FROM vocab ORDER BY df DESC, term LIMIT 1), """ + TEXT_SURVIVAL_SQL + """,
+ src AS MATERIALIZED (SELECT s.time AS t, s.event AS e, 10 * coalesce(w.weight, 0) AS x1 FROM text_survival s
+   LEFT JOIN (SELECT doc_id, weight FROM weights WHERE term = (SELECT term FROM top)) w USING (doc_id)), """
+
+
+@query("cox_one_term", _TOP_TERM + newton("src", ["x1"]) + _coef_sql(["term"]))
+def cox_one_term(spark, sf):
+    docs = views.corpus(spark, sf).select("doc_id", "text")
+    weights, vocab = text.tfidf(docs, "doc_id", "text", text.options(stemming=False))
+    top = vocab.orderBy(F.desc("df"), "term").limit(1).select("term")
+    one = weights.join(F.broadcast(top), "term").select("doc_id", (10 * F.col("weight")).alias("term"))
+    df = views.text_survival(spark, sf).join(one, "doc_id", "left").fillna({"term": 0.0})
+    df, cols = linalg.design(df, ["term"])
+    return _table(cox.fit(df, cols, surv=SurvSpec("time", "event")), spark)
+
+
 @query("cox_fit_wide")
 def cox_fit_wide(spark, sf):
     df = settle(views.survival(spark, sf, dims=True).drop("obs", "listed_date", "sold_date"))
