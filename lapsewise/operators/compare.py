@@ -126,7 +126,7 @@ def smoothed_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequ
     counts = settle(df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_x")).agg(size.alias("_n")))
     run = running(counts, "_x", sums={"_n": "_cum"}, by=by, settled=True)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    rows = join_groups(run, totals, by).select(*by, "_x", (F.col("_cum") - F.col("_n")).alias("_lo"), "_cum", "_all")
+    rows = join_groups(run, totals, by, small=True).select(*by, "_x", (F.col("_cum") - F.col("_n")).alias("_lo"), "_cum", "_all")
 
     @F.pandas_udf("array<double>")
     def weights(lo: pd.Series, hi: pd.Series, n: pd.Series) -> pd.Series:

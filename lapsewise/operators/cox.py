@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, lgamma, normal_two_sided, trigamma
-from ..session import settle
+from ..session import settle, small_side
 from .blocks import matrix, numbers, tree_sum
 from .linalg import DesignColumn
 from .survival import SurvSpec
@@ -392,7 +392,7 @@ def with_hazard(df: DataFrame, hazard: DataFrame, surv: SurvSpec = SurvSpec(), n
     falling = hazard.select("time", (-F.col("cumulative")).alias("surv"))
     at = step_lookup(df.select(surv.time), surv.time, falling, before=0.0)
     at = at.select(F.col(surv.time).alias("_ht"), (-F.col("surv")).alias(name))
-    return df.join(at, F.col(surv.time).cast("double") == F.col("_ht"), "left").drop("_ht")
+    return df.join(small_side(at), F.col(surv.time).cast("double") == F.col("_ht"), "left").drop("_ht")
 
 
 def deviance_residuals(df: DataFrame, hazard: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec()) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, small_side
 from .blocks import numbers, tree_sum
 from .cox import baseline_hazard
 from .pairs import cells_of, join_groups, node_counts
@@ -50,7 +50,8 @@ def concordance(df: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(), by:
     every = F.col("kind") * (F.col("later_low") + F.col("later_high") + F.col("later_same")) + (
         F.col("early_low") + F.col("early_high") + F.col("early_same"))
     influence = F.try_divide(good - F.col("c_index") * every, F.col("_n"))
-    se = join_groups(nodes, totals, by).groupBy(*by).agg(F.sqrt(F.sum(F.col("mass") * influence * influence)).alias("se"))
+    totals = settle(totals)
+    se = join_groups(nodes, totals, by, small=True).groupBy(*by).agg(F.sqrt(F.sum(F.col("mass") * influence * influence)).alias("se"))
     return join_groups(totals, se, by).select(
         *by, "concordant", "discordant", "tied", "c_index", "se", dxy)
 
@@ -66,7 +67,7 @@ def censoring_curve(train: DataFrame, surv: SurvSpec = SurvSpec()) -> DataFrame:
 
 def _with_g(df: DataFrame, curve: DataFrame, time: str) -> DataFrame:
     at = step_lookup(df.select(time), time, curve).select(F.col(time).cast("double").alias("_gt"), F.col("surv").alias("_g"))
-    return df.join(at, F.col(time).cast("double") == F.col("_gt"), "left").drop("_gt")
+    return df.join(small_side(at), F.col(time).cast("double") == F.col("_gt"), "left").drop("_gt")
 
 
 def uno_c(test: DataFrame, curve: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(), tau: float | None = None,

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, small_side
 from .running import range_index
 
 # Cells that one task may hold.
@@ -143,13 +143,13 @@ def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -
         F.array_distinct(F.percentile_approx("t", probs, F.lit(100 * pieces))).alias("_tb")))
     if by:
         below = lambda value, cuts: F.size(F.filter(cuts, lambda b: b < value))
-        keyed = join_groups(cells, bounds, by).select(
+        keyed = join_groups(cells, bounds, by, small=True).select(
             *cells.columns, below(F.col("lp"), F.col("_lb")).alias("_b"), below(F.col("t"), F.col("_tb")).alias("_g"))
     else:
         cuts = bounds.first()
         keyed = cells.select("*", range_index(F.col("lp"), cuts["_lb"]).alias("_b"), range_index(F.col("t"), cuts["_tb"]).alias("_g"))
     alone = keyed.groupBy(*by, "_b").agg((F.min("lp") == F.max("lp")).alias("_alone"))
-    keyed = settle(join_groups(keyed, alone, [*by, "_b"]))
+    keyed = settle(join_groups(keyed, alone, [*by, "_b"], small=True))
     head = _typed(by, cells)
     counts = ", ".join(f"{c} double" for c in COUNTS)
 
@@ -190,9 +190,11 @@ def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -
     return both.select(*by, "t", "lp", "kind", "mass", "case", *[(F.col(c) + F.col(f"{c}_2")).alias(c) for c in COUNTS])
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join where null keys match; the key columns of the left side stay."""
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool = False) -> DataFrame:
+    """Inner join where null keys match; the key columns of the left side stay. ``small``: the right side has one
+    row per group, so it is counted and broadcast if it is short."""
     if not keys:
         return left.join(F.broadcast(right))  # one row: the whole table is a single group
     r = right.select(*[F.col(k).alias(f"_j_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    r = small_side(r) if small else r
     return left.join(r, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]).drop(*[f"_j_{k}" for k in keys])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, small_side
 
 NAMES = ("train", "valid", "test")
 
@@ -46,13 +46,13 @@ def stratified_split(df: DataFrame, key: str, strata: str, p: Sequence[float] =
     spots = spots.filter((F.col("_cum") - F.col("_n") < F.col("_cut.at")) & (F.col("_cut.at") <= F.col("_cum"))).select(
         F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), F.col("_cut.c").alias("_c"),
         (F.col("_cut.at") - (F.col("_cum") - F.col("_n"))).alias("_rank"))
-    near = hashed.join(spots, F.col("_s").eqNullSafe(F.col("_s2")) & (F.substring("_h", 1, 4) == F.col("_b2")))
+    near = hashed.join(small_side(spots), F.col("_s").eqNullSafe(F.col("_s2")) & (F.substring("_h", 1, 4) == F.col("_b2")))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_h")))
     cuts = ranked.filter("_r = _rank").groupBy(F.col("_s").alias("_s3")).agg(
         F.max(F.when(F.col("_c") == 1, F.col("_h"))).alias("_c1"), F.max(F.when(F.col("_c") == 2, F.col("_h"))).alias("_c2"))
     label = (F.when(h <= F.coalesce("_c1", F.lit("")), NAMES[0])
              .when(h <= F.coalesce("_c2", F.lit("")), NAMES[1]).otherwise(NAMES[2]))
-    return df.join(cuts, F.col(strata).eqNullSafe(F.col("_s3")), "left").select(*df.columns, label.alias(name))
+    return df.join(small_side(cuts), F.col(strata).eqNullSafe(F.col("_s3")), "left").select(*df.columns, label.alias(name))
 
 
 def grouped_split(df: DataFrame, group: str, p: Sequence[float] = (0.8, 0.1, 0.1), seed: int = 1,

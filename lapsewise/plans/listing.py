@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, stats, survival
+from ..operators import clean, metrics, stats, survival
 from ..sources import views
 from ..sources.tables import table
 from ..sources.views import LISTING_SQL, SURVIVAL_SQL
@@ -343,6 +343,11 @@ SELECT {cols}round(time, 6) AS time, n_risk, n_event, n_censor,
        round(product(1 - {hit} / n_risk) OVER ({part} ORDER BY time), 6) AS surv FROM r"""
 
 
+@query("event_times", S + "SELECT DISTINCT round(sale_time, 6) AS time FROM survival WHERE event = 1")
+def event_times(spark, sf):
+    return metrics.event_times(views.survival(spark, sf)).select(_r("time"))
+
+
 @query("km_curve", _km_sql())
 def km_curve(spark, sf):
     return survival.kaplan_meier(views.survival(spark, sf)).select(

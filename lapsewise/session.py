@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "lapsewise", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -15,6 +16,7 @@ def local_session(app: str = "lapsewise", cores: str = "8", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")  # long texts: keep batches small
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
@@ -45,3 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+
+
+# A table of at most this many narrow rows is sent to every executor; a larger one is joined by shuffle.
+SMALL_ROWS = 500_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Compute a table that should be small, count it, and mark it for broadcast only when it is."""
+    done = settle(df)
+    return F.broadcast(done) if done.count() <= limit else done

@@ -322,6 +322,14 @@ def test_path_ends(spark):
     assert loglik.cv.mean[-1] < loglik.cv.mean[0]
 
 
+def test_ridge_keeps_everything(spark):
+    x, time, event, _ = hazards_data(120, 3)
+    df = spark.createDataFrame(pd.DataFrame({"sale_time": time, "event": event, "x": x.tolist()}))
+    p = coxnet.path(df, [DesignColumn(c, c) for c in "abc"], lambdas=[1.0, 0.01], alpha=0.0)
+    assert (p.betas != 0).all() and np.abs(p.betas[0]).sum() < np.abs(p.betas[1]).sum()
+    assert np.allclose(p.beta_at(0.505), p.betas.mean(0))
+
+
 def test_level_merge_is_exact(spark):
     df = spark.createDataFrame([("No",), ("No_Info",), ("Yes",)], "h string")
     out = coxnet.merge_levels(df, {"h": ("No",)}, {"h": "Yes"})
@@ -463,3 +471,21 @@ def test_listing_csv_and_parquet_round_trip(spark, tmp_path):
     assert tables.read_features(spark, str(tmp_path / "out")).filter("level = 'p0'").count() == 2
     tables.write_scores(df.select("bath"), str(tmp_path / "scores"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "scores")).count() == 2
+
+
+# --- plans ----------------------------------------------------------------------------------
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_prune_columns_and_run_python_once(spark):
+    from lapsewise import plans
+
+    folder = "/root/testdata/sf0.001"
+    plan = plan_of(plans.QUERIES["count_predicate"](spark, folder))
+    assert "l_extendedprice" not in plan and "o_totalprice" not in plan and "l_linestatus" in plan
+    for name in ("subword_vec", "doc_term_stemmed", "typos_p05", "pca_coords"):
+        assert plan_of(plans.QUERIES[name](spark, folder)).split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1, name
+    assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,12)]" in plan_of(plans.QUERIES["threshold_filter"](spark, folder))
+    assert "ArrowEvalPython" not in plan_of(plans.QUERIES["pos_filter"](spark, folder))
