@@ -140,31 +140,39 @@ def _risk_pass(rows: CoxRows, lanes: Sequence[Lane], times: np.ndarray) -> list[
     p, k, mean, sd, late = rows.p, len(times), rows.mean, rows.sd, rows.late_entry
     size = (k + 1) * (p + 1) + k * (p + 2) + 1 + p
 
+    betas = np.stack([lane.beta for lane in lanes])
+    skips = np.array([lane.skip for lane in lanes])
+
     def kernel(batches):
         out = np.zeros((len(lanes), size))
         cut = (k + 1) * (p + 1)
         risk = out[:, :cut].reshape(len(lanes), k + 1, p + 1)
         hit = out[:, cut:cut + k * (p + 2)].reshape(len(lanes), k, p + 2)
         for b in batches:
-            t, s, e, f = (numbers(b.column(i)) for i in range(4))
-            z = (matrix(b.column(4), p) - mean) / sd
+            t = numbers(b.column(0))
+            if not len(t):
+                continue
+            order = np.argsort(t, kind="stable")  # one sort serves all lanes
+            t, s, e, f = t[order], *(numbers(b.column(i))[order] for i in (1, 2, 3))
+            z = ((matrix(b.column(4), p) - mean) / sd)[order]
             stop = np.searchsorted(times, t, side="right")
+            ev = np.flatnonzero((e == 1) & (stop > 0) & (times[np.maximum(stop - 1, 0)] == t))
+            on = f[:, None] != skips[None, :]
+            lp = z @ betas.T
+            r = np.exp(lp) * on
             entry = np.searchsorted(times, s, side="right") if late else None
-            inside = (e == 1) & (stop > 0)
-            inside &= times[np.maximum(stop - 1, 0)] == t
-            for j, lane in enumerate(lanes):
-                on = f != lane.skip
-                lp = z @ lane.beta
-                r = np.exp(lp)
-                cells = np.column_stack([r, r[:, None] * z])
-                _into(risk[j], stop[on], cells[on])
+            slots, starts = np.unique(stop, return_index=True)
+            ev_slots, ev_starts = np.unique(stop[ev] - 1, return_index=True)
+            for j in range(len(lanes)):
+                cells = np.column_stack([r[:, j], r[:, j, None] * z])
+                risk[j, slots] += np.add.reduceat(cells, starts, axis=0)
                 if late:
-                    _into(risk[j], entry[on], -cells[on])
-                ev = on & inside
-                if ev.any():
-                    _into(hit[j], stop[ev] - 1, np.column_stack([np.ones(ev.sum()), cells[ev]]))
-                    out[j, -p - 1] += lp[ev].sum()
-                    out[j, -p:] += z[ev].sum(0)
+                    _into(risk[j], entry, -cells)
+                if len(ev):
+                    here = on[ev, j].astype(float)
+                    hit[j, ev_slots] += np.add.reduceat(np.column_stack([here, cells[ev]]), ev_starts, axis=0)
+                    out[j, -p - 1] += lp[ev, j] @ here
+                    out[j, -p:] += here @ z[ev]
         return out.ravel()
 
     flat = tree_sum(rows.df, kernel, rows.tasks).reshape(len(lanes), size)
