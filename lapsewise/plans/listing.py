@@ -375,7 +375,7 @@ WITH u AS (SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS t0, min(CASE WHE
      n AS (SELECT k.time, n_event, n_censor, count(*) AS n_risk FROM k JOIN r ON r.start_h < k.time AND k.time <= r.stop_h GROUP BY ALL)
 SELECT time, n_risk, n_event, n_censor, round(product(1 - n_event / n_risk) OVER (ORDER BY time), 6) AS surv FROM n""")
 def km_left_truncated(spark, sf):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")  # no session time zone
     users = table(spark, sf, "events").groupBy("user_id").agg(
         F.min(us).alias("t0"), F.min(F.when(F.col("event_type") == "purchase", us)).alias("tp"), F.max(us).alias("t1"))
     rows = users.select(
