@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op10_mixing
+from .quality import op3_quality_classifier
+from .rules import op7_quality_rules
 from .sharding import op6_sharding
+from .urls import op9_url_filters
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op6_sharding, op7_quality_rules, op9_url_filters, op10_mixing)}
 SQL: dict[str, str] = {}
