@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op10_mixing
+from .pieces import op4_sentencepiece
 from .quality import op3_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op6_sharding
 from .urls import op9_url_filters
+from .vectors import SQL_OP8, op8_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op6_sharding, op7_quality_rules, op9_url_filters, op10_mixing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_sentencepiece, op6_sharding, op7_quality_rules,
+                                    op8_embedding_near_dedup, op9_url_filters, op10_mixing)}
+SQL: dict[str, str] = {"op8_embedding_near_dedup": SQL_OP8}
