@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .lines import SQL_OP2, op2_line_dedup
+from .minhash import SQL_OP1, op1_minhash_near_dedup
 from .mixing import op10_mixing
 from .pieces import op4_sentencepiece
 from .quality import op3_quality_classifier
@@ -11,6 +12,6 @@ from .sharding import op6_sharding
 from .urls import op9_url_filters
 from .vectors import SQL_OP8, op8_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op6_sharding, op7_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op6_sharding, op7_quality_rules,
                                     op8_embedding_near_dedup, op9_url_filters, op10_mixing)}
-SQL: dict[str, str] = {"op2_line_dedup": SQL_OP2, "op8_embedding_near_dedup": SQL_OP8}
+SQL: dict[str, str] = {"op1_minhash_near_dedup": SQL_OP1, "op2_line_dedup": SQL_OP2, "op8_embedding_near_dedup": SQL_OP8}
