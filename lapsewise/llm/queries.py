@@ -9,9 +9,10 @@ from .pieces import op4_sentencepiece
 from .quality import op3_quality_classifier
 from .rules import op7_quality_rules
 from .sharding import op6_sharding
+from .suffixes import op5_suffix_array_dedup
 from .urls import op9_url_filters
 from .vectors import SQL_OP8, op8_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op6_sharding, op7_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_quality_classifier, op4_sentencepiece, op5_suffix_array_dedup, op6_sharding, op7_quality_rules,
                                     op8_embedding_near_dedup, op9_url_filters, op10_mixing)}
 SQL: dict[str, str] = {"op1_minhash_near_dedup": SQL_OP1, "op2_line_dedup": SQL_OP2, "op8_embedding_near_dedup": SQL_OP8}
