@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .common import table
 RUN = 2  # lines of a run that is deleted; also what winnowing guarantees to find
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Delete runs of ``run`` or more lines that stand earlier in the corpus: ``doc_id, n_lines, n_removed, n_runs, text``.
 
     Earlier means a lower (id, line); null ids come last. Only lines with a character other than white space
@@ -22,9 +24,11 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     matches chain to runs, which extends them both ways as far as the lines agree. Every line of a matching later window goes,
     also where a text repeats itself, judged on the input. Groups meet in sums and skewed joins that adaptive
     execution splits, never as pairs. One row per input row: a null text stays null with no lines, an empty one
-    has one line; rows with equal id and text are one document and get equal results.
+    has one line; rows with equal id and text are one document and get equal results. Columns named in ``carry`` come
+    along as a struct ``rest``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
     key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(run), "text").alias("h2")]
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
         i.alias("pos"), F.xxhash64(x).alias("f"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0).alias("full")))
@@ -58,7 +62,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     kept = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("out"))
     return (
         done.withColumn("all_lines", all_lines).withColumn("full", F.when(F.col("gone").isNotNull(), full)).withColumn("out", out)
-        .select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size("all_lines")).cast("long").alias("n_lines"),
+        .select("doc_id", *["rest"] * bool(carry), F.when(F.col("text").isNull(), 0).otherwise(F.size("all_lines")).cast("long").alias("n_lines"),
                 F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
                 F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.array_except("gone", F.transform("gone", lambda j: j + 1)))).cast("long").alias("n_runs"),
                 F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("all_lines"), i + 1)), "\n")).alias("text"))

@@ -149,6 +149,17 @@ def mixed_rows(plan: DataFrame, seed: int = 7) -> DataFrame:
     return number_rows(spread, "shard", F.xxhash64("key", "copy", F.lit(seed + 3)), "slot").drop("key")
 
 
+def mixed_documents(docs: DataFrame, weight_of: Callable[[int], float], share: float = 1.5, cap: float = 2.0, shards: int = 8, seed: int = 7,
+                    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of a mix, one row per copy with the columns of ``docs``, dealt to shards and shuffled inside them."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    plan = mix(docs, weight_of, share, cap, shards, seed, id_col, text_col, source_col).groupBy(F.col("key").alias("_key")).agg(F.first("shards").alias("_shards"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("_k"))
+    copies = rows.join(plan, F.col("_k") == F.col("_key")).select("row", "_k", F.posexplode("_shards").alias("_copy", "_shard"))
+    order = F.xxhash64("_k", "_copy", F.lit(seed + 3))
+    return copies.repartition("_shard", F.shiftright(order, 57)).sortWithinPartitions("_shard", order).select("row.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix(table(spark, sf_dir, "documents"), lambda i: (5, 2, 1)[i % 3])
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")

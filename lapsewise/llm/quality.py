@@ -136,9 +136,10 @@ def _train(n_meta: int):
     return run
 
 
-def _score(n_meta: int, machine: Machine):
+def _score(n_meta: int, machine: Machine, least: float | None = None):
+    """Add the score of each row; with ``least``, pass on only the rows that reach it, without the inputs of the score."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(n_meta)
+        features, inputs = Features(n_meta), {"text", *[f"m{k}" for k in range(n_meta)]}
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i in range(0, batch.num_rows, 500):
@@ -146,7 +147,9 @@ def _score(n_meta: int, machine: Machine):
                 row, at, x = features.of(part.column("text").to_pylist(), [part.column(f"m{k}").to_pylist() for k in range(n_meta)])
                 z, _ = machine.logits(row, at, x, part.num_rows)
                 out[i:i + 500] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
+            kept = [c for c in batch.schema.names if c not in inputs]
+            scored = pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out)], names=[*kept, "score"])
+            yield scored if least is None else scored.filter(pa.array(out >= least))
 
     return run
 
@@ -156,31 +159,52 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def fit_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), sample: int = SAMPLE,
+                id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
+    """A model of about ``sample`` labelled rows outside the held-out third, drawn by hash; its size is fixed."""
+    rows = _inputs(docs, metadata, id_col, text_col)
+    known = (labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
+             .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("y")))
+    n = known.count()
+    part = sample / n if n > sample else 1.0
+    draw = F.shiftrightunsigned(F.xxhash64("_id", F.lit(17)), 11).cast("double") / float(1 << 53)
+    learnt = rows.join(known.where(draw < part), F.col("doc_id") == F.col("_id")).drop("doc_id", "_id")
+    # one task sees the sample, whose size is bounded by the parameter
+    w = learnt.repartition(1).mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").collect()[0]
+    machine = Machine(Features(len(metadata)).width)
+    machine.bias, machine.w = w.bias, np.frombuffer(w.w)
+    machine.v = np.frombuffer(w.v).reshape(-1, RANK)
+    return machine
+
+
+def _inputs(docs: DataFrame, metadata: Sequence[str], id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), sample: int = SAMPLE,
                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Score every text: ``doc_id, held_out, score, predicted``, one row per input row.
 
-    The model is fitted on about ``sample`` labelled rows outside the held-out third, drawn by hash; it then
-    has a fixed size and is sent to the tasks, which read whole texts. Inputs are hashed words, statistics of the
+    The model goes to the tasks, which read whole texts. Inputs are hashed words, statistics of the
     text and numeric ``metadata`` columns; ids, languages, sources and labels are not. A null or
     empty text has no words; a null in metadata is a feature of its own; rows without a label or an id are only
-    scored; without any label every score is 0.5. Repeated rows get equal scores.
+    scored; without any label every score is 0.5 or close to it. Repeated rows get equal scores.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)])
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
-    n = known.count()
-    part = sample / n if n > sample else 1.0
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11).cast("double") / float(1 << 53)
-    learnt = rows.join(known.where(draw < part), "doc_id")
-    # one task sees the sample, whose size is bounded by the parameter
-    w = learnt.drop("doc_id").repartition(1).mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").first()
-    machine = Machine(Features(len(metadata)).width)
-    machine.bias, machine.w = w.bias, np.frombuffer(w.w)
-    machine.v = np.frombuffer(w.v).reshape(-1, RANK)
+    machine = fit_quality(docs, labels, metadata, sample, id_col, text_col, label_col)
+    rows = _inputs(docs, metadata, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_score(len(metadata), machine), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("n_chars",), least: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns and without a shuffle."""
+    machine = fit_quality(docs, labels, metadata, **options)
+    text = options.get("text_col", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(metadata)])
+    kept = rows.mapInArrow(_score(len(metadata), machine, least), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return kept.select("row.*")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
