@@ -128,9 +128,10 @@ def _train(n_meta: int):
             parts.append((row + done, at.astype(np.int32), x.astype(np.float32)))
             labels += batch.column("y").to_pylist()
             done += batch.num_rows
+        if not done:
+            return
         machine = Machine(features.width)
-        if done:
-            machine.fit(*[np.concatenate(c) for c in zip(*parts)], np.array(labels, dtype=float))
+        machine.fit(*[np.concatenate(c) for c in zip(*parts)], np.array(labels, dtype=float))
         yield pa.RecordBatch.from_arrays([pa.array([machine.bias]), pa.array([machine.w.tobytes()]), pa.array([machine.v.tobytes()])], names=["bias", "w", "v"])
 
     return run
@@ -170,10 +171,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("
     draw = F.shiftrightunsigned(F.xxhash64("_id", F.lit(17)), 11).cast("double") / float(1 << 53)
     learnt = rows.join(known.where(draw < part), F.col("doc_id") == F.col("_id")).drop("doc_id", "_id")
     # one task sees the sample, whose size is bounded by the parameter
-    w = learnt.repartition(1).mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").collect()[0]
+    found = learnt.repartition(1).mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").collect()
     machine = Machine(Features(len(metadata)).width)
-    machine.bias, machine.w = w.bias, np.frombuffer(w.w)
-    machine.v = np.frombuffer(w.v).reshape(-1, RANK)
+    machine.v[:] = 0
+    for w in found:  # none without a labelled row
+        machine.bias, machine.w, machine.v = w.bias, np.frombuffer(w.w), np.frombuffer(w.v).reshape(-1, RANK)
     return machine
 
 
@@ -188,7 +190,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     The model goes to the tasks, which read whole texts. Inputs are hashed words, statistics of the
     text and numeric ``metadata`` columns; ids, languages, sources and labels are not. A null or
     empty text has no words; a null in metadata is a feature of its own; rows without a label or an id are only
-    scored; without any label every score is 0.5 or close to it. Repeated rows get equal scores.
+    scored; without any label every score is 0.5. Repeated rows get equal scores.
     """
     machine = fit_quality(docs, labels, metadata, sample, id_col, text_col, label_col)
     rows = _inputs(docs, metadata, id_col, text_col)
