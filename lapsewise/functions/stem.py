@@ -43,7 +43,7 @@ def _longest(word: str, suffixes) -> str | None:
 
 @lru_cache(maxsize=1 << 17)
 def stem_word(word: str) -> str:
-    if len(word) <= 2 or not word.isascii():
+    if len(word) <= 2:
         return word
     w = word.removeprefix("'")
     if w in _WHOLE:

@@ -195,11 +195,17 @@ def path(
 # --- cross-validation -----------------------------------------------------------------------
 
 def _choose(lambdas: np.ndarray, raw: np.ndarray, weights: np.ndarray, measure: str) -> CrossValidation:
-    """Weighted mean and standard error over folds; best lambda, and the largest within one error of it."""
-    w = weights / weights.sum()
-    mean = raw @ w
-    se = np.sqrt(((raw - mean[:, None]) ** 2) @ w / max(raw.shape[1] - 1, 1))
-    better = -mean if measure == "C" else mean
+    """Weighted mean and standard error over folds; best lambda, and the largest within one error of it.
+
+    A fold whose score is not a number counts in neither; a lambda without any is never chosen.
+    """
+    known = ~np.isnan(raw)
+    w = known * weights
+    w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+    filled = np.where(known, raw, 0.0)
+    mean = np.where(known.any(axis=1), (filled * w).sum(axis=1), np.nan)
+    se = np.sqrt((np.where(known, filled - mean[:, None], 0.0) ** 2 * w).sum(axis=1) / np.maximum(known.sum(axis=1) - 1, 1))
+    better = np.nan_to_num(-mean if measure == "C" else mean, nan=np.inf)
     best = int(np.lexsort((-lambdas, better))[0])
     near = better <= better[best] + se[best]
     return CrossValidation(measure, mean, se, float(lambdas[best]), float(lambdas[near].max()))
@@ -266,7 +272,7 @@ def _cv_concordance(rows: CoxRows, betas: np.ndarray, folds, counts, ties):
     held = rows.df.select("t", "e", "f", scores.asNondeterministic()("x", "f").alias("lp"))
     long = held.select("t", "e", "f", F.posexplode("lp").alias("i", "lp"))
     c = metrics.concordance(long, "lp", SurvSpec("t", "e"), by=["f", "i"], with_se=False).select("f", "i", "c_index").collect()
-    raw = np.full((n_lambda, k), 0.5)
+    raw = np.full((n_lambda, k), np.nan)  # a fold without a usable pair says nothing
     for r in c:
         if r["c_index"] is not None:
             raw[r["i"], place[r["f"]]] = r["c_index"]

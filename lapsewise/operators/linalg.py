@@ -208,11 +208,12 @@ def nearest_neighbours(
 
     Rows are dealt into blocks by hash, so copies of one vector spread evenly. Each pair of blocks
     is one task that keeps only the best ``k`` per row; the best of the bests are then merged.
-    Equal distances (to nine places) rank by key.
+    Equal distances (to nine places) rank by key. A zero vector has cosine distance 1 to every other row, as if
+    at a right angle, so every row with a vector has ``min(k, n - 1)`` neighbours; rows without one are left out.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError("metric must be cosine or euclidean")
-    base = df.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"))
+    base = df.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v")).where("v is not null")
     blocks = max(1, -(-base.count() // block_rows))
     dealt = base.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -226,8 +227,7 @@ def nearest_neighbours(
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         ids, others_ = a["id"].to_numpy(), b["id"].to_numpy()
         if metric == "cosine":
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            y = y / np.linalg.norm(y, axis=1, keepdims=True)
+            x, y = (z / np.where(norm > 0, norm, 1.0) for z in (x, y) for norm in [np.linalg.norm(z, axis=1, keepdims=True)])
         out = []
         for s in range(0, len(x), 1024):
             part = x[s:s + 1024]

@@ -158,7 +158,7 @@ def model_auc(test: DataFrame, hazard: DataFrame, times: Sequence[float], kind:
     spark = test.sparkSession
     scores = settle(test.groupBy(F.col(lp).cast("double").alias("lp")).agg(F.count("*").cast("double").alias("n")))
     count = scores.count()
-    pieces = pieces or max(1, min(4096, -(-count // 20_000)))
+    pieces = pieces or max(1, -(-count // 20_000))
     bounds = range_bounds(scores, "lp", pieces)
     cut = scores.withColumn("b", range_index(F.col("lp"), bounds))
     out = None
@@ -169,7 +169,7 @@ def model_auc(test: DataFrame, hazard: DataFrame, times: Sequence[float], kind:
             grid, "time", hazard.select("time", (-F.col("cumulative")).alias("surv")), before=0.0).collect()}
         ranges_of = _range_sums(np.array(part, dtype=float), np.array([level[x] for x in part]), kind)
         ranges = cut.groupBy("b").applyInPandas(ranges_of, "b int, time double, case double, ctrl double, inside double")
-        # At most 4096 ranges per time, so this window is short.
+        # One row per range of 20,000 scores and time, so this window is short.
         below = F.sum("ctrl").over(Window.partitionBy("time").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
         done = ranges.withColumn("_below", F.coalesce(below, F.lit(0.0))).groupBy("time").agg(
             F.sum(F.col("inside") + F.col("case") * F.col("_below")).alias("_a"),

@@ -12,16 +12,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle, small_side
-from .running import range_index
 
 # Cells that one task may hold.
 GROUP_CELLS = 500_000
-# Ranges per axis; the coarse grid of one group then stays below a million cells.
-PIECES = 1000
+# Bounds per axis and level; the coarse grid of one group then stays below a million cells. A range that is
+# still too large is cut again by the same steps, so the number of levels grows with the data, not a range.
+PIECES = 500
 COUNTS = ("later_low", "later_high", "later_same", "early_low", "early_high", "early_same")
 _NODE = "t double, lp double, kind int, mass double, case double, " + ", ".join(f"{c} double" for c in COUNTS)
 
@@ -107,7 +108,13 @@ def cells_of(
     df: DataFrame, time: str, event: str, score: str, by: Sequence[str] = (), weight: Column | None = None,
     case_weight: Column | None = None,
 ) -> DataFrame:
-    """Cells ``(by, t, lp, d, c, w)``: event mass, censored mass, weighted event mass."""
+    """Cells ``(by, t, lp, d, c, w)``: event mass, censored mass, weighted event mass.
+
+    Rows without a time, an event flag or a score (null or not a number) can enter no pair and are left out.
+    """
+    df = df.where(F.col(event).isNotNull())
+    for c in (time, score):
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     v = F.lit(1.0) if weight is None else weight.cast("double")
     e = F.col(event).cast("double")
     w = e * v if case_weight is None else e * v * case_weight
@@ -133,44 +140,54 @@ def node_counts(cells: DataFrame, by: Sequence[str] = (), strict: bool = False,
             return _nodes(pdf, "lp", strict)
 
         return grouped.applyInPandas(whole, _typed(by, cells) + _NODE)
-    return _ranged_counts(cells, by, strict, min(2 * -(-most // group_cells), PIECES))
+    return _ranged_counts(cells, by, strict, max(2, min(2 * -(-most // group_cells), PIECES)), group_cells)
+
+
+def _places(value: Column, bounds: Sequence[float]) -> Column:
+    """2 i + 1 at bound i, 2 i between the bounds before it."""
+    cuts = np.asarray(bounds, dtype=float)
+
+    @F.arrow_udf("int")
+    def find(values: pa.Array) -> pa.Array:
+        v = values.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(cuts, v, side="left")
+        return pa.array((2 * at + (cuts[np.minimum(at, len(cuts) - 1)] == v)).astype(np.int32))
 
+    return find(value.cast("double")) if len(cuts) else F.lit(0)
 
-def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int) -> DataFrame:
+
+def _ranged_counts(cells: DataFrame, by: list[str], strict: bool, pieces: int, group_cells: int) -> DataFrame:
     probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     bounds = settle(cells.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("lp", probs, F.lit(100 * pieces))).alias("_lb"),
         F.array_distinct(F.percentile_approx("t", probs, F.lit(100 * pieces))).alias("_tb")))
+    # A bound is a range of its own between two open ones, so a hot value never shares a range with its neighbours.
     if by:
-        below = lambda value, cuts: F.size(F.filter(cuts, lambda b: b < value))
+        place = lambda value, cuts: 2 * F.size(F.filter(cuts, lambda b: b < value)) + F.array_contains(cuts, value).cast("int")
         keyed = join_groups(cells, bounds, by, small=True).select(
-            *cells.columns, below(F.col("lp"), F.col("_lb")).alias("_b"), below(F.col("t"), F.col("_tb")).alias("_g"))
+            *cells.columns, place(F.col("lp"), F.col("_lb")).alias("_b"), place(F.col("t"), F.col("_tb")).alias("_g"))
     else:
         cuts = bounds.first()
-        keyed = cells.select("*", range_index(F.col("lp"), cuts["_lb"]).alias("_b"), range_index(F.col("t"), cuts["_tb"]).alias("_g"))
+        keyed = cells.select("*", _places(F.col("lp"), cuts["_lb"]).alias("_b"), _places(F.col("t"), cuts["_tb"]).alias("_g"))
     alone = keyed.groupBy(*by, "_b").agg((F.min("lp") == F.max("lp")).alias("_alone"))
     keyed = settle(join_groups(keyed, alone, [*by, "_b"], small=True))
     head = _typed(by, cells)
     counts = ", ".join(f"{c} double" for c in COUNTS)
 
     # 1. Pairs inside one score range. A range of a single score is also cut by time.
-    own = keyed.withColumn("_h", F.when(F.col("_alone"), F.col("_g")).otherwise(F.lit(-1)))
-
-    def in_range(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nodes(pdf, "lp", strict)
-
-    first = own.groupBy(*by, "_b", "_h").applyInPandas(
-        in_range, head + "t double, lp double, _b int, _g int, _alone boolean, _h int, kind int, mass double, case double, " + counts)
+    own = keyed.select(*by, "_b", F.when(F.col("_alone"), F.col("_g")).otherwise(F.lit(-1)).alias("_h"), "t", "lp", "d", "c", "w")
+    level = len([k for k in by if k.startswith("_h")])
+    inner = [*by, f"_b{level}", f"_h{level}"]
+    first = node_counts(own.withColumnsRenamed({"_b": f"_b{level}", "_h": f"_h{level}"}), inner, strict, group_cells)
+    first = first.withColumnRenamed(f"_b{level}", "_b").drop(f"_h{level}")
 
     # 2. Pairs inside one time range but different score ranges: only the range numbers matter.
     coarse = keyed.groupBy(*by, "t", "_g", "_b", "_alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])
     coarse = settle(coarse)
-
-    def in_time(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _nodes(pdf, "_b", strict).assign(later_same=0.0, early_same=0.0)
-
-    second = coarse.groupBy(*by, "_g").applyInPandas(
-        in_time, head + "t double, _g int, _b int, _alone boolean, kind int, mass double, case double, " + counts)
+    second = node_counts(coarse.select(*by, F.col("_g").alias(f"_h{level}"), "t", F.col("_b").cast("double").alias("lp"), "d", "c", "w"),
+                         [*by, f"_h{level}"], strict, group_cells)
+    second = second.select(*by, F.col(f"_h{level}").alias("_g"), "t", F.col("lp").cast("int").alias("_b"), "kind", *[
+        F.lit(0.0).alias(c) if c.endswith("_same") else F.col(c) for c in COUNTS])
 
     # 3. Pairs in different time ranges and different score ranges, on the grid of ranges.
     grid = coarse.groupBy(*by, "_g", "_b", "_alone").agg(*[F.sum(c).alias(c) for c in ("d", "c", "w")])

@@ -65,7 +65,8 @@ def running(
             out = out.withColumn(dst, F.min(src).over(w))
         return out
 
-    pieces = min(max(shuffle_width(df.sparkSession), 2 + rows // one_task_rows), 4096)
+    # one bound per million rows comes to the driver, and one total per range meets in the window over offsets
+    pieces = max(shuffle_width(df.sparkSession), 2 + rows // one_task_rows)
     bounds = range_bounds(base, order, pieces)
     keys = [*by, "_range"]
     cut = base.withColumn("_range", range_index(F.col(order).cast("double"), bounds))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.stem import stem_terms
 from ..functions.words import ENGLISH_STOPWORDS, TOKEN_PATTERN
-from ..session import settle
+from ..session import settle, small_side
 from . import stats
 
 
@@ -79,8 +79,8 @@ def vocabulary(counts: DataFrame, docs: DataFrame, sparse: float = 1.0) -> DataF
 
 
 def _matched(counts: DataFrame, vocab: DataFrame, sparse: float) -> DataFrame:
-    # Kept terms number less than (mean distinct terms per document) / (1 - sparse), whatever N is.
-    return counts.join(F.broadcast(vocab) if sparse < 1 else vocab, "term")
+    # Kept terms number less than (mean distinct terms per document) / (1 - sparse), whatever N is; their bytes are checked.
+    return counts.join(small_side(vocab) if sparse < 1 else vocab, "term")
 
 
 def weighted(counts: DataFrame, vocab: DataFrame, key: str, opts: TermOptions = TermOptions(),
@@ -118,7 +118,7 @@ def tfidf(docs: DataFrame, key: str, text: str, opts: TermOptions = TermOptions(
     if opts.low_idf_quantile is None and opts.low_df == 1:
         return weights, full
     kept = pruned_vocabulary(full, opts)
-    left = F.broadcast(kept.select("term")) if opts.sparse < 1 else kept.select("term")
+    left = small_side(kept.select("term")) if opts.sparse < 1 else kept.select("term")
     return weights.join(left, "term", "left_semi"), kept
 
 
@@ -178,7 +178,7 @@ _dense = _dense.asNondeterministic()  # computed once, however often the vector
 
 def term_vectors(docs: DataFrame, key: str, weights: DataFrame, index: DataFrame, size: int) -> DataFrame:
     """One dense vector per document in the order of ``index``; documents without terms get zeros."""
-    rows = weights.join(F.broadcast(index), "term").groupBy(key).agg(
+    rows = weights.join(small_side(index), "term").groupBy(key).agg(
         F.collect_list("index").alias("_i"), F.collect_list("weight").alias("_w")
     )
     return docs.join(rows, key, "left").withColumn("vector", _dense("_i", "_w", F.lit(size))).drop("_i", "_w")

@@ -71,7 +71,7 @@ def coxnet_cv_loglik(spark, sf):
 @query("select_1se")
 def select_1se(spark, sf):
     p, *_ = _path(spark, sf, "loglik")
-    return coxnet.zero_nonzero(p, spark, "lambda.min").select("term", "role", "beta", "kept")
+    return coxnet.zero_nonzero(p, spark, "lambda.1se").select("term", "role", "beta", "kept")
 
 
 @query("cv_table")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(app: str = "lapsewise", cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -19,6 +20,7 @@ def local_session(app: str = "lapsewise", cores: str = "8", partitions: int = 8)
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")  # long texts: keep batches small
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -49,11 +51,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
-# A table of at most this many narrow rows is sent to every executor; a larger one is joined by shuffle.
-SMALL_ROWS = 500_000
+# A table of at most this many bytes is sent to every executor; a larger one is joined by shuffle.
+SMALL_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Compute a table that should be small, count it, and mark it for broadcast only when it is."""
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 for itself, 16 per flat column, and what strings and arrays hold."""
+    size = F.lit(16 + 16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            size = size + 16 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return size
+
+
+def small_side(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """Compute a table that should be small, sum its bytes, and mark it for broadcast only when it is."""
     done = settle(df)
-    return F.broadcast(done) if done.count() <= limit else done
+    return F.broadcast(done) if (done.agg(F.sum(_row_bytes(done))).first()[0] or 0) <= limit else done

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lapsewise.functions import special
 from lapsewise.functions.special import beta_cdf, digamma, trigamma
 from lapsewise.functions.stem import stem_word
 from lapsewise.operators import (
@@ -176,6 +177,21 @@ def test_neighbours_in_blocks(spark, metric):
 
 # --- splits ---------------------------------------------------------------------------------
 
+def test_zero_vectors_keep_their_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (5, None)]
+    got = linalg.nearest_neighbours(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 2, "cosine").collect()
+    assert {i: sum(r.id == i for r in got) for i in range(1, 6)} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 0}
+    assert {(r.neighbour, r.distance) for r in got if r.id == 3} == {(1, 1.0), (2, 1.0)}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from lapsewise.session import small_side
+
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(small_side(wide, 20_000)) and not hinted(small_side(wide, 9_000))
+
+
 def test_split_shares_are_exact(spark):
     df = frame(spark, k=np.arange(997), e=(np.arange(997) % 5 == 0).astype(int))
     a = split.stratified_split(df, "k", "e", (0.8, 0.1, 0.1), seed=4)
@@ -281,6 +297,19 @@ def test_special_functions():
     assert np.allclose(beta_cdf(x, 2, 3), 6 * x**2 - 8 * x**3 + 3 * x**4)
 
 
+def test_large_beta_parameters():
+    x = np.array([0.4995, 0.5, 0.5003])
+    near = special.beta_cdf(x, 4e6, 4e6), special._beta_normal(x, 4e6, 4e6)
+    assert np.allclose(*near, atol=1e-8)
+    assert np.allclose(special.beta_cdf(np.array([0.0, 0.5, 1.0]), 5e11, 5e11), [0.0, 0.5, 1.0], atol=1e-12)
+
+
+def test_a_fold_without_a_score_does_not_count():
+    raw = np.array([[0.6, 0.7, np.nan], [0.5, np.nan, np.nan], [np.nan] * 3])
+    cv = coxnet._choose(np.array([3.0, 2.0, 1.0]), raw, np.array([10.0, 30.0, 5.0]), "C")
+    assert np.allclose(cv.mean[:2], [0.675, 0.5]) and np.isnan(cv.mean[2]) and cv.lambda_min == 3.0
+
+
 def test_cox_symmetries(spark):
     x, time, event, _ = hazards_data(120, 1, ties=False)
     mk = lambda z: spark.createDataFrame(pd.DataFrame({"sale_time": time, "event": event, "x": z.tolist()}))
@@ -364,6 +393,32 @@ def test_concordance_counts(spark, cells):
     assert metrics.concordance(df.withColumn("lp", F.lit(1.0))).first().c_index == 0.5
 
 
+def test_a_hot_score_is_cut(spark, monkeypatch):
+    """Half of the rows share one score amid continuous ones; no task holds a group above the limit."""
+    rng = np.random.default_rng(8)
+    n, limit = 400, 60
+    t, e = rng.exponential(5, n), rng.integers(0, 2, n)
+    lp = np.where(rng.random(n) < 0.5, 0.25, rng.normal(size=n))
+    plain = pairs._nodes
+
+    def seen(pdf, score, strict, plain=plain, limit=limit):
+        assert len(pdf) <= limit
+        return plain(pdf, score, strict)
+
+    monkeypatch.setattr(pairs, "_nodes", seen)
+    df = frame(spark, sale_time=t, event=e, lp=lp)
+    r = metrics.concordance(df, group_cells=limit, with_se=False).first()
+    assert (r.concordant, r.discordant, r.tied) == brute_pairs(t, e, lp)
+
+
+def test_rows_without_a_score_enter_no_pair(spark):
+    t, e, lp = scored_rows()
+    some = frame(spark, sale_time=t, event=e, lp=lp)
+    more = some.unionByName(spark.createDataFrame([(1.0, 1, None), (2.0, 0, float("nan")), (None, 1, 0.5)], "sale_time double, event long, lp double")
+                            .select(*[F.col(c).cast(some.schema[c].dataType) for c in some.columns]))
+    assert metrics.concordance(more).first() == metrics.concordance(some).first()
+
+
 @pytest.mark.parametrize("cells", [pairs.GROUP_CELLS, 25])
 def test_uno_scores(spark, cells):
     t, e, lp = scored_rows()
