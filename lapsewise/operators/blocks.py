@@ -27,10 +27,10 @@ def tree_sum(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndar
              tasks: int | None = None) -> np.ndarray | None:
     """Sum of ``kernel(batches)`` over all tasks. Only arrays of one fixed size travel, never rows.
 
-    On a wide session the partial arrays are first summed on executors, so that the driver
-    receives about the square root of the task number; ``tasks`` is that number where it is known.
+    The partial arrays are summed on executors until few are left for the driver, unless ``tasks``, the number
+    of tasks where it is known, is small already. Where it is unknown one merge always runs.
     """
-    width = tasks or max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    width = tasks or max(shuffle_width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism, FAN_IN + 1)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = kernel(batches)
@@ -47,8 +47,9 @@ def tree_sum(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], np.ndar
             yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
 
     parts = df.mapInArrow(partial, "part binary")
-    if width > FAN_IN:
-        parts = parts.repartition(int(np.ceil(np.sqrt(width)))).mapInArrow(merge, "part binary")
+    while width > FAN_IN:
+        width = int(np.ceil(np.sqrt(width)))
+        parts = parts.repartition(width).mapInArrow(merge, "part binary")
     total = None
     for row in parts.collect():
         part = np.frombuffer(bytes(row["part"]))

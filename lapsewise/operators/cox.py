@@ -32,7 +32,10 @@ DIRECT_TIES = 4096
 # --- data -----------------------------------------------------------------------------------
 
 class CoxRows:
-    """The prepared rows of a fit: ``t, s, e, f, x``, kept in memory or on local disk while in use."""
+    """The prepared rows of a fit: ``t, s, e, f, x``, kept in memory or on local disk while in use.
+
+    Rows with a null or not-a-number time, event or covariate take no part; ``left_out`` counts them.
+    """
 
     def __init__(self, df: DataFrame, x: str, width: int, surv: SurvSpec = SurvSpec(), fold: str | None = None):
         self.p = width
@@ -44,7 +47,11 @@ class CoxRows:
             (F.col(fold).cast("int") if fold else F.lit(-1)).alias("f"),
             F.col(x).cast("array<double>").alias("x"),
         ]
-        self.df = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+        bad = F.exists("x", lambda v: v.isNull() | F.isnan(v)) | F.isnan("t") | F.isnan("s")
+        whole = F.col("t").isNotNull() & F.col("s").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~bad
+        every = df.select(*cols)
+        self.df = every.where(whole).persist(StorageLevel.MEMORY_AND_DISK)
+        self._every = every
         p = self.p
 
         def moments(batches):
@@ -101,6 +108,10 @@ class CoxRows:
             if part:
                 yield np.sort(np.array([r["t"] for r in part]))
 
+    def left_out(self) -> int:
+        """Rows that take no part, by one more count of the input."""
+        return int(self._every.count() - self.n)
+
     def release(self) -> None:
         self.df.unpersist()
 
@@ -313,6 +324,11 @@ class CoxModel:
         return spark.createDataFrame(
             rows, "term string, variable string, role string, beta double, se double, z double, p double")
 
+    def status(self, spark: SparkSession) -> DataFrame:
+        """How the fit ended: ``converged, iterations, loglik, n, n_event``."""
+        return spark.createDataFrame([(self.converged, self.iterations, float(self.loglik), self.n, self.n_event)],
+                                     "converged boolean, iterations int, loglik double, n long, n_event long")
+
     def linear_predictor(self, df: DataFrame, name: str = "lp") -> DataFrame:
         """Add ``(x - training means) . beta``."""
         beta, mean, p = self.beta, self.mean, len(self.beta)
@@ -340,7 +356,11 @@ class CoxModel:
 
 def fit(df: DataFrame, columns: Sequence[DesignColumn], x: str = "x", surv: SurvSpec = SurvSpec(),
         ties: str = "efron", max_iter: int = 20, tol: float = 1e-9, rows: CoxRows | None = None) -> CoxModel:
-    """Newton's method with step halving."""
+    """Newton's method with step halving on the complete rows.
+
+    A trial that is worse or not finite is never taken; ``converged`` and ``iterations`` of the model, and its
+    ``status`` table, tell how the fit ended.
+    """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be efron or breslow")
     own = rows is None
@@ -360,6 +380,8 @@ def fit(df: DataFrame, columns: Sequence[DesignColumn], x: str = "x", surv: Surv
             if np.isfinite(nxt.loglik) and nxt.loglik >= step.loglik - 1e-10 * abs(step.loglik):
                 break
             move = move / 2
+        else:
+            break  # no step improves the fit: keep the last one, not converged
         change = nxt.loglik - step.loglik
         beta, step = trial, nxt
         done = abs(change) <= tol * (abs(step.loglik) + tol)

@@ -172,7 +172,9 @@ def path(
         lambdas = np.sort(np.asarray(lambdas, dtype=float))[::-1]
     fits = [_Fit(lane, n, step, curve)
             for lane, n, step, curve in zip(lanes, sizes, steps, cox.information(rows, lanes, steps))]
-    width = max(1, cox.PASS_CELLS // (2 * len(fits) * max(rows.n_times, 1) * (rows.p + 1)))
+    # a lane brings sums per event time and a cross product
+    cells = max(2 * max(rows.n_times, 1) * (rows.p + 1), rows.p * rows.p)
+    width = max(1, cox.PASS_CELLS // (len(fits) * cells))
     kept, status = [], []
     for start in range(0, len(lambdas), width):
         block = [[replace(f, lam=float(lam)) for f in fits] for lam in lambdas[start:start + width]]

@@ -297,6 +297,18 @@ def test_special_functions():
     assert np.allclose(beta_cdf(x, 2, 3), 6 * x**2 - 8 * x**3 + 3 * x**4)
 
 
+def test_incomplete_rows_take_no_part(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(t), int(e), [float(x) for x in v]) for t, e, v in zip(rng.exponential(4, 80).round(1) + 0.1, rng.integers(0, 2, 80), rng.normal(size=(80, 2)))]
+    schema = "sale_time double, event int, x array<double>"
+    full = spark.createDataFrame(rows, schema)
+    more = spark.createDataFrame(rows + [(1.0, 1, [None, 1.0]), (2.0, 0, [float("nan"), 0.0]), (None, 1, [1.0, 1.0]), (1.0, None, [1.0, 1.0]), (1.0, 1, None)], schema)
+    cols = [DesignColumn("a", "a", "num"), DesignColumn("b", "b", "num")]
+    want, got = cox.fit(full, cols), cox.fit(more, cols)
+    assert got.n == 80 and np.allclose(got.beta, want.beta) and got.status(spark).first().converged
+    assert cox.CoxRows(more, "x", 2).left_out() == 5
+
+
 def test_large_beta_parameters():
     x = np.array([0.4995, 0.5, 0.5003])
     near = special.beta_cdf(x, 4e6, 4e6), special._beta_normal(x, 4e6, 4e6)
