@@ -187,6 +187,33 @@ def iauc(spark, sf):
     return metrics.integrated_auc(auc, kaplan_meier(test)).select(_r("iauc"))
 
 
+@query("iauc_incident", _SH + " SELECT round(sum(auc * m) / sum(m), 6) AS iauc FROM au JOIN km ON au.time = km.t WHERE m > 0")
+def iauc_incident(spark, sf):
+    auc, test = _auc(spark, sf, "incident")
+    return metrics.integrated_auc(auc, kaplan_meier(test)).select(_r("iauc"))
+
+
+# Uno scores of held-out rows weigh by the censoring curve of the training rows, carried forward from its last step.
+_UNO = _MODEL + """, pw AS MATERIALIZED (SELECT t, e, round(lp, 12) AS lp, coalesce((SELECT min(g) FROM gk WHERE gk.t <= pte.t), 1) AS g FROM pte)"""
+
+
+@query("uno_c_model", _UNO + """
+SELECT round(sum(CASE WHEN a.lp > b.lp THEN 1 WHEN a.lp = b.lp THEN 0.5 ELSE 0 END / (a.g * a.g)) / sum(1 / (a.g * a.g)), 6) AS c_uno
+FROM pw a JOIN pw b ON a.e = 1 AND a.g > 0 AND b.t > a.t""")
+def uno_c_model(spark, sf):
+    train, test = _fitted(spark, sf)
+    return metrics.uno_c(test.withColumn("lp", F.round("lp", 12)), metrics.censoring_curve(train)).select(_r("c_uno"))
+
+
+@query("iauc_uno", _UNO + """, au AS (SELECT time, sum(CASE WHEN a.lp > b.lp THEN 1 WHEN a.lp = b.lp THEN 0.5 ELSE 0 END / a.g) / sum(1 / a.g) AS auc
+ FROM ti JOIN pw a ON a.e = 1 AND a.g > 0 AND a.t <= time JOIN pw b ON b.t > time GROUP BY time)
+SELECT round(sum(auc * m) / sum(m), 6) AS iauc FROM au JOIN km ON au.time = km.t WHERE m > 0""")
+def iauc_uno(spark, sf):
+    train, test = _fitted(spark, sf)
+    auc = metrics.auc_uno(test.withColumn("lp", F.round("lp", 12)), metrics.censoring_curve(train))
+    return metrics.integrated_auc(auc.join(metrics.event_times(test), "time"), kaplan_meier(test)).select(_r("iauc"))
+
+
 @query("score_bundle")
 def score_bundle(spark, sf):
     train, test = _fitted(spark, sf)
