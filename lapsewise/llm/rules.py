@@ -27,7 +27,7 @@ STATS = {
 }
 P = len(STATS)
 KEEP = 0.75     # share of a group's rows that an estimate covers
-TAIL = 1e-5     # share of regular rows that the cut would reject under a normal law
+TAIL = 1e-6     # share of regular rows that the cut would reject under a normal law
 STEPS = 8       # concentration steps
 BINS = 16       # bins per octave of squared distance
 
