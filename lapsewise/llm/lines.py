@@ -61,8 +61,8 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     out = F.transform("gone", lambda j: F.element_at(F.col("full"), j + 1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("out"))
     return (
-        done.withColumn("all_lines", all_lines).withColumn("full", F.when(F.col("gone").isNotNull(), full)).withColumn("out", out)
-        .select("doc_id", *["rest"] * bool(carry), F.when(F.col("text").isNull(), 0).otherwise(F.size("all_lines")).cast("long").alias("n_lines"),
+        done.withColumn("all_lines", F.when(F.col("gone").isNotNull(), all_lines)).withColumn("full", F.when(F.col("gone").isNotNull(), full)).withColumn("out", out)
+        .select("doc_id", *["rest"] * bool(carry), F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
                 F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
                 F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.array_except("gone", F.transform("gone", lambda j: j + 1)))).cast("long").alias("n_runs"),
                 F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("all_lines"), i + 1)), "\n")).alias("text"))
