@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +47,15 @@ def number_rows(df: DataFrame, group: str, key: Column, out: str, bits: int = 12
     )
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little work seldom does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest member of each connected component: columns ``node`` and ``root``.
 
@@ -61,7 +72,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: larger neighbours of n go to n's least neighbour (n itself included)
         large = (
             both.where("lo > hi").select(F.col("hi").alias("n"), F.col("lo").alias("far")).join(least, "n")
-            .select(F.col("far").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
+            .select(F.col("far").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
         )
         # small star: n and its smaller neighbours go to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n")
@@ -74,4 +85,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
         mark = now
+        del both, least, large, low, small
+        tidy(edges.sparkSession)
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

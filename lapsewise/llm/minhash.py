@@ -11,16 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapsewise.session import settle
+from lapsewise.session import settle, shuffle_width
 
-from .common import components, table
+from .common import components, table, tidy
 
 BANDS, ROWS = 40, 5      # at similarity 0.8 a pair shares no band with chance 6e-8
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 4.0, 254  # register k stands for minima around RATE * BASE ** -k; TOP ends beyond 1e9 elements
 SLACK = 18.0             # log likelihood that a pair may lose against its best similarity and is still verified
-HOT = 512                # rows of a group that are compared in one piece
-STARS = 3                # rounds that compare a group with one member before its rest is compared throughout
+HOT = 256                # rows of a group that are compared in one piece
+WHOLE = 64               # pieces up to which a cluster of groups is compared as one; larger ones go group by group
+STARS = 2                # rounds that compare a group with one member before its rest is compared throughout
 
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -180,9 +181,7 @@ def _verify(percent: int):
                     hub, own = h, s.copy()
                     continue
                 assert hub == h
-                at = np.searchsorted(own, s)
-                common = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-                if 100 * common >= percent * (len(own) + len(s) - common):
+                if _linked(own, s, percent):
                     out.append((h, x))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
@@ -219,6 +218,52 @@ def _crossing(percent: int):
     return run
 
 
+def _within(percent: int):
+    """One piece of a cluster against another: links that join components, verified on full sets at once.
+
+    Partners of a row are tried from the most alike down, and only those that are not yet in its component.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("i")[i].as_py() == batch.column("j")[i].as_py()
+                sides = []
+                for c in ("rows_a", "rows_b"):
+                    rows = batch.column(c)[i].values
+                    sides.append([rows.field(k).to_numpy() for k in ("id", "comp", "n")] + [_registers(rows.field("regs")), rows.field("shingles")])
+                (ids_a, comp_a, n_a, regs_a, sets_a), (ids_b, comp_b, n_b, regs_b, sets_b) = sides
+                names, where = np.unique(np.concatenate([comp_a, comp_b]), return_inverse=True)
+                label = np.arange(len(names))
+                at_a, at_b = where[:len(ids_a)], where[len(ids_a):]
+                found: list[tuple[int, int]] = []
+                for r in range(len(ids_a)):
+                    mine = label[at_a[r]]
+                    pick = np.flatnonzero((label[at_b] != mine) & (100 * np.minimum(n_b, n_a[r]) >= percent * np.maximum(n_b, n_a[r])) & ((ids_b > ids_a[r]) if same else True))
+                    if not len(pick):
+                        continue
+                    up, down = (regs_a[r] > regs_b[pick]).sum(axis=1), (regs_a[r] < regs_b[pick]).sum(axis=1)
+                    ok = plausible(up, down, np.full(len(pick), float(n_a[r])), n_b[pick].astype(float), percent)
+                    own = None
+                    for k in pick[ok][np.argsort((up + down)[ok], kind="stable")]:
+                        other = label[at_b[k]]
+                        if other == label[at_a[r]]:
+                            continue
+                        own = np.frombuffer(sets_a[r].as_buffer(), dtype=np.uint64) if own is None else own
+                        s = np.frombuffer(sets_b[int(k)].as_buffer(), dtype=np.uint64)
+                        if _linked(own, s, percent):
+                            found.append((int(ids_a[r]), int(ids_b[k])))
+                            label[label == other] = label[at_a[r]]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(a, b)
+    common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have at least ``percent`` in common: ``doc_id, n_shingles, component_id, kept``.
 
@@ -226,8 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links with nothing. Equal sets (equal texts among them) collapse to one representative. Its SetSketch registers are banded; in each band
     group the member first in a fixed hash order is the hub, and every member is held against its hub: a joint
     likelihood over all registers drops what cannot reach the similarity, full sets decide the rest. Members
-    that are linked by then need no further comparison with each other. After a few such rounds with other hubs, groups that still
-    hold several components are compared throughout, in pieces of bounded size, across components. So the
+    that are linked by then need no further comparison with each other. After a second round with other hubs, groups that still
+    hold several components are compared throughout, in pieces of bounded size, across components: clusters of groups
+    with common members as one, so that a pair meets once, clusters above 64 pieces group by group. So the
     components are those of all links between band partners. A hub with many members is dealt in lanes, a large group in pieces;
     no group meets in one task. Ids must be integers; a row with a null id gets a null component and is not kept. Rows that repeat an id
     share the component of that id. An empty table gives an empty result.
@@ -260,32 +306,54 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def side(k: str) -> DataFrame:
         return regs.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}"))
 
+    def packed(rows: DataFrame, *group: str) -> DataFrame:
+        """Pairs of pieces of each group: group columns, i, j, rows_a, rows_b."""
+        of = [c for c in rows.columns if c not in (*group, "pieces", "piece")]
+        held = settle(rows.groupBy(*group, "pieces", "piece").agg(F.collect_list(F.struct(*of)).alias("rows")))
+        left = held.select(*group, F.col("rows").alias("rows_a"), F.col("piece").alias("i"), F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1)).alias("j"))
+        right = held.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("rows").alias("rows_b"), F.col("piece").alias("_j"))
+        match = [F.col(c) == F.col(f"_{c}") for c in group] + [F.col("j") == F.col("_j")]
+        return left.join(right, match).drop(*[f"_{c}" for c in group], "_j").repartition(4 * shuffle_width(docs.sparkSession), *group, "i", "j")
+
+    def mixed_groups(comp: DataFrame | None) -> DataFrame:
+        """Band members with their components, of the groups that hold several."""
+        if comp is None:
+            return member.withColumn("comp", F.col("id"))
+        now = member.drop("size").join(comp, F.col("id") == F.col("node"), "left").select("id", "band", "key", F.coalesce("root", "id").alias("comp"))
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select(F.col("key").alias("k"), "lo", "size")
+        return settle(now.join(mixed, F.col("key") == F.col("k")).drop("k"))
+
     links, comp = None, None
-    for turn in range(STARS + 1):
-        if comp is not None:
-            now = member.join(comp, F.col("id") == F.col("node"), "left").select("id", "band", "key", F.coalesce("root", "id").alias("comp"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select(F.col("key").alias("k"), "size")
-            now = settle(now.join(mixed, F.col("key") == F.col("k")).drop("k"))
-        else:
-            now = member.withColumn("comp", F.col("id"))
-        if turn < STARS:
-            hubs = now.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("hub"))
-            stars = now.join(hubs, F.col("key") == F.col("k")).where(F.col("comp") != F.col("hub.comp")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            likely = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent), "a long, b long")
-        else:
-            piece = now.withColumn("pieces", F.ceil(F.col("size") / HOT).cast("int")).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("pieces")).cast("int"))
-            packed = settle(piece.join(regs, "id").groupBy("key", "band", "pieces", "piece").agg(F.collect_list(F.struct("id", "comp", "n", "regs")).alias("rows")))
-            left = packed.select("key", "band", F.col("rows").alias("rows_a"), F.col("piece").alias("i"), F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1)).alias("j"))
-            right = packed.select("key", F.col("rows").alias("rows_b"), F.col("piece").alias("j"))
-            likely = left.join(right, ["key", "j"]).repartition("key", "i", "j").select("band", "i", "j", "rows_a", "rows_b").mapInArrow(_crossing(percent), "a long, b long")
-        likely = settle(likely)
-        if likely.isEmpty():
-            continue
+    for turn in range(STARS):
+        now = mixed_groups(comp)
+        hubs = now.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("hub"))
+        stars = now.join(hubs, F.col("key") == F.col("k")).where(F.col("comp") != F.col("hub.comp")).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+        likely = settle(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent), "a long, b long"))
         found = linked(likely)
         links = found if links is None else links.unionByName(found)
         comp = components(links)
-    roots = comp if comp is not None else docs.sparkSession.createDataFrame([], "node long, root long")
-    solved = settle(single.join(roots, F.col("id") == F.col("node"), "left").select("n", "s1", "s2", "doc", F.coalesce("root", "id").alias("root")))
+        del now, hubs, stars, likely, found
+        tidy(docs.sparkSession)
+
+    now = mixed_groups(comp)
+    if comp is None:
+        lows = now.groupBy("key").agg(F.min("comp").alias("lo")).withColumnRenamed("key", "k")
+        now = settle(now.join(lows, F.col("key") == F.col("k")).drop("k"))
+    cluster = components(now.select(F.col("comp").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("_node"), F.col("root").alias("cluster"))
+    rows_of = now.select("id", "comp").distinct().join(cluster, F.col("comp") == F.col("_node")).drop("_node")
+    sizes = settle(rows_of.groupBy(F.col("cluster").alias("_c")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("pieces")))
+    piece = F.pmod(F.xxhash64("id", F.lit(99)), F.col("pieces")).cast("int").alias("piece")
+    small = rows_of.join(sizes.where(F.col("pieces") <= WHOLE), F.col("cluster") == F.col("_c")).select("cluster", "id", "comp", "pieces", piece)
+    once = packed(small.join(regs, "id").join(sets, "id").select("cluster", "pieces", "piece", "id", "comp", "n", "regs", "shingles"), "cluster")
+    found = settle(once.select("i", "j", "rows_a", "rows_b").mapInArrow(_within(percent), "a long, b long"))
+    links = found if links is None else links.unionByName(found)
+    large = rows_of.join(sizes.where(F.col("pieces") > WHOLE), F.col("cluster") == F.col("_c"), "left_semi").select(F.col("id").alias("_id"))
+    each = now.join(large, F.col("id") == F.col("_id"), "left_semi").withColumn("pieces", F.ceil(F.col("size") / HOT).cast("int"))
+    each = packed(each.select("key", "band", "id", "comp", "pieces", piece).join(regs, "id").select("key", "band", "pieces", "piece", "id", "comp", "n", "regs"), "key", "band")
+    likely = settle(each.select("band", "i", "j", "rows_a", "rows_b").mapInArrow(_crossing(percent), "a long, b long"))
+    links = links.unionByName(linked(likely))
+    comp = components(links)
+    solved = settle(single.join(comp, F.col("id") == F.col("node"), "left").select("n", "s1", "s2", "doc", F.coalesce("root", "id").alias("root")))
     least = solved.groupBy("root").agg(F.min("doc").alias("component"))
     solved = solved.join(least, "root").select("n", "s1", "s2", "component")
     of = known.select("doc_id", "n", "s1", "s2").join(solved, ["n", "s1", "s2"]).groupBy(F.col("doc_id").alias("known")).agg(F.min("component").alias("component"))

@@ -63,10 +63,12 @@ def test_components_equal_all_pairs(make):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
-def test_a_hot_group_is_cut_in_pieces(make, monkeypatch):
-    """A chain of texts in which most pairs are no links, with pieces of four rows and without star rounds."""
+@pytest.mark.parametrize("whole, stars", [(64, 0), (0, 0), (64, 1)])
+def test_a_hot_group_is_cut_in_pieces(make, monkeypatch, whole, stars):
+    """A chain of texts in which most pairs are no links, with pieces of four rows, by cluster and by group."""
     monkeypatch.setattr(minhash, "HOT", 4)
-    monkeypatch.setattr(minhash, "STARS", 0)
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "WHOLE", whole)
     base = words(5, 300)
     rows = [(i, " ".join(base[:290 - 7 * i] + words(50 + i, 7 * i))) for i in range(25)]
     want, _ = plain_components(rows, 5, 80)
