@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 from lapsewise.session import settle, shuffle_width
 
-from .common import table
+from .common import table, tidy
 
 SPAN = 400               # bytes of a string that counts as repeated
-GRAM = 200               # bytes of an anchor; a window of SPAN bytes holds SPAN - GRAM + 1 of them
+GRAM = 128               # bytes of an anchor; a window of SPAN bytes holds SPAN - GRAM + 1 of them
 BLOCK = 16               # window starts that share one core
 CHUNK = 1 << 18          # bytes that are hashed together
 PLACE = 20               # bits of a place in what is hashed together
@@ -113,22 +113,26 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor_ranges(held)[-1].view(np.int64))], names=["g"])
 
 
-_RANGE = "u long, h long, first long, hi int, lo int, g long, c1 long, c2 long"
+# A range in few longs, as many of them are dealt out: the document, (first start, hi, lo) packed, and two hashes.
+_RANGE = "u long, h long, packed long, g long, c long"
+_FIRST, _HI, _LO = "shiftright(packed, 20)", "cast(shiftright(packed, 10) & 1023 as int)", "cast(packed & 1023 as int)"
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per range: document, first start, greatest and least distance to the anchor, anchor hash, hash of all its windows' bytes."""
+    """Per range: document, first start, greatest and least distance to the anchor, anchor hash, hash of all its windows' bytes.
+
+    The two hashes have different bases and byte values, so together they name a range by 128 bits.
+    """
     for batch in batches:
         u, h = (batch.column(c).to_numpy() for c in ("u", "h"))
         for held in _segments(batch.column("text").to_pylist()):
-            raw, prefix, part, first, last, anchor, g = anchor_ranges(held)
+            raw, _, part, first, last, anchor, g = anchor_ranges(held)
             row, base = np.array([r for r, *_ in held])[part], np.array([a for _, a, _ in held])[part]
             begin = np.concatenate([[0], np.cumsum([len(p) for *_, p in held])[:-1]])[part]
-            c = [substring_hash(p, first, last + SPAN, k).view(np.int64) for k, p in ((0, prefix), (1, prefix_hash(raw, 1)))]
+            c = substring_hash(prefix_hash(raw, 1), first, last + SPAN, 1)
+            packed = ((first - begin + base) << 20) | ((anchor - first) << 10) | (anchor - last)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u[row]), pa.array(h[row]), pa.array(first - begin + base), pa.array((anchor - first).astype(np.int32)),
-                 pa.array((anchor - last).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c[0]), pa.array(c[1])],
-                names=["u", "h", "first", "hi", "lo", "g", "c1", "c2"])
+                [pa.array(u[row]), pa.array(h[row]), pa.array(packed), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=["u", "h", "packed", "g", "c"])
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +166,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut fragments where the distance to the anchor is a multiple of BLOCK.
 
     All windows of a block hold its core. A window is then some bytes, the core, and some bytes, BLOCK symbols with the
-    core as one. Rows: fragment, distance of the first start, number of starts, core (its name), symbols.
+    core as one. Rows: fragment, distance of the first start, number of starts, core (its name), bytes before and after.
     """
     for batch in batches:
-        out = {k: [] for k in ("fragment", "from", "starts", "core", "symbols")}
+        out = {k: [] for k in ("fragment", "from", "starts", "core", "left", "right")}
         for fragment, g, hi, lo, raw in zip(*(batch.column(c).to_pylist() for c in ("fragment", "g", "hi", "lo", "raw"))):
             for k in range(lo // BLOCK, hi // BLOCK + 1):
                 top, least = min(hi, BLOCK * k + BLOCK - 1), max(lo, BLOCK * k)
@@ -175,10 +179,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["from"].append(top)
                 out["starts"].append(top - least + 1)
                 out["core"].append(name)
-                out["symbols"].append([b + 1 for b in raw[start:core]] + [name + 257] + [b + 1 for b in raw[end:hi - least + SPAN]])
+                out["left"].append(raw[start:core])
+                out["right"].append(raw[end:hi - least + SPAN])
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["fragment"], pa.int64()), pa.array(out["from"], pa.int32()), pa.array(out["starts"], pa.int32()), pa.array(out["core"], pa.int64()),
-             pa.array(out["symbols"], pa.list_(pa.int64()))], names=list(out))
+             pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], names=list(out))
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes plus 1, and the name of the core above them."""
+    for batch in batches:
+        rows = [[b + 1 for b in x] + [c + 257] + [b + 1 for b in y] for x, c, y in zip(*(batch.column(k).to_pylist() for k in ("left", "core", "right")))]
+        kept = ("piece", "fragment", "from", "starts", "n")
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(rows, pa.list_(pa.int64()))], names=[*kept, "s"])
 
 
 # --- difference-cover sort of many short strings -------------------------------------------------------------------
@@ -206,15 +219,15 @@ def _placed(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _counted(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Sort and count for each row the rows before it with and without ``flag``: ``flagged``, ``others``."""
-    ranked = _placed(df.withColumn("_salt", F.xxhash64("piece", "o")), [*keys, "_salt"])
+    ranked = _placed(df.withColumn("_salt", F.xxhash64("piece", "o")), [*keys, "_salt"]).select("piece", "o", flag, "_part", "place")
     inside = Window.partitionBy("_part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    own = settle(ranked.withColumn("_in", F.coalesce(F.sum(F.col(flag).cast("long")).over(inside), F.lit(0))))
+    own = ranked.withColumn("_in", F.coalesce(F.sum(F.col(flag).cast("long")).over(inside), F.lit(0)))
     before, run = [], 0
-    for r in sorted(own.groupBy("_part").agg(F.sum(F.col(flag).cast("long")).alias("n")).collect()):
+    for r in sorted(ranked.groupBy("_part").agg(F.sum(F.col(flag).cast("long")).alias("n")).collect()):
         before.append((r._part, run))
         run += r.n
     starts = df.sparkSession.createDataFrame(before, "_part long, _start long")
-    return own.join(F.broadcast(starts), "_part").withColumn("flagged", F.col("_in") + F.col("_start")).withColumn("others", F.col("place") - F.col("flagged")).drop("_in", "_start", "_part", "_salt")
+    return own.join(F.broadcast(starts), "_part").withColumn("flagged", F.col("_in") + F.col("_start")).withColumn("others", F.col("place") - F.col("flagged")).drop("_in", "_start", "_part")
 
 
 def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -228,9 +241,8 @@ def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
     and running counts tell how many of each stand before. Every sort is a range partitioned one.
     """
     places = F.sequence(F.lit(0), F.size("s") - 1)
-    spread = strings.select("piece", "s", F.explode(places).alias("o")).where(_at("s", F.col("o")) > 0)
-    triples = spread.where("o % 3 <> 0").select("piece", "o", *[_at("s", F.col("o") + k).alias(f"t{k}") for k in range(3)])
-    triples = settle(triples)
+    triples = strings.select("piece", F.inline(F.filter(  # made twice, which is cheaper than stored
+        F.transform(places, lambda o: F.struct(o.alias("o"), *[_at("s", o + k).alias(f"t{k}") for k in range(3)])), lambda x: (x["o"] % 3 != 0) & (x["t0"] > 0))))
     keys = ["t0", "t1", "t2"]
     names = _placed(triples.select(*keys).distinct(), keys).select(*keys, (F.col("place") + 1).alias("name"))
     named = triples.join(names, keys).select("piece", "o", "name")
@@ -254,10 +266,12 @@ def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
     # total order of the sample; equal ones stay together
     sampled = settle(_placed(sampled.withColumn("_salt", F.xxhash64("piece", "o")), ["r", "_salt"]).select("piece", "o", (F.col("place") + 1).alias("r")))
     ranks = sampled.groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("o", "r"))).alias("r"))
-    rows = settle(strings.join(ranks, "piece", "left").select("piece", "s", "r", F.explode(places).alias("o")).where(_at("s", F.col("o")) > 0).select(
-        "piece", "o", _at("s", F.col("o")).alias("s0"), _at("s", F.col("o") + 1).alias("s1"),
-        F.coalesce(F.try_element_at("r", F.col("o") + 1), F.lit(0).cast("long")).alias("r1"), F.coalesce(F.try_element_at("r", F.col("o") + 2), F.lit(0).cast("long")).alias("r2"))
-        .withColumn("rest", F.col("o") % 3 == 0))
+    behind = lambda i: F.coalesce(F.try_element_at("r", i), F.lit(0).cast("long"))
+    joined = settle(strings.join(ranks, "piece", "left").select("piece", "s", "r"))
+    rows = joined.select("piece", F.inline(F.filter(F.transform(places, lambda o: F.struct(
+        o.alias("o"), _at("s", o).alias("s0"), _at("s", o + 1).alias("s1"), behind(o + 1).alias("r1"), behind(o + 2).alias("r2"), (o % 3 == 0).alias("rest"))),
+        lambda x: x["s0"] > 0)))
+    tidy(strings.sparkSession)
     ones = _counted(rows.where("o % 3 <> 2").select("piece", "o", "rest", "s0", "r1"), ["s0", "r1"], "rest")
     twos = _counted(rows.where("o % 3 <> 1").select("piece", "o", "rest", "s0", "s1", "r2"), ["s0", "s1", "r2"], "rest")
     shares = (
@@ -316,12 +330,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes, a null one is empty; one row per input row, and a repeated row is a place elsewhere. ``spans`` are the maximal removed
     runs (start, stop). Before the suffix sort, what needs no sorting is settled. Windows are tied to the least of
-    their 200-byte grams; a window whose anchor stands nowhere else is unique. Ranges of windows with equal
+    their 128-byte grams; a window whose anchor stands nowhere else is unique. Ranges of windows with equal
     bytes throughout are one range with a count, and repeated. The distinct ranges of an anchor are cut into pieces of
-    up to 16 starts; the bytes that all windows of a piece share, its core, become one symbol, and pieces whose core
-    no other range has are unique. What is left, the edges of repeated passages, is a set of strings of at most 31 symbols in
+    up to 16 starts; equal pieces are one piece with a count, and repeated; the bytes that all windows of a piece share, its
+    core, become one symbol, and pieces whose core
+    no other piece has are unique. What is left, the edges of repeated passages, is a set of strings of at most 31 symbols in
     which a 400-byte window is 16 symbols. Their suffixes are ordered by the difference-cover sort and neighbouring prefixes
-    compared. Names are 128-bit hashes of the bytes (62-bit for a core, within one anchor and block).
+    compared. Names are 128-bit hashes of the bytes (62-bit for a core).
     """
     h = F.xxhash64(F.lit(SPAN), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), h).alias("u"), h.alias("h"), F.col(text_col).alias("text"))
@@ -330,27 +345,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = long_ones.select("u", "h", "text").mapInArrow(_ranges, _RANGE)
     ranges = settle(found.join(known, F.col("g") == F.col("known"), "left_semi"))
 
-    same = ["g", "hi", "lo", "c1", "c2"]
-    kinds = settle(ranges.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("u", "h", "first")).alias("at")).withColumn("piece", F.monotonically_increasing_id()))
+    same = ["g", "span", "c"]
+    ranges = ranges.withColumn("span", F.expr("packed & 1048575"))
+    kinds = settle(ranges.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("u", "h", "packed")).alias("at")).select(
+        "g", "span", "c", "n", "at.*", F.monotonically_increasing_id().alias("piece")))
     copied = ranges.join(kinds.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in same]), [F.col(c) == F.col(f"_{c}") for c in same], "left_semi")
-    spans = copied.select("u", "h", F.col("first").alias("a"), (F.col("first") + F.col("hi") - F.col("lo") + SPAN).alias("b"))
+    spans = copied.select("u", "h", F.expr(f"{_FIRST} as a"), F.expr(f"{_FIRST} + {_HI} - {_LO} + {SPAN} as b"))
 
+    tidy(docs.sparkSession)
     # anchors with several kinds of ranges: their texts, cut into pieces
     several = settle(kinds.groupBy(F.col("g").alias("_g")).count().where("count > 1").select("_g"))
-    mixed = settle(kinds.join(several, F.col("g") == F.col("_g"), "left_semi").select("piece", "g", "hi", "lo", "n", "at.*"))
+    mixed = settle(kinds.join(several, F.col("g") == F.col("_g"), "left_semi").select(
+        "piece", "g", "n", "u", "h", F.expr(f"{_FIRST} as first"), F.expr(f"{_HI} as hi"), F.expr(f"{_LO} as lo")))
     wanted = mixed.groupBy(F.col("u").alias("_u"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("piece", "g", "hi", "lo", "first")).alias("wanted"))
     held = long_ones.join(wanted, (F.col("u") == F.col("_u")) & (F.col("h") == F.col("_h"))).select("text", "wanted")
     fragments = held.mapInArrow(_gathered(_fragments), "fragment long, g long, hi int, lo int, raw binary")
-    pieces = settle(fragments.mapInArrow(_pieces, "fragment long, from int, starts int, core long, symbols array<long>"))
-    shared = settle(pieces.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("_core")))
-    live = settle(pieces.join(shared, F.col("core") == F.col("_core"), "left_semi").select(F.monotonically_increasing_id().alias("piece"), "fragment", "from", "starts", F.col("symbols").alias("s")))
+    pieces = settle(fragments.mapInArrow(_pieces, "fragment long, from int, starts int, core long, left binary, right binary"))
+    alike = ["core", "left", "right"]
+    sorts = settle(pieces.groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct("fragment", "from", "starts")).alias("at")))
+    single = F.col("fragment") == F.col("_f")
+    source = settle(mixed.where("n = 1").select(F.col("piece").alias("_f"), "u", "h", "first", "hi"))
+    start = F.col("first") + F.col("hi") - F.col("from")
+    twins = pieces.join(sorts.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in alike]), [F.col(c) == F.col(f"_{c}") for c in alike], "left_semi").join(source, single)
+    spans = spans.unionByName(twins.select("u", "h", start.alias("a"), (start + F.col("starts") - 1 + SPAN).alias("b")))
+
+    shared = settle(sorts.groupBy(F.col("core").alias("_core")).count().where("count > 1").select("_core"))
+    live = settle(sorts.join(shared, F.col("core") == F.col("_core"), "left_semi").select(
+        F.monotonically_increasing_id().alias("piece"), "at.fragment", "at.from", "at.starts", "n", "core", "left", "right")
+        .mapInArrow(_symbols, "piece long, fragment long, from int, starts int, n long, s array<long>"))
+    del held, fragments, copied, twins, found, ranges, pieces, sorts
+    tidy(docs.sparkSession)
     ranks = sort_suffixes(live.select("piece", "s"))
     window = lambda o: F.slice("s", o + 1, BLOCK)
-    starts = live.join(ranks, "piece").select("piece", "fragment", "from", F.inline(F.transform(F.sequence(F.lit(0), F.col("starts") - 1), lambda o: F.struct(
+    starts = live.join(ranks, "piece").select("piece", "fragment", "from", "n", F.inline(F.transform(F.sequence(F.lit(0), F.col("starts") - 1), lambda o: F.struct(
         o.alias("o"), F.element_at("ranks", o + 1).alias("rank"), F.xxhash64(window(o)).alias("w1"), F.xxhash64(F.lit(1), window(o)).alias("w2")))))
-    hits = _equal_neighbours(starts).join(mixed.where("n = 1").select(F.col("piece").alias("_f"), "u", "h", "first", "hi"), F.col("fragment") == F.col("_f"))
-    start = F.col("first") + F.col("hi") - F.col("from") + F.col("o")
-    spans = spans.unionByName(hits.select("u", "h", start.alias("a"), (start + SPAN).alias("b")))
+    hits = _equal_neighbours(starts).where("n = 1").join(source, single)
+    spans = spans.unionByName(hits.select("u", "h", (start + F.col("o")).alias("a"), (start + F.col("o") + SPAN).alias("b")))
 
     gone = spans.groupBy(F.col("u").alias("_u"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     kind = rows.schema["doc_id"].dataType.simpleString()
