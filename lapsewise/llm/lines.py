@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from lapsewise.session import settle
 
-from .common import table
+from .common import table, word_count
 
 RUN = 2  # lines of a run that is deleted; also what winnowing guarantees to find
+PASSAGE = 50  # words from which on a line is a run by itself
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), passage: int | None = PASSAGE) -> DataFrame:
     """Delete runs of ``run`` or more lines that stand earlier in the corpus: ``doc_id, n_lines, n_removed, n_runs, text``.
 
+    A line of ``passage`` or more words is a run by itself, also between other lines; None leaves that out.
+
     Earlier means a lower (id, line); null ids come last. Only lines with a character other than white space
     count, the others are never deleted and do not interrupt a run. Each window of ``run`` line hashes selects its
     minimum, so two equal windows select the same line: only windows around a fingerprint that stands at two
@@ -30,14 +33,20 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
     key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(run), "text").alias("h2")]
+    # so many words take twice as many characters less one
+    long = (lambda x: [(F.when(F.length(x) >= 2 * passage - 1, word_count(x) >= passage).otherwise(False)).alias("long")]) if passage else lambda x: []
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
-        i.alias("pos"), F.xxhash64(x).alias("f"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0).alias("full")))
-    held = rows.where(F.col("text").isNotNull()).select("doc_id", *key, F.filter(lines, lambda x: x["full"]).alias("lines")).where(F.size("lines") >= run)
+        i.alias("pos"), F.xxhash64(x).alias("f"), F.xxhash64(F.lit(1), x).alias("g"), (F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0).alias("full"), *long(x)))
+    held = rows.where(F.col("text").isNotNull()).select("doc_id", *key, F.filter(lines, lambda x: x["full"]).alias("lines")).where(F.size("lines") >= (1 if passage else run))
     windows = F.transform(F.sequence(F.lit(0), F.size("lines") - run), lambda i: F.struct(
-        i.alias("start"),
+        i.alias("start"), F.lit(run).alias("n"),
         F.array_min(F.transform(F.slice("lines", i + 1, run), lambda x: x["f"])).alias("mark"),
         F.aggregate(F.slice("lines", i + 1, run), F.lit(0).cast("long"), lambda s, x: F.xxhash64(s, x["f"])).alias("k1"),
         F.aggregate(F.slice("lines", i + 1, run), F.lit(1).cast("long"), lambda s, x: F.xxhash64(s, x["g"])).alias("k2")))
+    if passage:
+        alone = F.filter(F.transform("lines", lambda x, i: F.struct(
+            x["long"].alias("long"), F.struct(i.alias("start"), F.lit(1).alias("n"), x["f"].alias("mark"), F.xxhash64(F.lit(2), x["f"]).alias("k1"), F.xxhash64(F.lit(3), x["g"]).alias("k2")).alias("w"))), lambda x: x["long"])
+        windows = F.concat(F.when(F.size("lines") >= run, windows).otherwise(F.array()), F.transform(alone, lambda x: x["w"]))
     placed = settle(held.select("doc_id", "h1", "h2", windows.alias("windows")).dropDuplicates(["doc_id", "h1", "h2"]))
 
     # fingerprints: the selected lines of a document, counted by place
@@ -46,12 +55,12 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
     spread = placed.select("doc_id", "h1", "h2", F.inline("windows"))
     near = settle(spread.join(known, F.col("mark") == F.col("known"), "left_semi").drop("mark"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("h1").alias("x"), F.col("h2").alias("y"), F.col("start").alias("at"))
-    first = settle(near.groupBy(F.col("k1").alias("j1"), F.col("k2").alias("j2")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = settle(near.groupBy(F.col("k1").alias("j1"), F.col("k2").alias("j2")).agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
     later = near.join(first, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where(~place.eqNullSafe(F.col("first")))
     gone = (
-        later.groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+        later.groupBy("doc_id", "h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("starts"))
         .select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"),
-                F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + run - 1)))).alias("gone"))
+                F.array_distinct(F.flatten(F.transform("starts", lambda w: F.sequence(w["start"], w["start"] + w["n"] - 1)))).alias("gone"))
     )
     done = rows.withColumns({"h1": key[0], "h2": key[1]}).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
@@ -70,6 +79,11 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lines alone, as ``SQL_OP2`` says; ``op2_line_dedup_passages`` and the pipeline also take single long lines."""
+    return repeated_lines(table(spark, sf_dir, "documents"), passage=None)
+
+
+def op2_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
@@ -96,3 +110,9 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
   CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text
 FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN removed r USING (doc_id)
 """
+
+_PASSAGES = f"""ranked_lines AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS place FROM counted WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {PASSAGE}
+), gone AS (
+  SELECT doc_id, n FROM ranked_lines WHERE place > 1 UNION """
+SQL_OP2_PASSAGES = SQL_OP2.replace("gone AS (\n  ", _PASSAGES)

@@ -50,6 +50,15 @@ def test_runs_of_lines(make, run):
     same([(r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text) for r in got], plain_lines(rows, run))
 
 
+def test_single_passages(make):
+    """A long line that repeats between other lines goes; a shorter one stays, and so do texts without copies."""
+    long, short = " ".join(words(1, lines.PASSAGE)), " ".join(words(2, lines.PASSAGE - 1))
+    clean = [(i, "\n".join(" ".join(words(10 * i + k, 60)) for k in range(3))) for i in range(20, 30)]
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd\n{short}\n\n{long}"), (3, long), (4, f"e\n{short}\nf"), (5, f"b\n{long}\na"), *clean]
+    got = {r.doc_id: (r.n_removed, r.n_runs, r.text) for r in lines.repeated_lines(make(rows)).collect()}
+    assert got == {1: (0, 0, rows[0][1]), 2: (2, 2, f"c\nd\n{short}\n"), 3: (1, 1, ""), 4: (0, 0, rows[3][1]), 5: (1, 1, "b\na"), **{i: (0, 0, t) for i, t in clean}}
+
+
 def test_lines_are_native(make):
     plan = lines.repeated_lines(make([(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
