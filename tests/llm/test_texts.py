@@ -1,5 +1,6 @@
 """Quality classifier, quality rules, URL filters and tokens."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -139,6 +140,40 @@ def test_url_models_learn(spark):
     assert len(right) == 200 and np.mean(right) > 0.95
 
 
+def plain_url_scores(rows):
+    """Score per URL by the definition, with one counter per context and continuation."""
+    count = {"org": Counter(), "com": Counter()}
+    grams = lambda u: [("\0" * urls.ORDER + u)[i + urls.ORDER - k:i + urls.ORDER + 1] for i in range(len(u)) for k in range(urls.ORDER + 1)]
+    for u in rows:
+        kind = u.split("/")[2].split(".")[-1]
+        if kind in count:
+            count[kind].update(("gram", g) for g in grams(u))
+            count[kind].update(("context", g[:-1]) for g in grams(u))
+    out = []
+    for u in rows:
+        total = 0.0
+        for sign, seen in ((1, count["org"]), (-1, count["com"])):
+            p = 1.0
+            for i, g in enumerate(grams(u)):
+                p = 1 / 256 if i % (urls.ORDER + 1) == 0 else p
+                p = (seen["gram", g] + urls.PRIOR * p) / (seen["context", g[:-1]] + urls.PRIOR)
+                total += sign * math.log(p) if i % (urls.ORDER + 1) == urls.ORDER else 0
+        out.append(total / max(len(u), 1))
+    return out
+
+
+def test_url_scores_are_exact(spark, monkeypatch):
+    """No two contexts share a counter, with some 30,000 of them, and few or many grams sent to every task."""
+    rng = random.Random(5)
+    rows = [f"http://{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=40))}.{('org', 'com', 'net')[i % 3]}/de/" for i in range(900)]
+    rows += rows[:20] + ["http://a.org/de/"]
+    want = plain_url_scores(rows)
+    for hot in (4, 4096):
+        monkeypatch.setattr(urls, "HOT", hot)
+        got = urls.judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), (("allow", "org", "/"), ("block", "com", "/de/"))).collect()
+        assert len(got) == len(rows) and [r.score for r in sorted(got)] == pytest.approx(want, abs=1e-8)
+
+
 def test_url_scores_do_not_depend_on_company():
     rng = np.random.default_rng(1)
     model = urls.UrlModels(*rng.integers(0, 9, (2, (1 << urls.NGRAM_BITS) + (1 << urls.CONTEXT_BITS))))
