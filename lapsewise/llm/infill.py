@@ -21,6 +21,7 @@ UNITS = ("line", "char")
 # A frame is a zstandard frame of its own; ``units`` and ``chars`` count what ends up to its last character, so a
 # reader finds the frame of a place without opening another one.
 FRAMES = "array<struct<units: bigint, chars: bigint, data: binary>>"
+_press, _open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # contexts hold megabytes; a process needs one of each
 _FRAMES = pa.list_(pa.struct([("units", pa.int64()), ("chars", pa.int64()), ("data", pa.binary())]))
 
 
@@ -34,7 +35,6 @@ class Frames:
             self.units.append(r["units"])
             self.chars.append(r["chars"])
             self.data.append(r["data"])
-        self._press, self._open = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
     @classmethod
     def of(cls, text: str, unit: str = "line", size: int = FRAME) -> Frames:
@@ -46,7 +46,7 @@ class Frames:
     def append(self, part: str) -> None:
         """Close a new frame over a part."""
         if part:
-            self._take(part.count("\n") if self.unit == "line" else len(part), len(part), self._press.compress(part.encode()))
+            self._take(part.count("\n") if self.unit == "line" else len(part), len(part), _press.compress(part.encode()))
 
     def _take(self, units: int, chars: int, data: bytes) -> None:
         self.units.append((self.units[-1] if self.units else 0) + units)
@@ -57,7 +57,7 @@ class Frames:
         return [{"units": u, "chars": c, "data": d} for u, c, d in zip(self.units, self.chars, self.data)]
 
     def text(self, k: int) -> str:
-        return self._open.decompress(self.data[k]).decode()
+        return _open.decompress(self.data[k]).decode()
 
     def count(self) -> int:
         """Units of the whole text; only the last frame is opened, to see if it ends inside a line."""
@@ -151,9 +151,16 @@ def digest(parts: Iterable[str]) -> str:
     return out.hexdigest()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that only their Python values live at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _pack(unit: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             held = [Frames.of(t or "", unit, size) for t in batch.column("text").to_pylist()]
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -165,7 +172,7 @@ def _pack(unit: str, size: int):
 
 def _apply(unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             form, first, second = (batch.column(c).to_pylist() for c in ("form", "first", "second"))
             out = []
             for k in range(batch.num_rows):
