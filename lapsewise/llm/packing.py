@@ -2,35 +2,105 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lapsewise.session import settle
 
-from .common import number_rows, table
+from .common import table
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY = 2048
 END = 0           # id behind every document
 WORD_BYTES = 48   # longer words are encoded each time they occur
-CACHE = 400_000   # words a Python worker remembers, of at most WORD_BYTES each
+CACHE = 500_000   # words of at most WORD_BYTES that a Python worker remembers between batches
+SLICE = 1 << 14     # rows of one length that a window numbers together, in expectation
 STRIDE = 1 << 16     # planned slots that one row of the plan is unfolded into
 
-_workers: dict[int, tuple] = {}  # tokenizer and known words of this process
+_workers: dict[int, Words] = {}  # what this process has learnt about a tokenizer
 
 
-def _tokenizer(model: str):
-    from tokenizers import Tokenizer
+def byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in own else next(spare)) for b in range(256)]
+
 
-    key = hash(model)
-    if key not in _workers:
-        _workers[key] = (Tokenizer.from_str(model), {})
-    return _workers[key]
+class Words:
+    """Ids of words between ASCII white space, each distinct one encoded once.
+
+    A word of Latin letters, with or without punctuation behind it, is one or two tokens to the splitter. Its letters in lower
+    case, as the vocabulary writes their bytes, go straight to the merges, and few of those are new; other words take the whole way. Probes
+    decide if a tokenizer lowers and splits like that; one that does not takes the whole way for all words.
+    """
+
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)")
+
+    def __init__(self, model: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model)
+        self.known: dict[bytes, bytes] = {}   # words as they stand
+        self.parts: dict[str, bytes] = {}     # lower case letters, and punctuation
+        self.letters = byte_letters()
+        probes = [h + t for h in ("a", "Zürich", "ÀÉÎÕÜß", "Øre", "ÿ", "don", "THE", "ll", "naïve", "straße") for t in ("", ".", "!!", "?!...", ",;:", "*#$%&|", "|")]
+        self.plain = True
+        self.plain = [self.whole(x) for x in probes] == list(self.encode([x.encode() for x in probes]))
+        self.parts.clear()
+
+    def whole(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            written = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+            if len(part) <= WORD_BYTES:
+                self.parts[part] = ids
+        return ids
+
+    def encode(self, words: Iterable[bytes]) -> Iterator[bytes]:
+        parts, known_part, plain = self.parts, self.parts.get, self.PLAIN.fullmatch if self.plain else lambda text: None
+        for word in words:
+            text = word.decode()
+            found = plain(text)
+            if found is None:
+                yield self.whole(text)
+                continue
+            head, tail = found.groups()
+            head = head.lower()
+            ids = known_part(head)
+            if ids is None:
+                ids = self._part(head)
+            yield ids + (parts[tail] if tail in parts else self._part(tail)) if tail else ids
+
+    def rows(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        rows = [(t or "").encode().split() for t in texts]
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        if len(self.known) > CACHE:
+            self.known.clear()
+        long = {}
+        new = list(set().union(*rows).difference(self.known))
+        for w, ids in zip(new, self.encode(new)):
+            if len(w) <= WORD_BYTES:
+                self.known[w] = ids
+            else:
+                long[w] = ids
+        if long:
+            return [b"".join([long[w] if w in long else self.known[w] for w in r]) for r in rows]
+        return [b"".join(map(self.known.__getitem__, r)) for r in rows]
 
 
 def splits_at_space(model: str) -> bool:
@@ -44,33 +114,21 @@ def splits_at_space(model: str) -> bool:
 
 
 def _encode(model: str, by_word: bool, capacity: int, end: int):
-    """Pieces of texts. Words between ASCII white space never share a token here, so each distinct word is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
-        tokenizer, known = _tokenizer(model)
-
-        def fresh(words: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
+        key = hash(model)
+        words = _workers.get(key) or _workers.setdefault(key, Words(model))
         last = np.asarray([end], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = batch.column("text").to_pylist()
                 if by_word:
-                    rows = [(t or "").encode().split() for t in texts]
-                    new = {w for r in rows for w in r if w not in known}
-                    if len(known) + len(new) > CACHE:
-                        known.clear()
-                        new = {w for r in rows for w in r}
-                    listed = list(new)
-                    learnt = dict(zip(listed, fresh([w.decode() for w in listed])))
-                    known.update((w, i) for w, i in learnt.items() if len(w) <= WORD_BYTES)
-                    packed = [b"".join([known[w] if w in known else learnt[w] for w in r]) + last for r in rows]
+                    packed = [i + last for i in words.rows(texts)]
                 else:
-                    packed = [i + last for i in fresh([t or "" for t in texts])]
+                    packed = [words.whole(t or "") + last for t in texts]
                 cuts = [(k, s) for k, p in enumerate(packed) for s in range(0, len(p), 4 * capacity)]
                 own = pa.array([k for k, _ in cuts], pa.int32())
                 ids = [packed[k][s:s + 4 * capacity] for k, s in cuts]
@@ -144,6 +202,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, sequences
 
 
+def _ranked(pieces: DataFrame, counts: dict[int, int], seed: int) -> DataFrame:
+    """Add ``rank``, gapless from 0 within each length, in the order of a hash. A length is cut into slices of some SLICE rows by the
+    leading bits of the hash; a window numbers each slice, and slice totals shift it."""
+    spark = pieces.sparkSession
+    cut = spark.createDataFrame([(x, -(-n // SLICE)) for x, n in counts.items()], "_length long, _slices long")  # one row per length
+    hashed = pieces.withColumn("_key", F.xxhash64("doc_id", "piece", F.lit(seed))).join(F.broadcast(cut), F.col("length") == F.col("_length")).drop("_length")
+    slice_ = F.floor(F.shiftrightunsigned("_key", 32) * F.col("_slices") / F.lit(1 << 32))
+    sliced = hashed.withColumn("_slice", slice_).drop("_slices")
+    ahead = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sliced.groupBy(F.col("length").alias("_g"), F.col("_slice").alias("_s")).agg(F.count("*").alias("_n"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    )
+    inside = Window.partitionBy("length", "_slice").orderBy("_key", *[c for c in pieces.columns if c != "length"])
+    return (
+        sliced.withColumn("_r", F.row_number().over(inside) - 1)
+        .join(starts, (F.col("length") == F.col("_g")) & (F.col("_slice") == F.col("_s")))
+        .withColumn("rank", F.col("_start") + F.col("_r")).drop("_key", "_slice", "_g", "_s", "_start", "_r")
+    )
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 17) -> DataFrame:
     """Give every piece a place: the columns of ``pieces`` with ``sequence_id`` and ``offset``, offsets gapless from 0 in each sequence.
 
@@ -163,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 17) -> DataFra
         .select("_length", (F.col("first") + F.col("at")).alias("_rank"), (F.col("sequence") + F.floor(F.col("at") / F.col("layers"))).alias("sequence_id"),
                 (F.col("start") + (F.col("at") % F.col("layers")) * F.col("_length")).alias("offset"))
     )
-    ranked = number_rows(pieces, "length", F.xxhash64("doc_id", "piece", F.lit(seed)), "rank")
+    ranked = _ranked(pieces, counts, seed)
     return ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("rank") == F.col("_rank"))).drop("rank", "_length", "_rank")
 
 
