@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lapsewise.session import settle
+from lapsewise.session import settle, small_side
 
 from .common import table
 
@@ -26,7 +26,8 @@ STATS = {
     "capitals": 0.12,      # root of the share of A-Z among the bytes
 }
 P = len(STATS)
-KEEP = 0.75     # share of a group's rows that an estimate covers
+KEEP = 0.5      # share of a group's rows, besides P + 1 rows, that an estimate covers; junk may be almost as much
+WEIGHT = 0.975  # share of regular rows, under a normal law, that the last estimate takes in
 TAIL = 1e-6     # share of regular rows that the cut would reject under a normal law
 STEPS = 8       # concentration steps
 BINS = 16       # bins per octave of squared distance
@@ -109,11 +110,18 @@ def chi2_quantile(q: float, p: int) -> float:
 _CROSS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fit(share: float):
     """Sums of rows to centre, inverse covariance (upper triangle) and log determinant."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _fits(batches, share)
+
+    return run
+
+
+def _fits(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     spread = np.diag(np.array(list(STATS.values())) ** 2)
     # an estimate from the inner share of a normal cloud is too narrow by this factor
-    wide = KEEP / chi2_cdf(chi2_quantile(KEEP, P), P + 2)
+    wide = share / chi2_cdf(chi2_quantile(share, P), P + 2)
     for batch in batches:
         n = np.asarray(batch.column("n").to_pylist(), dtype=float)
         sums = np.array(batch.column("sums").to_pylist(), dtype=float).reshape(-1, P)
@@ -143,23 +151,25 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
         F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in _CROSS]).alias("cross"))
 
 
-def _fitted(sums: DataFrame) -> DataFrame:
-    return settle(sums.select("g", "start", "n", "sums", "cross").mapInArrow(
-        _fit, "g long, start int, mean array<double>, inverse array<double>, logdet double"))
+def _fitted(sums: DataFrame, share: float = KEEP) -> DataFrame:
+    """A few rows per group; they go to every task while they are small."""
+    return small_side(sums.select("g", "start", "n", "sums", "cross").mapInArrow(
+        _fit(share), "g long, start int, mean array<double>, inverse array<double>, logdet double"))
 
 
 def _mcd(rows: DataFrame) -> DataFrame:
     """Per group ``g``: centre and inverse covariance of the rows with the least covariance determinant.
 
     Three starts: all rows, the rows around the coordinate-wise medians, and half of the rows by hash. A
-    concentration step keeps the rows next to the last centre until ``KEEP`` of the group is covered and fits
+    concentration step keeps the rows next to the last centre until half of the group is covered and fits
     these. Instead of sorting a group, the step sums moments per bin of squared distance (16 bins an octave) and takes
-    whole bins, so a group of any size meets only in sums. The start with the least determinant wins.
+    whole bins, so a group of any size meets only in sums. The start with the least determinant wins. A last fit takes in all rows
+    that its distances leave inside ``WEIGHT`` of a normal cloud.
     """
     medians = rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in STATS])
     near = sum((F.pow((F.col(c) - F.col(f"m_{c}")) / F.lit(s), F.lit(2)) for c, s in STATS.items()), F.lit(0.0))
-    centre = rows.join(medians, "g").withColumn("near", near)
-    inner = centre.groupBy("g").agg(F.percentile_approx("near", 0.5, 1000).alias("half"))
+    centre = rows.join(small_side(medians), "g").withColumn("near", near)
+    inner = small_side(centre.groupBy("g").agg(F.percentile_approx("near", 0.5, 1000).alias("half")))
     starts = (
         _sums(rows.withColumn("start", F.lit(0)), "g", "start")
         .unionByName(_sums(centre.join(inner, "g").where("near <= half").withColumn("start", F.lit(1)), "g", "start"))
@@ -171,13 +181,15 @@ def _mcd(rows: DataFrame) -> DataFrame:
         bins = _sums(rows.join(fits, "g").withColumn("bin", F.floor(F.lit(BINS) * F.log2(_distance() + 1e-6)).cast("int")), "g", "start", "bin")
         bins = (
             bins.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-            .withColumn("all", F.sum("n").over(Window.partitionBy("g", "start"))).where(F.col("before") < F.ceil(F.col("all") * KEEP))
+            .withColumn("all", F.sum("n").over(Window.partitionBy("g", "start"))).where(F.col("before") < F.ceil((F.col("all") + P + 1) * KEEP))
         )
         total = bins.groupBy("g", "start").agg(
             F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(P)]).alias("sums"),
             F.array(*[F.sum(F.col("cross")[k]) for k in range(len(_CROSS))]).alias("cross"))
         fits = _fitted(total)
-    return fits.groupBy("g").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("fit")).select("g", "fit.mean", "fit.inverse")
+    best = small_side(fits.groupBy("g").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("fit")).select("g", "fit.mean", "fit.inverse"))
+    inside = rows.join(best, "g").where(_distance() <= chi2_quantile(WEIGHT, P))
+    return _fitted(_sums(inside.withColumn("start", F.lit(0)), "g", "start"), WEIGHT).select("g", "mean", "inverse")
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -197,7 +209,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = settle(rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
     fits = _mcd(rows.where("NOT base_failed"))
     cut = chi2_quantile(1 - TAIL, P)
-    judged = rows.join(fits, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = rows.join(small_side(fits), "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
                          F.lit(cut).alias("cut"), (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
 
