@@ -169,9 +169,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("
     n = known.count()
     part = sample / n if n > sample else 1.0
     draw = F.shiftrightunsigned(F.xxhash64("_id", F.lit(17)), 11).cast("double") / float(1 << 53)
-    learnt = rows.join(known.where(draw < part), F.col("doc_id") == F.col("_id")).drop("doc_id", "_id")
-    # one task sees the sample, whose size is bounded by the parameter
-    found = learnt.repartition(1).mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").collect()
+    learnt = rows.join(known.where(draw < part), F.col("doc_id") == F.col("_id")).drop("doc_id")
+    # one task sees the sample, whose size is bounded by the parameter, in an order that the rows alone fix: sums of doubles depend on it
+    order = [F.xxhash64("_id", F.lit(23)), F.col("_id"), F.xxhash64("text")]
+    found = learnt.repartition(1).sortWithinPartitions(*order).drop("_id").mapInArrow(_train(len(metadata)), "bias double, w binary, v binary").collect()
     machine = Machine(Features(len(metadata)).width)
     machine.v[:] = 0
     for w in found:  # none without a labelled row
@@ -190,7 +191,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     The model goes to the tasks, which read whole texts. Inputs are hashed words, statistics of the
     text and numeric ``metadata`` columns; ids, languages, sources and labels are not. A null or
     empty text has no words; a null in metadata is a feature of its own; rows without a label or an id are only
-    scored; without any label every score is 0.5. Repeated rows get equal scores.
+    scored; without any label every score is 0.5. Repeated rows get equal scores. ``docs`` must have the columns of ``metadata``,
+    by default ``n_chars``; pass an empty list where there are none.
     """
     machine = fit_quality(docs, labels, metadata, sample, id_col, text_col, label_col)
     rows = _inputs(docs, metadata, id_col, text_col)
