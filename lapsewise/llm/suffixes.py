@@ -231,10 +231,23 @@ def _counted(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The suffixes of many short strings numbered from 1 in the order of their first ``3 ** depth`` symbols at least: ``piece, ranks``.
+
+    ``strings`` is as for ``rank_suffixes``. Suffixes that are equal so far follow each other by piece and place, so the numbers
+    are a permutation.
+    """
+    ranked = rank_suffixes(strings, depth).select("piece", F.posexplode("ranks").alias("o", "rank"))
+    numbered = _placed(ranked, ["rank", "piece", "o"])
+    return numbered.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("o", (F.col("place") + 1).alias("n")))).alias("m")).select(
+        "piece", F.transform("m", lambda x: x["n"]).alias("ranks"))
+
+
+def rank_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Order the suffixes of many short strings by their first ``3 ** depth`` symbols at least.
 
-    ``strings`` has ``piece`` (long) and ``s`` (array of positive longs). Returns ``piece, ranks``, a rank for each
-    place of the string. Places 1 and 2 of every three are the sample. Their triples are sorted and named by their
+    ``strings`` has ``piece`` (long) and ``s`` (array of positive longs). Returns ``piece, ranks``, a number for each place of the
+    string: a suffix that is less within these symbols has a lower one, suffixes that are equal so far may have equal ones in any
+    order, with none of another string between them. Places 1 and 2 of every three are the sample. Their triples are sorted and named by their
     order; the names make a string of two thirds the length, whose suffixes are ordered by recursion. Sampled ranks
     then order the rest: place 0 of three by (symbol, rank behind it), and against the sample by counting. With
     place 1 it compares by (symbol, rank behind), with place 2 by (two symbols, rank behind those), so one sort of both kinds
@@ -258,7 +271,7 @@ def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
                        .withColumn("by", F.map_from_entries(F.transform("m", lambda x: F.struct(x["q"], x["name"]))))
                        .withColumn("s", F.transform(F.sequence(F.lit(0), F.col("top")), lambda q: F.coalesce(F.try_element_at("by", q), F.lit(0).cast("long"))))
                        .select("piece", "s", F.transform("m", lambda x: F.struct(x["q"], x["o"])).alias("of")))
-        below = sort_suffixes(lists.select("piece", "s"), depth - 1)
+        below = rank_suffixes(lists.select("piece", "s"), depth - 1)
         sampled = below.join(lists.select("piece", "of"), "piece").select("piece", F.inline(F.transform("of", lambda x: F.struct(
             x["o"].alias("o"), F.element_at("ranks", x["q"] + 1).alias("r")))))
     else:
@@ -288,7 +301,7 @@ def sort_suffixes(strings: DataFrame, depth: int = DEPTH) -> DataFrame:
 def _equal_neighbours(starts: DataFrame) -> DataFrame:
     """Rows of (rank, w1, w2, ...) whose window hash equals that of a neighbour in the order of ranks."""
     bits = 16
-    placed = _placed(starts.withColumn("_salt", F.xxhash64("piece", "o")), ["rank", "_salt"]).drop("_part")
+    placed = _placed(starts, ["rank", "piece", "o"]).drop("_part")
     # slices of the order; the first row of a slice is also shown to the slice before it, the last to the one behind it
     slice_ = F.shiftright("place", bits)
     low = F.col("place").bitwiseAND((1 << bits) - 1)
@@ -375,7 +388,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .mapInArrow(_symbols, "piece long, fragment long, from int, starts int, n long, s array<long>"))
     del held, fragments, copied, twins, found, ranges, pieces, sorts
     tidy(docs.sparkSession)
-    ranks = sort_suffixes(live.select("piece", "s"))
+    ranks = rank_suffixes(live.select("piece", "s"))
     window = lambda o: F.slice("s", o + 1, BLOCK)
     starts = live.join(ranks, "piece").select("piece", "fragment", "from", "n", F.inline(F.transform(F.sequence(F.lit(0), F.col("starts") - 1), lambda o: F.struct(
         o.alias("o"), F.element_at("ranks", o + 1).alias("rank"), F.xxhash64(window(o)).alias("w1"), F.xxhash64(F.lit(1), window(o)).alias("w2")))))
