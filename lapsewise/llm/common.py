@@ -56,30 +56,35 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+EDGES = 250_000  # rows of the edge table that a task of a round takes
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest member of each connected component: columns ``node`` and ``root``.
 
     ``edges`` has columns ``a`` and ``b`` (any order, repeats allowed). Alternating star contraction: each
     node hands the smallest of its neighbours to its larger, then to its smaller neighbours, until every edge
-    points at a root. Only sums of the edge table come to the driver. Raises if it has not settled
+    points at a root. The steps of a round run in as many tasks as the edges fill, so a small table does not
+    leave a file per shuffle partition behind. Only sums of the edge table come to the driver. Raises if it has not settled
     after ``max_rounds``; the number of rounds grows with the logarithm of the longest path.
     """
     pairs = settle(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct())
-    mark = None
+    mark, tasks = None, -(-2 * pairs.count() // EDGES) or 1
     for _ in range(max_rounds):
+        pairs = pairs.coalesce(tasks)
         both = pairs.unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("n"), F.least("m", "hi").alias("m"))
         # large star: larger neighbours of n go to n's least neighbour (n itself included)
         large = (
             both.where("lo > hi").select(F.col("hi").alias("n"), F.col("lo").alias("far")).join(least, "n")
-            .select(F.col("far").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
+            .select(F.col("far").alias("hi"), F.col("m").alias("lo")).where("hi != lo").coalesce(tasks)
         )
         # small star: n and its smaller neighbours go to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "n")
         small = large.join(low, large["hi"] == low["n"]).select(
             F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("m")), F.struct(F.col("hi").alias("x"), F.col("m")))).alias("e")
         )
-        pairs = settle(small.select(F.col("e.x").alias("hi"), F.col("e.m").alias("lo")).where("hi != lo").distinct())
+        pairs = settle(small.select(F.col("e.x").alias("hi"), F.col("e.m").alias("lo")).where("hi != lo").coalesce(tasks).distinct().coalesce(tasks))
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:
             roots = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

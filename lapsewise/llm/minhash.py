@@ -20,6 +20,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 4.0, 254  # register k stands for minima around RATE * BASE ** -k; TOP ends beyond 1e9 elements
 SLACK = 18.0             # log likelihood that a pair may lose against its best similarity and is still verified
 HOT = 256                # rows of a group that are compared in one piece
+PIECE = 1 << 20          # bytes of full sets in a piece
 WHOLE = 64               # pieces up to which a cluster of groups is compared as one; larger ones go group by group
 STARS = 2                # rounds that compare a group with one member before its rest is compared throughout
 
@@ -41,7 +42,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     if not words:
         return np.zeros(0, dtype=np.uint64)
     known = _words
-    if len(known) > 500_000:  # a cache only
+    if len(known) > 200_000:  # a cache only
         known.clear()
     hashes = []
     for w in words:
@@ -341,7 +342,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         now = settle(now.join(lows, F.col("key") == F.col("k")).drop("k"))
     cluster = components(now.select(F.col("comp").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("_node"), F.col("root").alias("cluster"))
     rows_of = now.select("id", "comp").distinct().join(cluster, F.col("comp") == F.col("_node")).drop("_node")
-    sizes = settle(rows_of.groupBy(F.col("cluster").alias("_c")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("pieces")))
+    weighed = rows_of.join(regs.select(F.col("id").alias("_id"), "n"), F.col("id") == F.col("_id"))
+    sizes = settle(weighed.groupBy(F.col("cluster").alias("_c")).agg(F.greatest(F.ceil(F.count("*") / HOT), F.ceil(F.sum("n") * 8 / PIECE)).cast("int").alias("pieces")))
     piece = F.pmod(F.xxhash64("id", F.lit(99)), F.col("pieces")).cast("int").alias("piece")
     small = rows_of.join(sizes.where(F.col("pieces") <= WHOLE), F.col("cluster") == F.col("_c")).select("cluster", "id", "comp", "pieces", piece)
     once = packed(small.join(regs, "id").join(sets, "id").select("cluster", "pieces", "piece", "id", "comp", "n", "regs", "shingles"), "cluster")
