@@ -48,7 +48,7 @@ class Features:
             raw = (text or "").encode()
             words = raw.split()
             own = set(words)
-            if len(self.bucket) > 500_000:  # a cache only
+            if len(self.bucket) > 200_000:  # a cache only
                 self.bucket = {}
             codes = np.fromiter((self._hash(w) for w in own), dtype=np.int64, count=len(own))
             b, n = np.unique(codes, return_counts=True)
