@@ -88,27 +88,43 @@ def _check_kinds(kinds: Sequence[float]) -> None:
         raise ValueError("four kind probabilities that sum to 1 are needed: replace, add, remove, swap")
 
 
-def mistype(text: str, rng: np.random.Generator, p: float, edge: float, kinds: Sequence[float]) -> str:
-    """Typos in one text. Only the hit positions are visited; a swap uses up the position after it."""
-    n = len(text)
-    if n == 0 or p <= 0:
-        return text
-    draw = rng.random(n)
-    limit = np.full(n, p)
-    limit[[0, -1]] = p * edge
-    hits = np.flatnonzero(draw < limit)
-    if hits.size == 0:
-        return text
-    kind_of = np.searchsorted(np.cumsum(kinds)[:3], rng.random(hits.size), side="right")
-    pick = rng.random(hits.size)
-    chars = list(text)
-    taken = -1
-    for i, kind, u in zip(hits.tolist(), kind_of.tolist(), pick.tolist()):
+PRIME = (1 << 31) - 1
+ROUND_SHIFTS = (0, 715_827_883, 1_431_655_766, 68_719_477)
+DRAW_CHARS = 1 << 20  # characters whose draws are made together
+
+
+def counter_draws(counter: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Uniform whole numbers below ``PRIME`` that depend on a counter and three keys alone.
+
+    Each round adds a key and takes the fifth power modulo the prime, which permutes the residues. All steps stay below 2 ** 62, so
+    SQL can repeat them.
+    """
+    x = counter % PRIME
+    for k, shift in zip((a, b, c, a), ROUND_SHIFTS):
+        x = (x + k + shift) % PRIME
+        square = x * x % PRIME
+        x = square * square % PRIME * x % PRIME
+    return x
+
+
+def _lowered(c: str) -> str:
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
+def _raised(s: str) -> str:
+    return "".join([u if len(u := c.upper()) == 1 else c for c in s])
+
+
+def _apply_hits(text: str, hits: list[int], kind_of: list[int], pick: list[float]) -> str:
+    """Typos at the given places; a swap uses up the place after it."""
+    n, chars, taken = len(text), list(text), -1
+    for i, kind, u in zip(hits, kind_of, pick):
         if i == taken:
             continue
-        c = chars[i]
-        upper = c.isalpha() and c.isupper()
-        c = c.lower() if upper else c
+        own = chars[i]
+        c = _lowered(own)
+        upper = c != own
         near = NEARBY_KEYS.get(c, "")
         if kind == 0:
             c = near[int(u * len(near))] if near else c
@@ -123,34 +139,63 @@ def mistype(text: str, rng: np.random.Generator, p: float, edge: float, kinds: S
         else:
             chars[i + 1], c = c, chars[i + 1]
             taken = i + 1
-        chars[i] = c.upper() if upper else c
+        chars[i] = _raised(c) if upper else c
     return "".join(chars)
 
 
+def mistype_all(texts: Sequence[str], keys: np.ndarray, rates: np.ndarray, edge: float, kinds: Sequence[float]) -> list[str]:
+    """Typos in many texts; the draws of all their characters are made together, places without a hit are not visited.
+
+    ``keys`` has three whole numbers per text. Place ``i`` draws with the counters ``3 i`` (hit or not), ``3 i + 1`` (kind) and ``3 i + 2`` (choice).
+    """
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
+    limit = rates[row] * np.where((place == 0) | (place == size[row] - 1), edge, 1.0)
+    hit = np.flatnonzero(counter_draws(3 * place, *keys[row].T) < limit * PRIME)
+    row, place = row[hit], place[hit]
+    kind = np.searchsorted(np.cumsum(kinds)[:3], counter_draws(3 * place + 1, *keys[row].T) / PRIME, side="right").tolist()
+    pick = (counter_draws(3 * place + 2, *keys[row].T) / PRIME).tolist()
+    ends = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    place = place.tolist()
+    return [t if a == b else _apply_hits(t, place[a:b], kind[a:b], pick[a:b]) for t, a, b in zip(texts, ends, ends[1:])]
+
+
+def mistype(text: str, key: Sequence[int], p: float, edge: float, kinds: Sequence[float]) -> str:
+    """Typos in one text."""
+    return mistype_all([text], np.array([key], dtype=np.int64), np.array([p]), edge, kinds)[0]
+
+
 def typos(
     text: Column, key: Column, p: Column | float, seed: int = 1, edge: float = 0.5,
     kinds: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
 ) -> Column:
     """Keyboard typos at rate ``p`` per character, half on the first and last one.
 
-    Draws depend on (seed, key, p) alone, so the result does not change with the partitioning.
+    Draws depend on (seed, key, p, place) alone, so the result does not change with the partitioning. The three numbers of a text are
+    the first 7-digit groups of the hex md5 of ``seed|key|p in millionths``. Null texts stay null; a null key counts as an empty one.
     """
     _check_kinds(kinds)
     kinds = tuple(float(k) for k in kinds)
 
     @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, keys: pd.Series, rates: pd.Series) -> pd.Series:
-        out = []
-        for t, k, r in zip(texts, keys, rates):
-            if t is None:
-                out.append(None)
-                continue
-            rng = np.random.default_rng([seed, int(k) & 0xFFFFFFFFFFFFFFFF, round(float(r) * 1_000_000)])
-            out.append(mistype(t, rng, float(r), edge, kinds))
+    def run(texts: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, rates: pd.Series) -> pd.Series:
+        out = texts.to_numpy(dtype=object, copy=True)
+        keys, rates = np.stack([a, b, c], axis=1), rates.to_numpy(dtype=float)
+        live = [i for i, t in enumerate(out) if t and rates[i] > 0]
+        start = total = 0
+        for end, i in enumerate(live, 1):  # slices of texts with a bounded number of characters, or of one long text
+            total += len(out[i])
+            if total >= DRAW_CHARS or end == len(live):
+                at = live[start:end]
+                out[at] = mistype_all([out[k] for k in at], keys[at], rates[at], edge, kinds)
+                start, total = end, 0
         return pd.Series(out, dtype=object)
 
-    rate = p if isinstance(p, Column) else F.lit(float(p))
-    return run.asNondeterministic()(text, F.xxhash64(key), rate)
+    rate = (p if isinstance(p, Column) else F.lit(float(p))).cast("double")
+    hexed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.round(rate * 1_000_000).cast("long").cast("string")))
+    keys = [F.conv(F.substring(hexed, 7 * k + 1, 7), 16, 10).cast("long") for k in range(3)]
+    return run.asNondeterministic()(text, *keys, rate)
 
 
 def degrade(

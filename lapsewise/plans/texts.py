@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.words import DETERMINERS, ENGLISH_STOPWORDS, PRONOUNS
+from ..functions.words import DETERMINERS, ENGLISH_STOPWORDS, NEARBY_KEYS, PRONOUNS
 from ..operators import degrade, encode, stats, text
 from ..session import settle
 from ..sources import views
@@ -332,25 +333,95 @@ def _typos(spark, sf, p):
     return _digest(df, "out")
 
 
+def _draw(name: str, source: str, lane: int) -> str:
+    """CTEs that add a draw ``name`` in [0, 1) with the counter ``3 i + lane`` to the rows of ``source``."""
+    out, last = [f"{name}_ AS (SELECT *, 3 * i + {lane} AS x FROM {source})"], f"{name}_"
+    for r, (k, shift) in enumerate(zip("abca", degrade.ROUND_SHIFTS)):
+        out.append(f"{name}_{r}p AS (SELECT * EXCLUDE (x), (x + k{k} + {shift}) % {degrade.PRIME} AS y FROM {last})")
+        out.append(f"{name}_{r}q AS (SELECT *, y * y % {degrade.PRIME} AS y2 FROM {name}_{r}p)")
+        out.append(f"{name}_{r} AS (SELECT * EXCLUDE (y, y2), y2 * y2 % {degrade.PRIME} * y % {degrade.PRIME} AS x FROM {name}_{r}q)")
+        last = f"{name}_{r}"
+    return ", ".join(out) + f", {name} AS (SELECT * EXCLUDE (x), x AS {name} FROM {last})"
+
+
+def typos_sql(source: str, kinds=degrade.STUDY_KINDS, seed: int = 1, edge: float = 0.5) -> str:
+    """CTEs from ``source(doc_id, level, txt)`` to ``typed(doc_id, level, txt)``, place by place.
+
+    Of neighbouring swaps every second one counts, since each uses up the place after it.
+    """
+    prime, cum = degrade.PRIME, [repr(float(x)) for x in np.cumsum(kinds)[:3]]
+    near = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in NEARBY_KEYS.items())
+    raised = lambda x: f"CASE WHEN up THEN replace(upper(replace({x}, 'ß', chr(1))), chr(1), 'ß') ELSE {x} END"
+    key = f"md5('{seed}|' || doc_id || '|' || CAST(round(level * 1000000) AS BIGINT))"
+    part = "PARTITION BY doc_id, level ORDER BY i"
+    return f"""near(low, near) AS (VALUES {near}),
+ keyed AS (SELECT doc_id, level, regexp_extract_all(txt, '(?s).') AS cs, {key} AS h FROM {source}),
+ placed AS (SELECT doc_id, level, len(cs) AS n, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i,
+            {", ".join(f"CAST('0x' || substr(h, {7 * j + 1}, 7) AS BIGINT) AS k{k}" for j, k in enumerate("abc"))} FROM keyed),
+ {_draw("d0", "placed", 0)},
+ struck AS MATERIALIZED (SELECT * FROM d0 WHERE d0 < level * CASE WHEN i = 0 OR i = n - 1 THEN {edge}::DOUBLE ELSE 1.0::DOUBLE END * {prime}),
+ {_draw("d1", "struck", 1)}, {_draw("d2", "d1", 2)},
+ kinds AS (SELECT doc_id, level, n, i, d2 / {prime} AS u, CASE WHEN d1 / {prime} < {cum[0]}::DOUBLE THEN 0 WHEN d1 / {prime} < {cum[1]}::DOUBLE THEN 1
+           WHEN d1 / {prime} < {cum[2]}::DOUBLE THEN 2 ELSE 3 END AS kind FROM d2),
+ swaps AS (SELECT *, i - row_number() OVER ({part}) AS isle FROM kinds WHERE kind = 3 AND i < n - 1),
+ paired AS (SELECT doc_id, level, i, (i - min(i) OVER (PARTITION BY doc_id, level, isle)) % 2 = 0 AS eff FROM swaps),
+ marked AS (SELECT p.doc_id, p.level, p.n, p.i, p.c, CASE WHEN length(lower(p.c)) = 1 THEN lower(p.c) ELSE p.c END AS low, k.kind, k.u, coalesce(s.eff, FALSE) AS eff
+            FROM placed p LEFT JOIN kinds k USING (doc_id, level, i) LEFT JOIN paired s USING (doc_id, level, i)),
+ around AS (SELECT m.*, c <> m.low AS up, coalesce(near, '') AS near, coalesce(lag(eff) OVER ({part}), FALSE) AS used, lag(m.low) OVER ({part}) AS before, lead(c) OVER ({part}) AS after
+            FROM marked m LEFT JOIN near ON near.low = m.low),
+ done AS (SELECT *, CASE WHEN used THEN before
+    WHEN kind = 0 AND near <> '' THEN {raised("substr(near, CAST(floor(u * length(near)) AS BIGINT) + 1, 1)")}
+    WHEN kind = 1 THEN {raised("low || substr(low || near, CAST(floor(u * (length(near) + 1)) AS BIGINT) + 1, 1)")}
+    WHEN kind = 2 THEN '' WHEN kind = 3 AND i < n - 1 THEN {raised("after")} ELSE c END AS o,
+    coalesce(kind = 3 AND i = n - 1 AND n > 1 AND NOT used, FALSE) AS ends FROM around),
+ turned AS (SELECT doc_id, level, i, CASE WHEN ends THEN {raised(f"lag(o) OVER ({part})")} WHEN lead(ends) OVER ({part}) THEN lead(low) OVER ({part}) ELSE o END AS o FROM done),
+ typed AS (SELECT doc_id, level, string_agg(o, '' ORDER BY i) AS txt FROM turned GROUP BY doc_id, level)"""
+
+
+def _typos_sql(source: str, levels) -> str:
+    return _TOKENS_SQL + f""", kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS txt FROM tagged WHERE {_REMOVE} GROUP BY doc_id),
+ clean AS MATERIALIZED (SELECT d.doc_id, l.level, coalesce({source}, '') AS txt FROM documents d LEFT JOIN kept USING (doc_id),
+   (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in levels)}]) AS level) l),
+ hurt AS (SELECT * FROM clean WHERE level > 0), {typos_sql("hurt")},
+ ends AS (SELECT doc_id, c.level, CASE WHEN c.level > 0 THEN coalesce(t.txt, '') ELSE c.txt END AS txt FROM clean c LEFT JOIN typed t USING (doc_id, level))
+SELECT doc_id, """
+
+
+_TYPO_COLUMNS = "md5(txt) AS text_md5, CAST(length(txt) AS INTEGER) AS n_chars FROM ends"
+
+
 @query("typos_p0", _TOKENS_SQL + _FILTERED.format(where=_REMOVE))
 def typos_p0(spark, sf):
     return _typos(spark, sf, 0.0)
 
 
-@query("typos_p05")
+@query("typos_p05", _typos_sql("kept.txt", [0.05]) + _TYPO_COLUMNS)
 def typos_p05(spark, sf):
     return _typos(spark, sf, 0.05)
 
 
-@query("typos_p10")
+@query("typos_p10", _typos_sql("kept.txt", [0.1]) + _TYPO_COLUMNS)
 def typos_p10(spark, sf):
     return _typos(spark, sf, 0.10)
 
 
-@query("degrade_levels")
+@query("typos_cased", _typos_sql("d.text", [0.025]) + _TYPO_COLUMNS)
+def typos_cased(spark, sf):
+    """Typos in the texts as they stand: capitals are remembered at their place."""
+    return _digest(_docs(spark, sf).withColumn("out", degrade.typos(F.coalesce("text", F.lit("")), F.col("doc_id"), 0.025, kinds=degrade.STUDY_KINDS)), "out")
+
+
+@query("degrade_levels", _typos_sql("kept.txt", degrade.STUDY_LEVELS) + "level, " + _TYPO_COLUMNS)
 def degrade_levels(spark, sf):
     df = degrade.degrade_levels(_docs(spark, sf), "doc_id", "text")
-    return df.groupBy("level").agg(F.count("*").alias("n"), F.avg(F.length("modified_text")).alias("mean_chars"))
+    return df.select("doc_id", "level", F.md5("modified_text").alias("text_md5"), F.length("modified_text").alias("n_chars"))
+
+
+@query("degrade_lengths", _typos_sql("kept.txt", degrade.STUDY_LEVELS).rsplit("SELECT", 1)[0]
+       + "SELECT level, count(*) AS n, round(avg(length(txt)), 6) AS mean_chars FROM ends GROUP BY level")
+def degrade_lengths(spark, sf):
+    df = degrade.degrade_levels(_docs(spark, sf), "doc_id", "text")
+    return df.groupBy("level").agg(F.count("*").alias("n"), F.round(F.avg(F.length("modified_text")), 6).alias("mean_chars"))
 
 
 _TOK_LEN = _TOKENS_SQL + f""", kept AS (SELECT doc_id, count(*) AS n FROM tagged WHERE {_REMOVE} GROUP BY doc_id),
