@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cox, linalg, text
+from ..operators import cox, linalg, sparse, text
 from ..operators.survival import SurvSpec
 from ..session import settle
 from ..sources import views
 from ..sources.views import SURVIVAL_SQL, TEXT_SURVIVAL_SQL
-from .newton_sql import newton
+from .newton_sql import newton, penalised
 from .registry import query
 from .texts import _S90
 
@@ -92,6 +92,49 @@ def cox_fit_wide(spark, sf):
     return cox.fit(df, cols).coefficients(spark)
 
 
+def _sparse_two(spark, sf):
+    df = views.survival(spark, sf).withColumns({
+        "lot": F.col("lot_area") / 10, "open": F.when(F.col("outdoor") == "N", "b").otherwise("a"),
+        "start": F.unix_date("listed_date"), "stop": F.unix_date("sold_date")})
+    return sparse.sparse_design(df.select("sale_time", "event", "lot", "open", "start", "stop"), ["lot"], {"open": ["a", "b"]})
+
+
+def _beta_sql(terms=("lot", "open=b")):
+    return " UNION ALL ".join(f"SELECT '{t}' AS term, round(b{i}, 5) AS beta FROM fit" for i, t in enumerate(terms, 1))
+
+
+@query("cox_sparse", _FIT + _beta_sql())
+def cox_sparse(spark, sf):
+    df, cols = _sparse_two(spark, sf)
+    return sparse.fit_sparse(df, cols).coefficients(spark).select("term", _r("beta", 5))
+
+
+@query("cox_sparse_left_truncated", S + """, src AS MATERIALIZED (
+  SELECT datediff('day', DATE '1970-01-01', listed_date) AS s, datediff('day', DATE '1970-01-01', sold_date) AS t, event AS e,
+         lot_area / 10 AS x1, CASE outdoor WHEN 'N' THEN 1.0::DOUBLE ELSE 0 END AS x2 FROM survival), """
+       + newton("src", ["x1", "x2"], late=True) + _beta_sql())
+def cox_sparse_left_truncated(spark, sf):
+    df, cols = _sparse_two(spark, sf)
+    return sparse.fit_sparse(df, cols, surv=SurvSpec("stop", "event", "start")).coefficients(spark).select("term", _r("beta", 5))
+
+
+@query("cox_sparse_penalised", S + ", src AS MATERIALIZED (SELECT sale_time AS t, event AS e, lot_area AS x1 FROM survival), "
+       + penalised("src", [0.004], 0.95) + "SELECT round(beta, 5) AS beta FROM path")
+def cox_sparse_penalised(spark, sf):
+    df, cols = sparse.sparse_design(views.survival(spark, sf).select("sale_time", "event", "lot_area"), ["lot_area"])
+    return sparse.fit_sparse(df, cols, lam=0.004, alpha=0.95, ties="breslow", tol=1e-8).coefficients(spark).select(_r("beta", 5))
+
+
+@query("cox_sparse_terms")
+def cox_sparse_terms(spark, sf):
+    """Elastic net over one column per term that a hundredth of the documents has."""
+    weights, _ = text.tfidf(views.corpus(spark, sf).select("doc_id", "text"), "doc_id", "text", text.options(stemming=False, sparse=0.99))
+    rows = views.text_survival(spark, sf).select("doc_id", "time", "event")
+    df, cols = sparse.sparse_design(rows, terms=settle(weights.select("doc_id", "term", "weight")), key="doc_id")
+    model = sparse.fit_sparse(df, cols, surv=SurvSpec("time", "event"), lam=0.05, alpha=0.5, tol=1e-4, max_iter=40)
+    return model.coefficients(spark).select("term", "beta").where("beta <> 0")
+
+
 @query("model_ic", _FIT + """, ne AS (SELECT sum(event) AS ne FROM survival)
 SELECT round(loglik0, 3) AS loglik_null, round(loglik, 3) AS loglik, 2.0::DOUBLE AS df, round(-2 * loglik + 4, 3) AS aic,
        round(-2 * loglik + 2 * ln(ne), 3) AS bic,

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.words import DETERMINERS, ENGLISH_STOPWORDS, NEARBY_KEYS, PRONOUNS
-from ..operators import degrade, encode, stats, text
+from ..operators import degrade, encode, sparse, stats, text
 from ..session import settle
 from ..sources import views
 from ..sources.tables import table
@@ -57,6 +57,13 @@ def doc_term(spark, sf):
     return _counts(spark, sf)
 
 
+@query("term_round_trip", W + " SELECT doc_id, term, tf FROM counts")
+def term_round_trip(spark, sf):
+    """Counts to rows of non-zero entries and back."""
+    rows, columns = sparse.sparse_design(_docs(spark, sf).select("doc_id"), terms=_counts(spark, sf).select("doc_id", "term", "tf"), key="doc_id")
+    return sparse.sparse_entries(rows, "doc_id", columns).select("doc_id", F.col("column").alias("term"), F.col("value").cast("long").alias("tf"))
+
+
 @query("doc_term_stemmed")
 def doc_term_stemmed(spark, sf):
     return text.term_counts(_docs(spark, sf), "doc_id", "text", text.options())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, linalg, split
+from ..operators import clean, linalg, sparse, split
 from ..session import settle
 from ..sources import views
 from ..sources.tables import table
@@ -89,6 +89,17 @@ def design_matrix(spark, sf):
     return df.select("obs", *[F.element_at("x", i + 1).alias(f"x{i + 1}") for i in range(len(cols))])
 
 
+@query("design_sparse", S + """, u AS (
+  SELECT obs, 'listed_price' AS "column", CAST(listed_price AS DOUBLE) AS value FROM survival UNION ALL SELECT obs, 'event', event FROM survival
+  UNION ALL SELECT obs, 'heating=' || heating, 1.0::DOUBLE FROM survival WHERE heating <> (SELECT min(heating) FROM survival)
+  UNION ALL SELECT obs, 'outdoor=' || outdoor, 1.0::DOUBLE FROM survival WHERE outdoor <> (SELECT min(outdoor) FROM survival))
+SELECT obs, "column", value FROM u WHERE value <> 0""")
+def design_sparse(spark, sf):
+    df = views.survival(spark, sf)
+    df, cols = sparse.sparse_design(df, ["listed_price", "event"], linalg.levels_of(df, ["heating", "outdoor"]))
+    return sparse.sparse_entries(df, "obs", cols)
+
+
 # --- principal components -------------------------------------------------------------------
 
 _COV = """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
