@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lapsewise.session import settle, shuffle_width
+from lapsewise.session import settle, shuffle_width, small_side
 
 from .common import table, tidy
 
@@ -313,6 +313,12 @@ def _equal_neighbours(starts: DataFrame) -> DataFrame:
     return marked.where(F.col("hit") & (F.col("slice") == slice_))
 
 
+def _spans(df: DataFrame, start: Column, size: Column) -> DataFrame:
+    """Spans per document, each as start << 20 | size; a size is below 2 ** 11."""
+    packed = F.shiftleft(start.cast("long"), PLACE) + size.cast("long")
+    return df.groupBy("u", "h").agg(F.collect_set(packed).alias("spans"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join overlapping spans of each text and hash what they leave."""
     for batch in batches:
@@ -320,11 +326,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode()
             merged: list[list[int]] = []
-            for s in sorted(spans or [], key=lambda x: (x["a"], x["b"])):
-                if merged and s["a"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["b"])
+            for s in sorted(spans or []):
+                a, b = s >> PLACE, (s >> PLACE) + (s & ((1 << PLACE) - 1))
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
                 else:
-                    merged.append([s["a"], s["b"]])
+                    merged.append([a, b])
             digest, at = hashlib.sha256(), 0
             for a, b in merged:
                 digest.update(raw[at:a])
@@ -357,21 +364,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = settle(long_ones.select("text").mapInArrow(_anchors, "g long").groupBy("g").count().where("count > 1").select(F.col("g").alias("known")))
     found = long_ones.select("u", "h", "text").mapInArrow(_ranges, _RANGE)
     ranges = settle(found.join(known, F.col("g") == F.col("known"), "left_semi"))
+    del known, found
+    tidy(docs.sparkSession)
 
     same = ["g", "span", "c"]
     ranges = ranges.withColumn("span", F.expr("packed & 1048575"))
     kinds = settle(ranges.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("u", "h", "packed")).alias("at")).select(
         "g", "span", "c", "n", "at.*", F.monotonically_increasing_id().alias("piece")))
     copied = ranges.join(kinds.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in same]), [F.col(c) == F.col(f"_{c}") for c in same], "left_semi")
-    spans = copied.select("u", "h", F.expr(f"{_FIRST} as a"), F.expr(f"{_FIRST} + {_HI} - {_LO} + {SPAN} as b"))
-
+    # a span is one long; a document's spans stay together from here on
+    spans = [settle(_spans(copied, F.expr(_FIRST), F.expr(f"{_HI} - {_LO} + {SPAN}")))]
+    del ranges, copied
     tidy(docs.sparkSession)
     # anchors with several kinds of ranges: their texts, cut into pieces
     several = settle(kinds.groupBy(F.col("g").alias("_g")).count().where("count > 1").select("_g"))
     mixed = settle(kinds.join(several, F.col("g") == F.col("_g"), "left_semi").select(
         "piece", "g", "n", "u", "h", F.expr(f"{_FIRST} as first"), F.expr(f"{_HI} as hi"), F.expr(f"{_LO} as lo")))
     wanted = mixed.groupBy(F.col("u").alias("_u"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("piece", "g", "hi", "lo", "first")).alias("wanted"))
-    held = long_ones.join(wanted, (F.col("u") == F.col("_u")) & (F.col("h") == F.col("_h"))).select("text", "wanted")
+    held = long_ones.join(small_side(wanted), (F.col("u") == F.col("_u")) & (F.col("h") == F.col("_h"))).select("text", "wanted")
     fragments = held.mapInArrow(_gathered(_fragments), "fragment long, g long, hi int, lo int, raw binary")
     pieces = settle(fragments.mapInArrow(_pieces, "fragment long, from int, starts int, core long, left binary, right binary"))
     alike = ["core", "left", "right"]
@@ -380,22 +390,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = settle(mixed.where("n = 1").select(F.col("piece").alias("_f"), "u", "h", "first", "hi"))
     start = F.col("first") + F.col("hi") - F.col("from")
     twins = pieces.join(sorts.where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in alike]), [F.col(c) == F.col(f"_{c}") for c in alike], "left_semi").join(source, single)
-    spans = spans.unionByName(twins.select("u", "h", start.alias("a"), (start + F.col("starts") - 1 + SPAN).alias("b")))
+    spans.append(settle(_spans(twins, start, F.col("starts") - 1 + SPAN)))
 
     shared = settle(sorts.groupBy(F.col("core").alias("_core")).count().where("count > 1").select("_core"))
     live = settle(sorts.join(shared, F.col("core") == F.col("_core"), "left_semi").select(
         F.monotonically_increasing_id().alias("piece"), "at.fragment", "at.from", "at.starts", "n", "core", "left", "right")
         .mapInArrow(_symbols, "piece long, fragment long, from int, starts int, n long, s array<long>"))
-    del held, fragments, copied, twins, found, ranges, pieces, sorts
+    del held, fragments, twins, pieces, sorts, wanted, kinds, several
     tidy(docs.sparkSession)
     ranks = rank_suffixes(live.select("piece", "s"))
     window = lambda o: F.slice("s", o + 1, BLOCK)
     starts = live.join(ranks, "piece").select("piece", "fragment", "from", "n", F.inline(F.transform(F.sequence(F.lit(0), F.col("starts") - 1), lambda o: F.struct(
         o.alias("o"), F.element_at("ranks", o + 1).alias("rank"), F.xxhash64(window(o)).alias("w1"), F.xxhash64(F.lit(1), window(o)).alias("w2")))))
     hits = _equal_neighbours(starts).where("n = 1").join(source, single)
-    spans = spans.unionByName(hits.select("u", "h", (start + F.col("o")).alias("a"), (start + F.col("o") + SPAN).alias("b")))
-
-    gone = spans.groupBy(F.col("u").alias("_u"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans.append(settle(_spans(hits, start + F.col("o"), F.lit(SPAN))))
+    del live, ranks, starts, hits, source
+    tidy(docs.sparkSession)
+    every = spans[0].unionByName(spans[1]).unionByName(spans[2])
+    # while this table is small it goes to the texts instead of the texts to it
+    gone = small_side(every.groupBy(F.col("u").alias("_u"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list("spans")).alias("spans")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.join(gone, (F.col("u") == F.col("_u")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
