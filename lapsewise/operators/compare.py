@@ -78,8 +78,9 @@ def _kl_sums(pdf: pd.DataFrame, k: int, halo: pd.DataFrame) -> pd.DataFrame:
 def kl_divergence(df: DataFrame, col: str, second: Column, k: int = 5, task_values: int = TASK_VALUES) -> DataFrame:
     """Divergence of the first sample from the second by the 1st..k-th neighbour, in one dimension.
 
-    Values are cut into ranges; each range also gets the ``k`` nearest values of each sample
-    on both sides, so its distances are exact. ``n_zero`` counts points with a zero distance, whose term is
+    Values are cut into ranges; each range also gets the ``k + 1`` nearest values of each sample
+    on both sides, so its distances are exact. A range asks for them by their place in the order of the sample, which is a join,
+    also where the ranges next to it hold too few. ``n_zero`` counts points with a zero distance, whose term is
     not finite; then ``divergence`` is null.
     """
     counts = settle(_two_counts(df, col, second))
@@ -87,29 +88,25 @@ def kl_divergence(df: DataFrame, col: str, second: Column, k: int = 5, task_valu
     n, m, distinct = sizes
     if min(n or 0, m or 0) <= k:
         raise ValueError("each sample needs more than k values")
-    pieces = max(1, -(-distinct // task_values))
-    bounds = range_bounds(counts, "x", pieces)
-    cut = counts.withColumn("b", range_index(F.col("x"), bounds))
-
-    def edges(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        ends = [part for c in ("n1", "n2") for s in [pdf[pdf[c] > 0]] for part in (s.head(k + 1), s.tail(k + 1))]
-        return pd.concat(ends).drop_duplicates("x")[["b", "x", "n1", "n2"]]
-
-    halos: dict[int, pd.DataFrame] = {}
+    bounds = range_bounds(counts, "x", max(1, -(-distinct // task_values)))
+    own = counts.withColumn("b", range_index(F.col("x"), bounds))
+    both = own.select("b", "x", "n1", "n2", F.lit(True).alias("own"))
     if bounds:
-        # At most 4 (k + 1) rows per range reach the driver.
-        ends = cut.groupBy("b").applyInPandas(edges, "b int, x double, n1 long, n2 long").toPandas().sort_values("x")
-        for b in range(len(bounds) + 1):
-            below, above = ends[ends["b"] < b], ends[ends["b"] > b]
-            near = [below[below[c] > 0].tail(k + 1) for c in ("n1", "n2")] + [above[above[c] > 0].head(k + 1) for c in ("n1", "n2")]
-            halos[b] = pd.concat(near).drop_duplicates("x")[["x", "n1", "n2"]]
-    empty = pd.DataFrame({"x": pd.Series(dtype=float), "n1": pd.Series(dtype="int64"), "n2": pd.Series(dtype="int64")})
+        held = own.withColumns({f"i{s}": (F.col(f"n{s}") > 0).cast("long") for s in (1, 2)})
+        placed = settle(running(held, "x", sums={"i1": "q1", "i2": "q2"}, at_most=distinct))
+        spans = placed.groupBy("b").agg(*[f for s in (1, 2) for f in (F.min(F.col(f"q{s}") - F.col(f"i{s}")).alias(f"before{s}"), F.max(f"q{s}").alias(f"upto{s}"))])
+        asked = [F.struct(F.lit(s).alias("sample"), place.cast("long").alias("place")) for s in (1, 2) for j in range(k + 1)
+                 for place in (F.col(f"before{s}") - j, F.col(f"upto{s}") + 1 + j)]
+        asked = spans.select("b", F.inline(F.array(*asked)))
+        points = placed.select("x", "n1", "n2", F.inline(F.filter(F.array(*[F.struct(F.lit(s).alias("_s"), F.when(F.col(f"i{s}") == 1, F.col(f"q{s}")).alias("_q")) for s in (1, 2)]),
+                                                                  lambda p: p["_q"].isNotNull())))
+        halo = asked.join(points, (F.col("sample") == F.col("_s")) & (F.col("place") == F.col("_q"))).select("b", "x", "n1", "n2").distinct()
+        both = both.unionByName(halo.withColumn("own", F.lit(False)))
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _kl_sums(pdf, k, halos.get(int(pdf["b"].iloc[0]), empty))
+        return _kl_sums(pdf[pdf["own"]], k, pdf.loc[~pdf["own"], ["x", "n1", "n2"]])
 
-    parts = cut.groupBy("b").applyInPandas(sums, "k long, total double, zero long")
+    parts = both.groupBy("b").applyInPandas(sums, "k long, total double, zero long")
     return parts.groupBy("k").agg(F.sum("total").alias("_t"), F.sum("zero").alias("n_zero")).select(
         F.col("k").cast("int").alias("k"),
         F.when(F.col("n_zero") == 0, F.col("_t") / n + F.lit(math.log(m / n))).alias("divergence"), "n_zero")

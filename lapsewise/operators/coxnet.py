@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from . import cox, metrics
 from .blocks import matrix, numbers, tree_sum
 from .cox import CoxRows, Lane, tie_sums
@@ -321,6 +322,28 @@ def merge_levels(df: DataFrame, merged: Mapping[str, Sequence[str]], reference:
     }) if merged else df
 
 
+def selection_table(path_: CoxPath, spark: SparkSession, reference: Mapping[str, str], lam: float | str = "lambda.1se") -> DataFrame:
+    """What a path decides about factor levels: ``variable, level, target, kept``, one row per dummy; a level that is not kept goes to the reference."""
+    rows = [(c.variable, c.level, c.level if b != 0 else reference[c.variable], bool(b != 0))
+            for c, b in zip(path_.columns, path_.beta_at(lam)) if c.level is not None]
+    return spark.createDataFrame(rows, "variable string, level string, target string, kept boolean")
+
+
+def recode_selected(df: DataFrame, selection: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Give each factor the targets of a selection, by a join per factor; levels that it does not name stay."""
+    for f in factors:
+        own = selection.where(F.col("variable") == f).select(F.col("level").alias("_level"), F.col("target").alias("_target"))
+        df = df.join(small_side(own), F.col(f) == F.col("_level"), "left").withColumn(f, F.coalesce("_target", f)).drop("_level", "_target")
+    return df
+
+
+def drop_constant_factors(df: DataFrame, factors: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Drop the factors of which a single level, or none, is left, and name them."""
+    counts = df.agg(*[F.count_distinct(f).alias(f) for f in factors]).first() if factors else {}
+    gone = [f for f in factors if counts[f] <= 1]
+    return df.drop(*gone), gone
+
+
 def keep_columns(df: DataFrame, x: str, width: int, places: Sequence[int], name: str = "x_kept") -> DataFrame:
     """The chosen places of a design array. Dropping a dummy is the same as merging its level into the reference."""
     at = np.array(places, dtype=int)

@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle, small_side
+from ..session import SMALL_BYTES, settle, small_side
 from .blocks import numbers, tree_sum
 from .cox import tie_sums
 from .linalg import DesignColumn
@@ -142,7 +142,7 @@ class SparseRows:
         if self.late:
             ends = ends.unionByName(scored.select(F.col("s").alias("time"), zero.alias("d"), zero.alias("out"), zero.alias("e0"), zero.alias("elp"), r.alias("in")))
         at = ends.groupBy("time").agg(*[F.sum(c).alias(c) for c in ("d", "out", "e0", "elp", "in")]).withColumn("_back", -F.col("time"))
-        at = running(settle(at), "_back", sums={"out": "left", "in": "entered"}, settled=True, at_most=self.n_times)
+        at = running(at, "_back", sums={"out": "left", "in": "entered"}, at_most=self.n_times)
 
         @F.pandas_udf("array<double>")
         def shares(s0: pd.Series, e0: pd.Series, d: pd.Series) -> pd.Series:
@@ -153,7 +153,8 @@ class SparseRows:
         at = at.select("time", "elp", F.col("sums")[0].alias("log"), F.col("sums")[1].alias("u"), F.col("sums")[2].alias("v"))
         at = settle(running(at, "time", sums={"u": "upto"}, at_most=self.n_times))
         value = at.agg(F.sum("elp") - F.sum("log")).first()[0]
-        table = small_side(at.select("time", "upto", "v"))
+        table = at.select("time", "upto", "v")
+        table = F.broadcast(table) if 64 * self.n_times <= SMALL_BYTES else table  # the times are counted, a row takes less
         joined = self.df.join(table, F.col("t") == F.col("time")).select("e", "x", "v", "upto", *(["s"] if self.late else []))
         if self.late:
             joined = joined.join(table.select(F.col("time").alias("_s"), F.col("upto").alias("before")), F.col("s") == F.col("_s")).select("e", "x", "v", "upto", "before")

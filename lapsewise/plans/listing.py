@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, metrics, stats, survival
-from ..sources import views
+from ..session import shuffle_width
+from ..sources import tables, views
 from ..sources.tables import table
 from ..sources.views import LISTING_SQL, SURVIVAL_SQL
 from .registry import query
@@ -396,3 +397,58 @@ def separation_levels(spark, sf):
     df = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
         "source", "lang", "toxic", F.coalesce("quality", F.lit(0)).alias("event"))
     return survival.separation(df, ["source", "lang", "toxic"])
+
+
+# --- files ----------------------------------------------------------------------------------
+
+def _folder(spark, sf, name):
+    """A folder in the session's warehouse, which all executors share."""
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{root}/lapsewise_{name}_{sf.rstrip('/').rsplit('/', 1)[-1].replace('.', '_')}"
+
+
+def _name(sf, name):
+    return "lapsewise_" + name + "_" + sf.rstrip("/").rsplit("/", 1)[-1].replace(".", "_")
+
+
+@query("csv_scan", """
+SELECT p_name AS description, round(p_retailprice, 2) AS listed_price, CAST(p_size AS DOUBLE) AS bed, p_size > 12 AS is_sold FROM part""")
+def csv_scan(spark, sf):
+    """Two CSV files with a header and one schema, written from the part table and read back."""
+    parts = table(spark, sf, "part")
+    sold = F.col("p_size") > 12
+    folders = []
+    for name, rows in (("sold", parts.where(sold)), ("censored", parts.where(~sold))):
+        cells = {"listed_price": F.round("p_retailprice", 2).cast("string"), "bed": F.col("p_size").cast("string"),
+                 "description": F.col("p_name"), "type": F.lit(name)}
+        folders.append(_folder(spark, sf, f"csv_{name}"))
+        tables.write_listing_csv(rows.select(*[cells.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in tables.LISTING_SCHEMA.fields]), folders[-1])
+    found = tables.read_listing_csv(spark, *folders)
+    return found.select("description", F.col("listed_price").cast("double").alias("listed_price"), F.col("bed").cast("double").alias("bed"),
+                        (F.col("type") == "sold").alias("is_sold"))
+
+
+@query("feature_files", "SELECT vec_id, label, embedding[1] AS v1, embedding[64] AS v64 FROM embeddings")
+def feature_files(spark, sf):
+    """Features written as Parquet by label and read again."""
+    path = _folder(spark, sf, "features")
+    tables.write_features(table(spark, sf, "embeddings"), path, ("label",))
+    return tables.read_features(spark, path).select("vec_id", "label", F.element_at("embedding", 1).alias("v1"), F.element_at("embedding", 64).alias("v64"))
+
+
+@query("score_files", "SELECT o_orderstatus AS model, 'mean_price' AS metric, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY o_orderstatus")
+def score_files(spark, sf):
+    """A score table written as CSV with a header and read again."""
+    path = _folder(spark, sf, "scores")
+    scores = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("model")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    tables.write_scores(scores.select("model", F.lit("mean_price").alias("metric"), "value"), path, "csv")
+    return spark.read.schema("model string, metric string, value double").option("header", True).csv(path)
+
+
+@query("bucketed_join", "SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def bucketed_join(spark, sf):
+    """Two feature tables bucketed by key, joined on all common columns without a shuffle."""
+    buckets = shuffle_width(spark)
+    docs = tables.write_bucketed(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), _name(sf, "documents"), "doc_id", buckets)
+    labels = tables.write_bucketed(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), _name(sf, "labels"), "doc_id", buckets)
+    return clean.keyed_left_join(docs, labels.hint("merge"), ["doc_id"])

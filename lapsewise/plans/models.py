@@ -131,7 +131,7 @@ def cox_sparse_terms(spark, sf):
     weights, _ = text.tfidf(views.corpus(spark, sf).select("doc_id", "text"), "doc_id", "text", text.options(stemming=False, sparse=0.99))
     rows = views.text_survival(spark, sf).select("doc_id", "time", "event")
     df, cols = sparse.sparse_design(rows, terms=settle(weights.select("doc_id", "term", "weight")), key="doc_id")
-    model = sparse.fit_sparse(df, cols, surv=SurvSpec("time", "event"), lam=0.05, alpha=0.5, tol=1e-4, max_iter=40)
+    model = sparse.fit_sparse(df, cols, surv=SurvSpec("time", "event"), lam=0.2, alpha=0.5, tol=1e-3, max_iter=20)
     return model.coefficients(spark).select("term", "beta").where("beta <> 0")
 
 

@@ -9,6 +9,8 @@ from ..session import settle
 from ..sources import views
 from ..sources.tables import table
 from ..sources.views import SURVIVAL_SQL
+from .models import _FIT as _TWO_FIT
+from .models import two_covariates
 from .newton_sql import penalised
 from .registry import query
 
@@ -108,6 +110,33 @@ def one_level_factors(spark, sf):
     return levels.groupBy("variable").agg(F.count("*").alias("n_levels")).withColumn("dropped", F.col("n_levels") == 1)
 
 
+_RECODED = S + """, src AS MATERIALIZED (SELECT sale_time AS t, event AS e, CASE outdoor WHEN 'N' THEN 1.0::DOUBLE ELSE 0 END AS x1 FROM survival), """ \
+    + penalised("src", [0.05, 0.0], 0.95)
+
+
+@query("recode_selected", _RECODED + """
+SELECT "lambda", CASE WHEN outdoor = 'N' AND abs(beta) > 1e-9 THEN 'b' ELSE 'a' END AS open, count(*) AS n, (abs(beta) < 1e-9) AS dropped
+FROM survival, path GROUP BY ALL""")
+def recode_selected(spark, sf):
+    """A penalised path over one factor decides which of its levels merge, and if the factor stays."""
+    df = settle(views.survival(spark, sf).select("sale_time", "event", F.when(F.col("outdoor") == "N", "b").otherwise("a").alias("open")))
+    design, cols = linalg.design(df, [], {"open": ["a", "b"]})
+    p = coxnet.path(design, cols, lambdas=[0.05, 0.0], tol=1e-12)
+    out = None
+    for lam in (0.05, 0.0):
+        merged = coxnet.recode_selected(df, coxnet.selection_table(p, spark, {"open": "a"}, lam), ["open"])
+        _, gone = coxnet.drop_constant_factors(merged, ["open"])
+        part = merged.groupBy("open").agg(F.count("*").alias("n")).select(F.lit(lam).alias("lambda"), "open", "n", F.lit("open" in gone).alias("dropped"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("cox_status", _TWO_FIT + """SELECT TRUE AS converged, (SELECT count(*) FROM src) AS n, (SELECT CAST(sum(e) AS BIGINT) FROM src) AS n_event, round(loglik, 3) AS loglik FROM fit""")
+def cox_status(spark, sf):
+    df, cols = two_covariates(spark, sf)
+    return cox.fit(df, cols).status(spark).select("converged", "n", "n_event", _r("loglik", 3))
+
+
 @query("refit_score")
 def refit_score(spark, sf):
     p, train, test, _ = _path(spark, sf, "loglik")
@@ -149,9 +178,22 @@ def kl_knn(spark, sf):
     return compare.kl_divergence(df, "x", F.col("label") >= 5).select("k", _r("divergence"), "n_zero")
 
 
-@query("hd_quantiles")
+# Harrell-Davis weights by Simpson's rule over each rank's interval, from the density of the beta distribution.
+_HD = S + """, v AS (SELECT event AS second, sale_time AS x, row_number() OVER (PARTITION BY event ORDER BY sale_time) AS i, count(*) OVER (PARTITION BY event) AS n FROM survival),
+ q AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS prob), k(j, w) AS (VALUES (0, 1), (1, 4), (2, 2), (3, 4), (4, 2), (5, 4), (6, 2), (7, 4), (8, 1)),
+ ab AS (SELECT second, n, prob, (n + 1) * prob AS a, (n + 1) * (1 - prob) AS b FROM (SELECT DISTINCT second, n FROM v), q),
+ c AS (SELECT *, lgamma(a + b) - lgamma(a) - lgamma(b) AS lc FROM ab),
+ m AS (SELECT second, prob, i, sum(w * CASE WHEN u <= 0 OR u >= 1 THEN 0 ELSE exp(lc + (a - 1) * ln(u) + (b - 1) * ln(1 - u)) END) / (24 * any_value(n)) AS mass
+       FROM (SELECT c.*, i, w, (i - 1 + j / 8.0::DOUBLE) / c.n AS u FROM c, LATERAL (SELECT unnest(range(1, c.n + 1)) AS i) r, k) GROUP BY second, prob, i),
+ z AS (SELECT prob, second, sum(mass * x) AS value FROM m JOIN v USING (second, i) GROUP BY prob, second)
+SELECT prob, round(max(value) FILTER (WHERE second = 0), 5) AS first, round(max(value) FILTER (WHERE second = 1), 5) AS second,
+       round(max(value) FILTER (WHERE second = 0) - max(value) FILTER (WHERE second = 1), 4) AS difference FROM z GROUP BY prob"""
+
+
+@query("hd_quantiles", _HD)
 def hd_quantiles(spark, sf):
-    return compare.compare_quantiles(views.survival(spark, sf), "sale_time", F.col("event") == 1)
+    out = compare.compare_quantiles(views.survival(spark, sf), "sale_time", F.col("event") == 1)
+    return out.select("prob", _r("first", 5), _r("second", 5), _r("difference", 4))
 
 
 @query("hd_quantiles_bootstrap")

@@ -153,6 +153,46 @@ def pca_region(spark, sf):
     return df.filter((F.element_at("pc", 1) < 0) & (F.element_at("pc", 2) < 0)).select("vec_id", "label", "pc")
 
 
+# Two columns have their components in closed form.
+_TWO = S + """, v AS MATERIALIZED (SELECT obs, CAST(listed_price AS DOUBLE) AS x, CAST(lot_area AS DOUBLE) AS y FROM survival), mu AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS c, covar_pop(x, y) AS b FROM v),
+ ev AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM mu),
+ un AS (SELECT *, b / sqrt(b * b + pow(l1 - a, 2)) AS u, (l1 - a) / sqrt(b * b + pow(l1 - a, 2)) AS w FROM ev),
+ ax AS (SELECT *, CASE WHEN abs(u) >= abs(w) THEN sign(u) ELSE sign(w) END AS s1, CASE WHEN abs(w) >= abs(u) THEN sign(-w) ELSE sign(u) END AS s2 FROM un),
+ pc AS MATERIALIZED (SELECT obs, s1 * (u * (x - mx) + w * (y - my)) AS pc1, s2 * (-w * (x - mx) + u * (y - my)) AS pc2 FROM v, ax)"""
+
+
+def _two(spark, sf):
+    df = views.survival(spark, sf).select("obs", F.array(F.col("listed_price").cast("double"), F.col("lot_area").cast("double")).alias("v"))
+    return df, linalg.pca(df, "v")
+
+
+@query("pca_two_eig", _TWO + """ SELECT 1 AS component, round(l1, 6) AS eigenvalue, round(100 * l1 / (l1 + l2), 6) AS percent, round(100 * l1 / (l1 + l2), 6) AS cumulative FROM ev
+UNION ALL SELECT 2, round(l2, 6), round(100 * l2 / (l1 + l2), 6), 100.0::DOUBLE FROM ev""")
+def pca_two_eig(spark, sf):
+    t = _two(spark, sf)[1].table(spark)
+    return t.select(*[F.col(c) if c == "component" else _r(c) for c in t.columns])
+
+
+@query("pca_two_k80", _TWO + """ SELECT (SELECT count(*) FROM v) AS n, CAST(1 + (100 * l1 / (l1 + l2) <= 80)::INT + (100 <= 80)::INT AS INTEGER) AS k80 FROM ev""")
+def pca_two_k80(spark, sf):
+    df, model = _two(spark, sf)
+    return df.agg(F.count("*").alias("n")).withColumn("k80", F.lit(model.components_for(80.0)))
+
+
+@query("pca_two_coords", _TWO + " SELECT obs, round(pc1, 5) + 0.0::DOUBLE AS pc1, round(pc2, 5) + 0.0::DOUBLE AS pc2 FROM pc")
+def pca_two_coords(spark, sf):
+    df, model = _two(spark, sf)
+    return linalg.project(df, "v", model, 2).select("obs", *[(F.round(F.element_at("pc", i), 5) + 0.0).alias(f"pc{i}") for i in (1, 2)])
+
+
+@query("pca_two_region", _TWO + """ SELECT obs, CAST(listed_price AS DOUBLE) AS listed_price, lot_area FROM pc JOIN survival USING (obs) WHERE pc1 < 0 AND pc2 < -0.1""")
+def pca_two_region(spark, sf):
+    df, model = _two(spark, sf)
+    near = linalg.project(df, "v", model, 2).where((F.element_at("pc", 1) < 0) & (F.element_at("pc", 2) < -0.1)).select("obs")
+    rows = views.survival(spark, sf).select("obs", "listed_price", "lot_area")
+    return rows.join(near, "obs")
+
+
 _KNN = """WITH p AS (SELECT a.vec_id, b.vec_id AS neighbour, round({d}, 9) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM p)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM r WHERE rank <= {k}"""

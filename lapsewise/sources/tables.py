@@ -26,6 +26,11 @@ def read_listing_csv(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def write_listing_csv(df: DataFrame, path: str) -> None:
+    """Listing rows as ``read_listing_csv`` takes them; null becomes ``NA``."""
+    df.select(*LISTING_SCHEMA.names).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "NA").csv(path)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -35,6 +40,15 @@ def write_features(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """A feature table in the session's warehouse, bucketed and sorted by key; tables with equal buckets join without a shuffle.
+
+    Rows are dealt by key first, so each bucket is one file.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_scores(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """The long score table, as Parquet or CSV."""
     writer = df.write.mode("overwrite")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lapsewise.operators import cox, linalg, sparse
+from lapsewise.operators import cox, coxnet, linalg, sparse
 from lapsewise.operators.survival import SurvSpec
 
 RNG = np.random.default_rng(12)
@@ -76,3 +76,22 @@ def test_minimise_with_an_absolute_penalty():
             rho = a[:, j] @ (y - a @ plain + a[:, j] * plain[j]) / 50
             plain[j] = np.sign(rho) * max(abs(rho) - 0.1, 0) / ((a[:, j] ** 2).mean())
     assert done and np.allclose(b, plain, atol=1e-6) and (b == 0).sum() == (np.abs(plain) < 1e-9).sum()
+
+
+def test_a_selection_recodes_and_drops(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3], "xy"[i % 2], float(i % 7), 1) for i in range(60)], "id int, h string, o string, t double, e int")
+    columns = tuple(linalg.DesignColumn(f"{v}={k}", v, k) for v, k in (("h", "b"), ("h", "c"), ("o", "y")))
+    path = coxnet.CoxPath(columns, np.array([0.1]), np.array([[0.0, 0.4, 0.0]]), ("ok",), 0.95, "x", SurvSpec("t", "e"))
+    table = coxnet.selection_table(path, spark, {"h": "a", "o": "x"}, 0.1)
+    assert {tuple(r) for r in table.collect()} == {("h", "b", "a", False), ("h", "c", "c", True), ("o", "y", "x", False)}
+    merged = coxnet.recode_selected(df, table, ["h", "o"])
+    assert merged.columns == df.columns and {tuple(r) for r in merged.select("h", "o").distinct().collect()} == {("a", "x"), ("c", "x")}
+    kept, gone = coxnet.drop_constant_factors(merged, ["h", "o"])
+    assert gone == ["o"] and kept.columns == ["id", "h", "t", "e"]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from lapsewise import plans
+
+    plan = plans.QUERIES["bucketed_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
