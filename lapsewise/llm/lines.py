@@ -86,15 +86,21 @@ def repeated_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two lines alone, as ``SQL_OP2`` says; ``op2_line_dedup_passages`` and the pipeline also take single long lines."""
-    return repeated_lines(table(spark, sf_dir, "documents"), passage=None)
+    """Runs of two lines, and single lines of ``PASSAGE`` words."""
+    return repeated_lines(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``op2_line_dedup``, under its earlier name."""
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
-SQL_OP2 = """
+def op2_line_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two lines alone."""
+    return repeated_lines(table(spark, sf_dir, "documents"), passage=None)
+
+
+SQL_OP2_PAIRS = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
 ), counted AS (
@@ -122,4 +128,4 @@ _PASSAGES = f"""ranked_lines AS (
   SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS place FROM counted WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {PASSAGE}
 ), gone AS (
   SELECT doc_id, n FROM ranked_lines WHERE place > 1 UNION """
-SQL_OP2_PASSAGES = SQL_OP2.replace("gone AS (\n  ", _PASSAGES)
+SQL_OP2 = SQL_OP2_PASSAGES = SQL_OP2_PAIRS.replace("gone AS (\n  ", _PASSAGES)
