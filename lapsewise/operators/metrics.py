@@ -10,20 +10,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle, small_side
-from .blocks import numbers, tree_sum
+from .blocks import numbers
 from .cox import baseline_hazard
+from .levels import Panels, rates
 from .pairs import cells_of, join_groups, node_counts
 from .running import range_bounds, range_index, running
 from .stats import median_value
 from .survival import SurvSpec, kaplan_meier, step_lookup
 
-# Evaluation times that one pass carries; more are worked off in blocks.
-GRID = 4096
-
 
 # --- concordance ----------------------------------------------------------------------------
 
@@ -122,61 +121,86 @@ def auc_at(curve: DataFrame, time: float) -> float | None:
     return row[0]
 
 
-def _range_sums(t: np.ndarray, level: np.ndarray, kind: str):
-    """For one score range: case mass, control mass, and the mass of its own ordered pairs, per time."""
+def _times(spark: SparkSession, times: DataFrame | Sequence[float]) -> DataFrame:
+    """Distinct evaluation times as a table."""
+    if not isinstance(times, DataFrame):
+        times = spark.createDataFrame([(float(t),) for t in times], "time double")
+    return times.select(F.col("time").cast("double").alias("time")).distinct()
+
+
+def _levels(times: DataFrame, hazard: DataFrame) -> DataFrame:
+    """``time, level``: the cumulative hazard at each time."""
+    falling = hazard.select("time", (-F.col("cumulative")).alias("surv"))
+    return step_lookup(times, "time", falling, before=0.0).select("time", (-F.col("surv")).alias("level"))
+
+
+def _range_sums(at: np.ndarray, least: float, kind: str):
+    """For one score range: case mass, control mass, and the mass of its own ordered pairs, per node.
+
+    Survival is taken relative to the smallest rate, and cumulative cases relative to the level; both factors leave
+    the AUC as it is and keep its sums away from zero.
+    """
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lp")
-        rate, mass = np.exp(pdf["lp"].to_numpy()), pdf["n"].to_numpy()
-        case, ctrl, inside = (np.zeros(len(t)) for _ in range(3))
-        for s in range(0, len(t), 256):
-            at = slice(s, s + 256)
+        rate, mass = rates(pdf["lp"].to_numpy()), pdf["n"].to_numpy()
+        case, ctrl, inside = (np.zeros(len(at)) for _ in range(3))
+        for s in range(0, len(at), 256):
+            k = slice(s, s + 256)
             for i in range(0, len(rate), 4096):
                 r, n = rate[i:i + 4096], mass[i:i + 4096]
-                alive = np.exp(-np.outer(level[at], r))
-                control = alive * n
-                cases = (1 - alive) * n if kind == "cumulative" else r * alive * n
-                lower = ctrl[at, None] + control.cumsum(1) - 0.5 * control
-                inside[at] += (cases * lower).sum(1)
-                case[at] += cases.sum(1)
-                ctrl[at] += control.sum(1)
-        return pd.DataFrame({"b": pdf["b"].iloc[0], "time": t, "case": case, "ctrl": ctrl, "inside": inside})
+                control = np.exp(-np.outer(at[k], r - least)) * n
+                cases = -np.expm1(-np.outer(at[k], r)) * n / at[k, None] if kind == "cumulative" else r * control
+                lower = ctrl[k, None] + control.cumsum(1) - 0.5 * control
+                inside[k] += (cases * lower).sum(1)
+                case[k] += cases.sum(1)
+                ctrl[k] += control.sum(1)
+        return pd.DataFrame({"b": pdf["b"].iloc[0], "node": np.arange(len(at)), "case": case, "ctrl": ctrl, "inside": inside})
 
     return sums
 
 
-def model_auc(test: DataFrame, hazard: DataFrame, times: Sequence[float], kind: str, lp: str = "lp",
+def model_auc(test: DataFrame, hazard: DataFrame, times: DataFrame | Sequence[float], kind: str, lp: str = "lp",
               pieces: int | None = None) -> DataFrame:
     """AUC(t) from the model's own survival ``S_i(t) = exp(-L(t) exp(lp_i))``: ``time, auc``.
 
     ``cumulative``: case weight ``1 - S_i(t)``; ``incident``: case weight ``exp(lp_i) S_i(t)``;
-    control weight ``S_i(t)`` in both. Rows are merged by score and cut into score ranges. A task sums
-    the pairs of its range; pairs across ranges need only the range totals.
+    control weight ``S_i(t)`` in both. ``times`` is a table with a column ``time``, or a few numbers. Rows are merged
+    by score and cut into score ranges. A task sums the pairs of its range at the nodes of the hazard levels; pairs
+    across ranges need only the range totals. Times read their value off the nodes, where they lie. Rows without a
+    score take no part; without cases or controls the AUC is null.
     """
     if kind not in ("cumulative", "incident"):
         raise ValueError("kind must be cumulative or incident")
-    spark = test.sparkSession
-    scores = settle(test.groupBy(F.col(lp).cast("double").alias("lp")).agg(F.count("*").cast("double").alias("n")))
-    count = scores.count()
-    pieces = pieces or max(1, -(-count // 20_000))
-    bounds = range_bounds(scores, "lp", pieces)
+    score = F.col(lp).cast("double")
+    scores = settle(test.filter(score.isNotNull() & ~F.isnan(score)).groupBy(score.alias("lp")).agg(
+        F.count("*").cast("double").alias("n")))
+    level = settle(_levels(_times(test.sparkSession, times), hazard))
+    count, low, high = scores.agg(F.count("*"), F.min("lp"), F.max("lp")).first()
+    top = level.agg(F.max("level")).first()[0]
+    if not count or top is None:
+        return level.select("time", F.lit(None).cast("double").alias("auc"))
+    least, most = rates(np.array([low, high]))
+    panels = Panels.over(top, 2 * most)
+    bounds = range_bounds(scores, "lp", pieces or max(1, -(-count // 20_000)))
     cut = scores.withColumn("b", range_index(F.col("lp"), bounds))
-    out = None
-    for start in range(0, len(times), GRID):
-        part = list(times[start:start + GRID])
-        grid = spark.createDataFrame([(float(t),) for t in part], "time double")
-        level = {r["time"]: -r["surv"] for r in step_lookup(
-            grid, "time", hazard.select("time", (-F.col("cumulative")).alias("surv")), before=0.0).collect()}
-        ranges_of = _range_sums(np.array(part, dtype=float), np.array([level[x] for x in part]), kind)
-        ranges = cut.groupBy("b").applyInPandas(ranges_of, "b int, time double, case double, ctrl double, inside double")
-        # One row per range of 20,000 scores and time, so this window is short.
-        below = F.sum("ctrl").over(Window.partitionBy("time").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-        done = ranges.withColumn("_below", F.coalesce(below, F.lit(0.0))).groupBy("time").agg(
-            F.sum(F.col("inside") + F.col("case") * F.col("_below")).alias("_a"),
-            F.sum("case").alias("_c"), F.sum("ctrl").alias("_k"))
-        done = done.select("time", F.try_divide(F.col("_a"), F.col("_c") * F.col("_k")).alias("auc"))
-        out = done if out is None else out.unionByName(done)
-    return out
+    ranges = cut.groupBy("b").applyInPandas(
+        _range_sums(panels.at, least, kind), "b int, node int, case double, ctrl double, inside double")
+    # One row per range of 20,000 scores and node, so this window is short.
+    below = F.sum("ctrl").over(Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    nodes = ranges.withColumn("_below", F.coalesce(below, F.lit(0.0))).groupBy("node").agg(
+        F.sum(F.col("inside") + F.col("case") * F.col("_below")), F.sum("case"), F.sum("ctrl"))
+    # As many rows as nodes, whatever the number of times and scores.
+    pairs, case, ctrl = np.array(sorted(tuple(r) for r in nodes.collect()), dtype=float)[:, 1:].T
+
+    @F.arrow_udf("double")
+    def read(levels: pa.Array) -> pa.Array:
+        x = numbers(levels)
+        whole = panels.read(x, case) * panels.read(x, ctrl)
+        known = (whole > 0) & ((x > 0) | (kind == "incident"))
+        return pa.array(panels.read(x, pairs) / np.where(known, whole, 1.0), mask=~known)
+
+    return level.select("time", read(F.col("level")).alias("auc"))
 
 
 def integrated_auc(auc: DataFrame, curve: DataFrame) -> DataFrame:
@@ -193,44 +217,96 @@ def integrated_auc(auc: DataFrame, curve: DataFrame) -> DataFrame:
 
 # --- Brier ----------------------------------------------------------------------------------
 
-def brier(test: DataFrame, hazard: DataFrame, curve: DataFrame, times: Sequence[float], lp: str = "lp",
-          surv: SurvSpec = SurvSpec()) -> DataFrame:
+def _sweep(panels: Panels):
+    """Sums over the cells of one range at each of its times, and over all of them at each node."""
+
+    def sums(cells: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
+        times = times.sort_values("time")
+        t = times["time"].to_numpy()
+        place = np.searchsorted(t, cells["t"].to_numpy(), side="left")  # the first time at or after the cell's own
+        order = np.argsort(place, kind="stable")
+        place, rate = place[order], rates(cells["lp"].to_numpy()[order])
+        n, w = cells["n"].to_numpy()[order], cells["w"].to_numpy()[order]
+        past, later = np.zeros((len(t) + 1, len(panels.at))), np.zeros((len(t) + 1, len(panels.at)))
+        for i in range(0, len(rate), 2048):
+            k = slice(i, i + 2048)
+            alive = np.exp(-np.outer(rate[k], panels.at))
+            at, first = np.unique(place[k], return_index=True)
+            past[at] += np.add.reduceat(alive**2 * w[k, None], first, axis=0)
+            later[at] += np.add.reduceat((1 - alive) ** 2 * n[k, None], first, axis=0)
+        whole = {"b": (times if len(t) else cells)["b"].iloc[0], "all_past": past.sum(0), "all_later": later.sum(0)}
+        past, later = past.cumsum(0)[:-1], later[::-1].cumsum(0)[::-1][1:]
+        level = times["level"].to_numpy()
+        own = {"b": times["b"], "time": t, "past": panels.read(level, past) if len(t) else [],
+               "later": panels.read(level, later) if len(t) else [], "all_past": None, "all_later": None}
+        rows = pd.DataFrame(own).to_dict("records") + [whole | dict.fromkeys(("time", "past", "later"))]
+        return pd.DataFrame(rows, columns=["b", "time", "past", "later", "all_past", "all_later"])
+
+    return sums
+
+
+def _offsets(panels: Panels):
+    """What earlier and later ranges add at the times of one range."""
+
+    def add(times: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
+        level = times["level"].to_numpy()
+        before, after = np.zeros(len(panels.at)), np.zeros(len(panels.at))
+        at = ranges["node"].to_numpy()
+        before[at], after[at] = ranges["before"], ranges["after"]
+        return pd.DataFrame({"time": times["time"], "inverse": times["inverse"], "past": panels.read(level, before),
+                             "later": panels.read(level, after)})
+
+    return add
+
+
+def brier(test: DataFrame, hazard: DataFrame, curve: DataFrame, times: DataFrame | Sequence[float], lp: str = "lp",
+          surv: SurvSpec = SurvSpec(), pieces: int | None = None) -> DataFrame:
     """``time, brier``: mean of ``S^2 1(T<=t, event)/G(T) + (1-S)^2 1(T>t)/G(t)``.
 
-    Rows are merged by (score, time, event); every task adds its own terms for all times. Where ``G``
-    is zero nothing is known and the term is zero.
+    ``times`` is a table with a column ``time``, or a few numbers. Rows are merged by (score, time, event) and swept
+    along the time axis in ranges: a range sums its cells at the nodes of the hazard levels and reads them off at its
+    own times, and earlier and later ranges come in by their totals. Cells of a hot time are dealt into parts. So the
+    work is rows plus times, times the nodes, not rows times times. Where ``G`` is zero nothing is known and the term
+    is zero. Rows without a score or time take no part; without rows the score is null.
     """
-    spark = test.sparkSession
-    cells = test.groupBy(F.col(lp).cast("double").alias("lp"), F.col(surv.time).cast("double").alias("t"),
-                         F.col(surv.event).cast("int").alias("e")).agg(F.count("*").cast("double").alias("n"))
-    rows = settle(_with_g(settle(cells), curve, "t").select("lp", "t", "e", "n", "_g"))
-    found = []
-    for start in range(0, len(times), GRID):
-        grid = spark.createDataFrame([(float(t),) for t in times[start:start + GRID]], "time double")
-        steps = {r["time"]: -r["surv"] for r in step_lookup(
-            grid, "time", hazard.select("time", (-F.col("cumulative")).alias("surv")), before=0.0).collect()}
-        known = {r["time"]: r["surv"] for r in step_lookup(grid, "time", curve).collect()}
-        t = np.array(sorted(steps))
-        level, g = np.array([steps[x] for x in t]), np.array([known[x] for x in t])
-        inverse = np.where(g > 0, 1 / np.where(g > 0, g, 1), 0.0)
-
-        def kernel(batches, t=t, level=level, inverse=inverse):
-            out = np.zeros(len(t) + 1)
-            for b in batches:
-                score, time, e, n, own = (numbers(b.column(i)) for i in range(5))
-                weight = np.where(own > 0, 1 / np.where(own > 0, own, 1), 0.0) * e * n
-                out[0] += n.sum()
-                for s in range(0, len(score), 2048):
-                    k = slice(s, s + 2048)
-                    alive = np.exp(-np.outer(np.exp(score[k]), level))
-                    past = time[k, None] <= t[None, :]
-                    out[1:] += (alive**2 * past * weight[k, None]).sum(0)
-                    out[1:] += ((1 - alive) ** 2 * ~past * n[k, None]).sum(0) * inverse
-            return out
-
-        total = tree_sum(rows, kernel)
-        found += list(zip(t.tolist(), (total[1:] / total[0]).tolist()))
-    return spark.createDataFrame(found, "time double, brier double")
+    score, own, count_ = F.col(lp).cast("double"), F.col(surv.time).cast("double"), F.count("*").cast("double")
+    cells = test.filter(score.isNotNull() & ~F.isnan(score) & own.isNotNull()).groupBy(
+        score.alias("lp"), own.alias("t"), F.col(surv.event).cast("int").alias("e")).agg(count_.alias("n"))
+    weight = F.when((F.col("_g") > 0) & (F.col("e") == 1), F.col("n") / F.col("_g")).otherwise(0.0)
+    rows = settle(_with_g(settle(cells), curve, "t").select("lp", "t", "n", weight.alias("w")))
+    wanted = settle(_times(test.sparkSession, times))
+    known = step_lookup(wanted, "time", curve).select(F.col("time").alias("_t"), F.col("surv").alias("_g"))
+    level = settle(_levels(wanted, hazard).join(known, F.col("time") == F.col("_t")).select(
+        "time", "level", F.when(F.col("_g") > 0, 1 / F.col("_g")).otherwise(0.0).alias("inverse")))
+    size, mass, high = rows.agg(F.count("*"), F.sum("n"), F.max("lp")).first()
+    top = level.agg(F.max("level")).first()[0]
+    if not size or top is None:
+        return level.select("time", F.lit(None).cast("double").alias("brier"))
+    panels = Panels.over(top, 2 * float(rates(np.array([high]))[0]))
+    part = max(1000, 500_000 // len(panels.at))  # cells of a task, so that its sums take a few megabytes
+    bounds = range_bounds(rows, "t", pieces or max(1, -(-size // part)))
+    ranged = rows.withColumn("b", range_index(F.col("t"), bounds))
+    # A time that many cells share is a range of its own at most; parts split it.
+    parts = small_side(ranged.groupBy("b").agg(F.ceil(F.count("*") / F.lit(2.0 * part)).cast("int").alias("k")))
+    ranged = ranged.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("lp", "t"), F.col("k")).cast("int"))
+    grid = level.withColumn("b", range_index(F.col("time"), bounds))
+    dealt = grid.join(parts, "b", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
+    swept = settle(ranged.select("b", "part", "lp", "t", "n", "w").groupBy("b", "part").cogroup(
+        dealt.select("b", "part", "time", "level").groupBy("b", "part")).applyInPandas(
+        _sweep(panels), "b int, time double, past double, later double, all_past array<double>, all_later array<double>"))
+    # One row per range and node.
+    totals = swept.filter("time is null").select("b", F.posexplode(F.arrays_zip("all_past", "all_later")).alias("node", "v"))
+    totals = totals.groupBy("b", "node").agg(F.sum("v.all_past").alias("p"), F.sum("v.all_later").alias("l"))
+    along = Window.partitionBy("node").orderBy("b")
+    around = totals.select(
+        "b", "node", F.coalesce(F.sum("p").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"),
+        F.coalesce(F.sum("l").over(along.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("after"))
+    outside = grid.groupBy("b").cogroup(around.groupBy("b")).applyInPandas(
+        _offsets(panels), "time double, inverse double, past double, later double")
+    inside = swept.filter("time is not null").select("time", F.lit(None).cast("double").alias("inverse"), "past", "later")
+    return outside.unionByName(inside).groupBy("time").agg(
+        ((F.sum("past") + F.sum("later") * F.max("inverse")) / F.lit(float(mass))).alias("brier"))
 
 
 def integrated_brier(scores: DataFrame) -> DataFrame:
@@ -249,7 +325,7 @@ SCORES = ("brier_med", "integrated_brier", "c_uno", "c_index", "c_se", "auc_medi
 
 
 def score(train: DataFrame, test: DataFrame, lp: str = "lp", surv: SurvSpec = SurvSpec(),
-          times: Sequence[float] | None = None, wanted: Sequence[str] = SCORES) -> dict[str, float]:
+          times: DataFrame | Sequence[float] | None = None, wanted: Sequence[str] = SCORES) -> dict[str, float]:
     """Scores of one model from the linear predictor on the training and the held-out rows."""
     cols = [F.col(surv.time).cast("double").alias(surv.time), F.col(surv.event).cast("int").alias(surv.event), F.col(lp)]
     train, test = settle(train.select(*cols)), settle(test.select(*cols))
@@ -263,12 +339,10 @@ def score(train: DataFrame, test: DataFrame, lp: str = "lp", surv: SurvSpec = Su
     if need("c_uno"):
         out["c_uno"] = uno_c(test, g, lp, surv).first()[0]
     if need("brier_med", "integrated_brier", *[f"{k}_{m}" for k in ("auc_median", "iauc") for m in ("cd", "sh", "uno")]):
-        if times is None:
-            times = sorted(r["time"] for r in event_times(test, surv).collect())
+        among = settle(event_times(test, surv) if times is None else _times(test.sparkSession, times))
         hazard = settle(baseline_hazard(train, lp, surv))
         km = settle(kaplan_meier(test, surv).select("time", "surv"))
-        grid = sorted({*times, middle})
-        among = settle(test.sparkSession.createDataFrame([(float(t),) for t in times], "time double"))
+        grid = settle(among.unionByName(_times(test.sparkSession, [middle])).distinct())
     if need("brier_med", "integrated_brier"):
         errors = brier(test, hazard, g, grid, lp, surv)
         out["brier_med"] = errors.filter(F.col("time") == middle).first()["brier"]

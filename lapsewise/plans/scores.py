@@ -140,8 +140,7 @@ _BRIER = _MODEL + """, bc AS (SELECT lp, pte.t, e, count(*) AS n, any_value((SEL
 
 def _brier(spark, sf):
     train, test = _fitted(spark, sf)
-    times = sorted(r["time"] for r in metrics.event_times(test).collect())
-    return metrics.brier(test, cox.baseline_hazard(train), metrics.censoring_curve(train), times)
+    return metrics.brier(test, cox.baseline_hazard(train), metrics.censoring_curve(train), metrics.event_times(test))
 
 
 @query("brier_t", _BRIER + " SELECT round(time, 6) AS time, round(b, 6) AS brier FROM br")
@@ -167,8 +166,7 @@ _CD, _SH = _auc_sql("1 - exp(-l * exp(lp))"), _auc_sql("exp(lp) * exp(-l * exp(l
 
 def _auc(spark, sf, kind):
     train, test = _fitted(spark, sf)
-    times = sorted(r["time"] for r in metrics.event_times(test).collect())
-    return metrics.model_auc(test, cox.baseline_hazard(train), times, kind), test
+    return metrics.model_auc(test, cox.baseline_hazard(train), metrics.event_times(test), kind), test
 
 
 @query("auc_cd", _CD + " SELECT round(time, 6) AS time, round(auc, 6) AS auc FROM au")
