@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cox, metrics, split
+from ..operators.linalg import DesignColumn
 from ..operators.survival import SurvSpec, kaplan_meier
 from ..session import settle
 from ..sources import views
@@ -64,6 +65,28 @@ def bootstrap_c(spark, sf):
     return metrics.concordance(rows, surv=TEXT_SURV, by=["replicate"], weight=F.col("weight")).select("replicate", _r("c_index"))
 
 
+# The concordance of one covariate depends on the sign of its coefficient alone, which is the sign of the score at zero.
+@query("optimism_c", _TEXT + """, u AS (SELECT p.*, replicate, ('0x' || substr(md5('1|' || replicate || '|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+           FROM p, range(1, 4) g(replicate)),
+ po AS (SELECT i, sum(exp(-1) / gamma(i + 1)) OVER (ORDER BY i) AS c FROM range(0, 12) g(i)),
+ w AS MATERIALIZED (SELECT doc_id, t, e, lp, CAST(replicate AS INTEGER) AS replicate, count(*) FILTER (WHERE u >= c) AS w FROM u, po GROUP BY ALL
+   UNION ALL SELECT doc_id, t, e, lp, 0, 1 FROM p),
+ tm AS (SELECT replicate, t, sum(w * e) AS d, sum(w * e * lp) AS dx, sum(w) AS n, sum(w * lp) AS sx FROM w WHERE w > 0 GROUP BY ALL),
+ rs AS (SELECT replicate, d, dx, sum(n) OVER o AS n, sum(sx) OVER o AS sx FROM tm WINDOW o AS (PARTITION BY replicate ORDER BY t DESC)),
+ sg AS (SELECT replicate, sign(sum(dx - d * sx / n)) AS s FROM rs GROUP BY replicate),
+ c1 AS (SELECT a.replicate, sum(a.w * b.w * sign(a.lp - b.lp))::DOUBLE / sum(a.w * b.w) AS dxy
+  FROM w a JOIN w b ON a.e = 1 AND a.replicate = b.replicate AND (b.t > a.t OR (b.t = a.t AND b.e = 0)) WHERE a.w > 0 AND b.w > 0 GROUP BY a.replicate),
+ cs AS MATERIALIZED (SELECT c1.replicate, 0.5 + s * c1.dxy / 2 AS c_sample, 0.5 + s * z.dxy / 2 AS c_original
+  FROM c1 JOIN sg USING (replicate), (SELECT dxy FROM c1 WHERE replicate = 0) z)
+SELECT replicate, round(c_sample, 6) AS c_sample, round(c_original, 6) AS c_original,
+  round((SELECT max(c_original) FROM cs WHERE replicate = 0) - (SELECT avg(c_sample - c_original) FROM cs WHERE replicate > 0), 6) AS c_corrected
+FROM cs WHERE replicate > 0""")
+def optimism_c(spark, sf):
+    df = _text_scored(spark, sf).withColumn("x", F.array("lp"))
+    found = metrics.optimism_corrected(df, "doc_id", [DesignColumn("x", "x", None, "x")], replicates=3, surv=TEXT_SURV, ties="breslow")
+    return found.select("replicate", _r("c_sample"), _r("c_original"), _r("c_corrected"))
+
+
 _G = """, gt AS (SELECT t, sum(e) AS d, sum(1 - e) AS c, count(*) AS n FROM {src} GROUP BY t),
  gr AS (SELECT t, c, sum(n) OVER (ORDER BY t DESC) AS r FROM gt),
  gk AS MATERIALIZED (SELECT t, product(1 - c / r) OVER (ORDER BY t) AS g FROM gr)"""
