@@ -133,7 +133,7 @@ def _solve(rows: CoxRows, fits: list[_Fit], alpha: float, ties: str, max_iter: i
         moved = {}
         for i, f in enumerate(active):
             q = 2 / f.n * f.curve
-            b = coordinate_descent(q, 2 / f.n * f.step.gradient, f.lane.beta, f.lam, alpha, rows.flat)
+            b = coordinate_descent(q, 2 / f.n * f.step.gradient, f.lane.beta, f.lam, alpha, rows.flat, min(1e-9, tol / 100))
             f.done = float((np.diag(q) * (b - f.lane.beta) ** 2).max()) < tol
             if not f.done:
                 moved[i] = b

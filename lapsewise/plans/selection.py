@@ -11,7 +11,7 @@ from ..sources.tables import table
 from ..sources.views import SURVIVAL_SQL
 from .models import _FIT as _TWO_FIT
 from .models import two_covariates
-from .newton_sql import penalised
+from .newton_sql import concordance_cv, deviance_cv, elastic_net, penalised, unit_scale
 from .registry import query
 
 S = "WITH " + SURVIVAL_SQL
@@ -58,6 +58,71 @@ def coxnet_one_covariate(spark, sf):
     return p.coefficients(spark).select("lambda", "term", (F.round(1000 * F.col("beta"), 4) + 0.0).alias("beta_1000"))
 
 
+# Path, cross-validation, choice and refit over two numbers and a factor, each held against SQL.
+_TERMS = ("lot_area", "bed", "open=b")
+_CHAIN = S + """, src AS MATERIALIZED (SELECT sale_time AS t, event AS e, CAST(('0x' || substr(md5('1|' || obs), 1, 8))::BIGINT % 3 AS INTEGER) AS f,
+   CAST(lot_area AS DOUBLE) AS x1, bed AS x2, CASE outdoor WHEN 'N' THEN 1.0::DOUBLE ELSE 0 END AS x3 FROM survival), """ \
+    + unit_scale("src", 3, 3, 6, 0.05, 0.95) + ", " + elastic_net("z", 3, "lanes", "net", 0.95)
+_CHAIN_CV = _CHAIN + ", " + deviance_cv("z", "net", 3)
+
+
+def _by_term(body):
+    return " UNION ALL ".join(body.format(i=i, term=t) for i, t in enumerate(_TERMS, 1))
+
+
+def _chain(spark, sf, measure=None):
+    df = views.survival(spark, sf).select("obs", "sale_time", "event", "lot_area", "bed", F.when(F.col("outdoor") == "N", "b").otherwise("a").alias("open"))
+    df = settle(df.withColumn("fold", split.fold_of("obs", 3)))
+    df, cols = linalg.design(df, ["lot_area", "bed"], {"open": ["a", "b"]})
+    return coxnet.path(df, cols, n_lambda=6, min_ratio=0.05, fold="fold", measure=measure, tol=1e-13), df
+
+
+@query("coxnet_chain_path", _CHAIN + " " + _by_term(
+    """SELECT round("lam", 7) AS "lambda", '{term}' AS term, round(1000 * b{i} / sd{i}, 4) + 0.0::DOUBLE AS beta_1000 FROM net, sc WHERE skip = -2"""))
+def coxnet_chain_path(spark, sf):
+    """Automatic grid and path of three covariates."""
+    p, _ = _chain(spark, sf)
+    return p.coefficients(spark).select(_r("lambda", 7), "term", (F.round(1000 * F.col("beta"), 4) + 0.0).alias("beta_1000"))
+
+
+@query("coxnet_chain_cv", _CHAIN_CV + """
+SELECT round(cv.lam, 7) AS "lambda", round(mean, 6) AS cv_mean, round(se, 6) AS cv_se, (abs(b1) > 1e-9)::INTEGER + (abs(b2) > 1e-9)::INTEGER + (abs(b3) > 1e-9)::INTEGER AS n_nonzero,
+       cv.lam IN (SELECT lam FROM chosen WHERE rule = 'lambda.min') AS is_min, cv.lam IN (SELECT lam FROM chosen WHERE rule = 'lambda.1se') AS is_1se
+FROM cv JOIN net ON cv.lam = net.lam AND skip = -2""")
+def coxnet_chain_cv(spark, sf):
+    """Cross-validated deviance along the path, and the two lambdas that it chooses."""
+    p, _ = _chain(spark, sf, "loglik")
+    size = p.coefficients(spark).groupBy("lambda").agg(F.count_if(F.abs("beta") > 1e-9).cast("int").alias("n_nonzero"))
+    return p.table(spark).drop("n_nonzero").join(size, "lambda").select(
+        _r("lambda", 7), _r("cv_mean"), _r("cv_se"), "n_nonzero",
+        (F.col("lambda") == p.cv.lambda_min).alias("is_min"), (F.col("lambda") == p.cv.lambda_1se).alias("is_1se"))
+
+
+@query("coxnet_chain_concordance", _CHAIN + ", " + concordance_cv("z", "net", 3) + """
+SELECT round(lam, 7) AS "lambda", round(mean, 6) AS cv_mean, round(se, 6) AS cv_se,
+       lam IN (SELECT lam FROM chosen WHERE rule = 'lambda.min') AS is_min, lam IN (SELECT lam FROM chosen WHERE rule = 'lambda.1se') AS is_1se FROM cv""")
+def coxnet_chain_concordance(spark, sf):
+    """Cross-validated concordance along the path, and the two lambdas that it chooses."""
+    p, _ = _chain(spark, sf, "C")
+    return p.table(spark).select(_r("lambda", 7), _r("cv_mean"), _r("cv_se"), (F.col("lambda") == p.cv.lambda_min).alias("is_min"),
+                                 (F.col("lambda") == p.cv.lambda_1se).alias("is_1se"))
+
+
+@query("coxnet_chain_refit", _CHAIN_CV + """, again AS (SELECT CAST(0 AS DOUBLE) AS lam, CAST(-2 AS INTEGER) AS skip, (abs(b1) > 1e-9)::INTEGER AS m1, (abs(b2) > 1e-9)::INTEGER AS m2,
+   (abs(b3) > 1e-9)::INTEGER AS m3 FROM net WHERE skip = -2 AND lam = (SELECT max(lam) FILTER (round(lam, 12) < (SELECT round(top, 12) FROM top)) FROM net)), """
+       + elastic_net("z", 3, "again", "fit", 0.95) + " " + _by_term(
+    "SELECT '{term}' AS term, m{i} = 1 AS kept, round(1000 * b{i} / sd{i}, 4) + 0.0::DOUBLE AS beta_1000 FROM fit, sc"))
+def coxnet_chain_refit(spark, sf):
+    """What the path keeps at its second lambda, refitted without a penalty."""
+    p, df = _chain(spark, sf)
+    lam = float(p.lambdas[1])
+    model, chosen = coxnet.refit(p, df, lam, ties="breslow")
+    new = {c.name: float(b) for c, b in zip(model.columns, model.beta)}
+    return coxnet.zero_nonzero(p, spark, lam).join(
+        spark.createDataFrame(list(new.items()), "term string, refitted double"), "term", "left").select(
+        "term", "kept", (F.round(1000 * F.coalesce("refitted", F.lit(0.0)), 4) + 0.0).alias("beta_1000"))
+
+
 @query("coxnet_cv_concordance")
 def coxnet_cv_concordance(spark, sf):
     p, *_ = _path(spark, sf, "C")
