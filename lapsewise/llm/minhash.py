@@ -19,9 +19,9 @@ BANDS, ROWS = 40, 5      # at similarity 0.8 a pair shares no band with chance 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.1, 4.0, 254  # register k stands for minima around RATE * BASE ** -k; TOP ends beyond 1e9 elements
 SLACK = 18.0             # log likelihood that a pair may lose against its best similarity and is still verified
-HOT = 256                # rows of a group that are compared in one piece
-PIECE = 1 << 20          # bytes of full sets in a piece
-WHOLE = 64               # pieces up to which a cluster of groups is compared as one; larger ones go group by group
+HOT = 1024               # rows of a group that are compared in one piece
+PIECE = 4 << 20          # bytes of full sets in a piece
+WHOLE = 16               # pieces up to which a cluster of groups is compared as one; larger ones go group by group
 STARS = 2                # rounds that compare a group with one member before its rest is compared throughout
 
 _G = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     likelihood over all registers drops what cannot reach the similarity, full sets decide the rest. Members
     that are linked by then need no further comparison with each other. After a second round with other hubs, groups that still
     hold several components are compared throughout, in pieces of bounded size, across components: clusters of groups
-    with common members as one, so that a pair meets once, clusters above 64 pieces group by group. So the
+    with common members as one, so that a pair meets once, clusters above 16 pieces group by group. So the
     components are those of all links between band partners. A hub with many members is dealt in lanes, a large group in pieces;
     no group meets in one task. Ids must be integers; a row with a null id gets a null component and is not kept. Rows that repeat an id
     share the component of that id. An empty table gives an empty result.
@@ -311,10 +311,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         """Pairs of pieces of each group: group columns, i, j, rows_a, rows_b."""
         of = [c for c in rows.columns if c not in (*group, "pieces", "piece")]
         held = settle(rows.groupBy(*group, "pieces", "piece").agg(F.collect_list(F.struct(*of)).alias("rows")))
+        # both sides are dealt by the pair at once, so a piece travels once per pair
         left = held.select(*group, F.col("rows").alias("rows_a"), F.col("piece").alias("i"), F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1)).alias("j"))
-        right = held.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("rows").alias("rows_b"), F.col("piece").alias("_j"))
-        match = [F.col(c) == F.col(f"_{c}") for c in group] + [F.col("j") == F.col("_j")]
-        return left.join(right, match).drop(*[f"_{c}" for c in group], "_j").repartition(4 * shuffle_width(docs.sparkSession), *group, "i", "j")
+        right = held.select(*group, F.col("rows").alias("rows_b"), F.explode(F.sequence(F.lit(0), F.col("piece"))).alias("i"), F.col("piece").alias("j"))
+        deal = lambda side: side.repartition(4 * shuffle_width(docs.sparkSession), *group, "i", "j")
+        return deal(left).join(deal(right), [*group, "i", "j"])
 
     def mixed_groups(comp: DataFrame | None) -> DataFrame:
         """Band members with their components, of the groups that hold several."""
