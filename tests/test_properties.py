@@ -316,6 +316,16 @@ def test_large_beta_parameters():
     assert np.allclose(special.beta_cdf(np.array([0.0, 0.5, 1.0]), 5e11, 5e11), [0.0, 0.5, 1.0], atol=1e-12)
 
 
+@pytest.mark.parametrize("n,q", [(31_000, 0.1), (400_000, 0.5), (3_000_000, 0.1), (30_000_000, 0.9)])
+def test_beta_between_the_fraction_and_the_normal_form(n, q):
+    """The fraction stopped with an error from some hundred thousand ranks on."""
+    a, b = (n + 1) * q, (n + 1) * (1 - q)
+    x = np.sort(np.r_[0, 1, q + np.sqrt(q * (1 - q) / n) * np.linspace(-9, 9, 2001), np.linspace(0, 1, 20_000)])
+    found = beta_cdf(x, a, b)
+    assert np.allclose(found, special._beta_normal(x, a, b), atol=1e-8) and (found[0], found[-1]) == (0, 1)
+    assert np.all(np.diff(found) >= -1e-13)
+
+
 def test_a_fold_without_a_score_does_not_count():
     raw = np.array([[0.6, 0.7, np.nan], [0.5, np.nan, np.nan], [np.nan] * 3])
     cv = coxnet._choose(np.array([3.0, 2.0, 1.0]), raw, np.array([10.0, 30.0, 5.0]), "C")
