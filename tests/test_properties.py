@@ -326,6 +326,13 @@ def test_beta_between_the_fraction_and_the_normal_form(n, q):
     assert np.all(np.diff(found) >= -1e-13)
 
 
+def test_weighted_quantiles_of_many_ranks(spark):
+    values = [(v / 2000, r) for v in range(1, 2001) for r in (1, 2)]
+    df = spark.createDataFrame(values, "x double, replicate int")
+    found = compare.smoothed_quantiles(df, "x", [0.1, 0.5, 0.9], ["replicate"], F.lit(1500)).collect()
+    assert len(found) == 6 and all(abs(r.value - r.prob) < 1e-3 for r in found)
+
+
 def test_a_fold_without_a_score_does_not_count():
     raw = np.array([[0.6, 0.7, np.nan], [0.5, np.nan, np.nan], [np.nan] * 3])
     cv = coxnet._choose(np.array([3.0, 2.0, 1.0]), raw, np.array([10.0, 30.0, 5.0]), "C")
