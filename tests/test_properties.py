@@ -309,6 +309,24 @@ def test_incomplete_rows_take_no_part(spark):
     assert cox.CoxRows(more, "x", 2).left_out() == 5
 
 
+@pytest.mark.parametrize("tasks", [None, 5])
+def test_large_sums_reach_the_driver_once(spark, monkeypatch, tasks):
+    """Every task's whole array used to be collected."""
+    from lapsewise.operators import blocks
+
+    cells, seen = 9 * blocks.PIECE + 5, []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+
+    def kernel(batches, cells=cells):
+        return np.arange(cells) * float(sum(b.num_rows for b in batches))
+
+    found = blocks.tree_sum(spark.range(0, 1000, 1, 5), kernel, tasks, cells)
+    assert np.array_equal(found, np.arange(cells) * 1000.0)
+    assert sum(len(r["part"]) for rows in seen for r in rows) == 8 * cells
+    assert blocks.tree_sum(spark.range(3), lambda batches: None) is None
+
+
 def test_large_beta_parameters():
     x = np.array([0.4995, 0.5, 0.5003])
     near = special.beta_cdf(x, 4e6, 4e6), special._beta_normal(x, 4e6, 4e6)
