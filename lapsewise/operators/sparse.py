@@ -27,15 +27,55 @@ from .survival import SurvSpec
 
 # --- designs --------------------------------------------------------------------------------
 
+class DesignColumns(Sequence[DesignColumn]):
+    """The columns of a design whose last ones are the terms of a Spark table ``_term, place``.
+
+    ``table`` stays distributed; the terms come to the driver only when a column is asked for.
+    """
+
+    def __init__(self, first: Sequence[DesignColumn], terms: DataFrame, n_terms: int):
+        self.first, self.terms, self.n_terms = list(first), terms, n_terms
+        self._all: list[DesignColumn] | None = None
+
+    def __len__(self) -> int:
+        return len(self.first) + self.n_terms
+
+    def __getitem__(self, i):
+        if self._all is None:
+            self._all = self.first + [DesignColumn(r["_term"], r["_term"], None, "text") for r in self.terms.orderBy("place").collect()]
+        return self._all[i]
+
+    def table(self) -> DataFrame:
+        """``_place, column`` of every column."""
+        names = self.terms.select(F.col("place").alias("_place"), F.col("_term").alias("column"))
+        return _names(names.sparkSession, self.first).unionByName(names) if self.first else names
+
+
+def _names(spark: SparkSession, columns: Sequence[DesignColumn]) -> DataFrame:
+    return spark.createDataFrame([(i, c.name) for i, c in enumerate(columns)], "_place int, column string")
+
+
+def _numbered(terms: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """The distinct terms with their place in sorted order, counted from ``first``: a range sort, then one offset per partition."""
+    ordered = settle(settle(terms.select("term").distinct()).orderBy("term"))
+    ids = ordered.select(F.col("term").alias("_term"), F.monotonically_increasing_id().alias("_id"))
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = ids.groupBy(part.alias("_part")).count().orderBy("_part").collect()
+    starts = np.cumsum([first, *[r["count"] for r in sizes]])
+    offsets = terms.sparkSession.createDataFrame([(r["_part"], int(at)) for r, at in zip(sizes, starts)], "_part long, _start long")
+    placed = ids.join(F.broadcast(offsets), part == F.col("_part")).select("_term", (F.col("_start") + within).cast("int").alias("place"))
+    return placed, int(starts[-1]) - first
+
+
 def sparse_design(
     df: DataFrame, numeric: Sequence[str] = (), factors: Mapping[str, Sequence[str]] | None = None,
     terms: DataFrame | None = None, key: str | None = None, name: str = "x",
-) -> tuple[DataFrame, list[DesignColumn]]:
+) -> tuple[DataFrame, Sequence[DesignColumn]]:
     """Add a column of non-zero entries, ``array<struct<place, value>>`` sorted by place, and list the design's columns.
 
     Numeric columns come first, then dummies of all levels but the first, then one column per distinct term of ``terms`` (``key, term,
     value``), in sorted order; rows without terms have none. A null covariate stays as a null entry. An unknown level has no dummy, like the
-    reference. The list of columns, and with it the terms' vocabulary, is on the driver.
+    reference. The terms' vocabulary is numbered in Spark and stays there: with ``terms`` the columns are ``DesignColumns``.
     """
     columns, cells = [], []
     cell = lambda place, value: F.struct(place.cast("int").alias("place"), value.cast("double").alias("value"))
@@ -51,22 +91,21 @@ def sparse_design(
     entries = F.filter(F.array(*cells), lambda e: e["place"].isNotNull() & (e["value"].isNull() | (e["value"] != 0))) if cells else F.array().cast("array<struct<place:int,value:double>>")
     if terms is None:
         return df.withColumn(name, entries), columns
-    vocabulary = [r["term"] for r in terms.select("term").distinct().orderBy("term").collect()]
-    numbered = df.sparkSession.createDataFrame([(t, len(columns) + i) for i, t in enumerate(vocabulary)], "_term string, place int")
-    columns += [DesignColumn(t, t, None, "text") for t in vocabulary]
+    placed, n_terms = _numbered(terms, len(columns))
+    numbered = small_side(placed)
     value = next(c for c in terms.columns if c not in (key, "term"))
     own = (
-        terms.where(F.col(value) != 0).join(small_side(numbered), F.col("term") == F.col("_term"))
+        terms.where(F.col(value) != 0).join(numbered, F.col("term") == F.col("_term"))
         .groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(cell(F.col("place"), F.col(value)))).alias("_terms"))
     )
     joined = df.join(own, F.col(key) == F.col("_key"), "left")
     none = F.array().cast("array<struct<place:int,value:double>>")
-    return joined.withColumn(name, F.concat(entries, F.coalesce("_terms", none))).drop("_key", "_terms"), columns
+    return joined.withColumn(name, F.concat(entries, F.coalesce("_terms", none))).drop("_key", "_terms"), DesignColumns(columns, numbered, n_terms)
 
 
 def sparse_entries(df: DataFrame, key: str, columns: Sequence[DesignColumn], x: str = "x") -> DataFrame:
     """The design as a table of coordinates: ``key, column, value``, one row per non-zero entry."""
-    names = df.sparkSession.createDataFrame([(i, c.name) for i, c in enumerate(columns)], "_place int, column string")
+    names = columns.table() if isinstance(columns, DesignColumns) else _names(df.sparkSession, columns)
     flat = df.select(key, F.inline(x))
     return flat.join(small_side(names), F.col("place") == F.col("_place")).select(key, "column", "value")
 
@@ -116,7 +155,7 @@ class SparseRows:
                 out[2 + p:] += np.bincount(place, value * value, minlength=p)
             return out
 
-        sums = tree_sum(self.df, moments)
+        sums = tree_sum(self.df, moments, cells=2 + 2 * p)
         if sums is None or sums[0] == 0:
             raise ValueError("no rows to fit")
         self.n, self.n_event = int(sums[0]), int(sums[1])
@@ -170,7 +209,7 @@ class SparseRows:
                 out += np.bincount(place, entry * (hit - mass * w)[row], minlength=p)
             return out
 
-        gradient = tree_sum(joined, kernel)
+        gradient = tree_sum(joined, kernel, cells=p)
         if self.late:
             scored.unpersist()
         return float(value), np.where(self.flat, 0.0, gradient / self.sd)

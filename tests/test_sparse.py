@@ -31,6 +31,19 @@ def test_entries_are_the_non_zero_cells(spark):
     assert rows.columns == [*df.columns, "x"]
 
 
+def test_the_vocabulary_stays_in_spark(spark):
+    """Terms used to be collected for their places, whatever their number."""
+    words = [f"{i * 7919 % 5000:04d}w" for i in range(5000)]
+    terms = spark.createDataFrame([(i % 50, w, i % 9) for i, w in enumerate(words)], "id long, term string, n long").repartition(7)
+    rows, columns = sparse.sparse_design(spark.range(50).withColumn("v", F.lit(1.0)), ["v"], terms=terms, key="id")
+    entries = sparse.sparse_entries(rows, "id", columns)
+    assert columns._all is None and len(columns) == 5001
+    assert {tuple(r) for r in entries.where("column <> 'v'").collect()} == {(i % 50, w, float(i % 9)) for i, w in enumerate(words) if i % 9}
+    assert entries.where("column = 'v'").count() == 50
+    assert [tuple(r) for r in columns.table().orderBy("_place").collect()] == list(enumerate(["v", *sorted(words)]))
+    assert [c.name for c in columns] == ["v", *sorted(words)] and columns[-1].role == "text"
+
+
 def test_nulls_and_unknown_levels(spark):
     df = spark.createDataFrame([(1, None, "b", 1.0, 1), (2, 1.0, "q", 2.0, 1), (3, 0.0, None, 3.0, 1), (4, 2.0, "a", 4.0, 0), (5, float("nan"), "a", 4.0, 0)], "id int, v double, h string, t double, e int")
     rows, columns = sparse.sparse_design(df, ["v"], {"h": ["a", "b"]})
