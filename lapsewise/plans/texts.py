@@ -263,7 +263,8 @@ FROM b JOIN embeddings USING (vec_id) GROUP BY doc_id""")
 def vector_table_mean(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("term"), "embedding")
     spot = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % vectors.count()
-    counts = _counts(spark, sf).groupBy("doc_id", spot.alias("term")).agg(F.sum("tf").alias("tf"))
+    # dealt by document alone: the counts per vector and the sums need no further shuffle
+    counts = _counts(spark, sf).repartition("doc_id").groupBy("doc_id", spot.alias("term")).agg(F.sum("tf").alias("tf"))
     df = encode.vector_table_mean(counts, vectors, "doc_id")
     return df.select("doc_id", F.round(F.element_at("vector", 1), 6).alias("v1"),
                      F.round(F.element_at("vector", 64), 6).alias("v64"))

@@ -309,6 +309,28 @@ def test_incomplete_rows_take_no_part(spark):
     assert cox.CoxRows(more, "x", 2).left_out() == 5
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 300])
+def test_vector_means_shuffle_no_vectors(spark, part_bytes):
+    """Each pair of a key and a term used to shuffle a vector of its own."""
+    rng = np.random.default_rng(3)
+    vectors = {t: [float(x) for x in rng.normal(size=3)] for t in range(12)}
+    pairs = [(int(k), int(t), int(rng.integers(1, 5))) for k in range(9) for t in rng.choice(14, 6, replace=False)]
+    counts = spark.createDataFrame(pairs, "doc long, term long, tf long").repartition("doc")
+    table = spark.createDataFrame([*vectors.items(), (3, [1.0, None, 0.0])], "term long, embedding array<float>")
+    out = encode.vector_table_mean(counts, table, "doc", part_bytes=part_bytes)
+    rows = [(t, v) for t, v in [*vectors.items(), (3, [1.0, 0.0, 0.0])]]
+    got = {r.doc: r.vector for r in out.collect()}
+    assert set(got) == {k for k, t, _ in pairs if t < 12}
+    for k in got:
+        used = [(n, np.float32(v)) for d, t, n in pairs if d == k for u, v in rows if u == t]
+        assert np.allclose(got[k], sum(n * v.astype(float) for n, v in used) / sum(n for n, _ in used))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ObjectHashAggregate" not in plan and "embedding" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    wrong = spark.createDataFrame([(0, None), (1, [1.0])], "term long, embedding array<float>")
+    with pytest.raises(Exception, match="a vector is null or not of length"):
+        encode.vector_table_mean(counts, wrong, "doc").collect()
+
+
 @pytest.mark.parametrize("tasks", [None, 5])
 def test_large_sums_reach_the_driver_once(spark, monkeypatch, tasks):
     """Every task's whole array used to be collected."""
