@@ -309,6 +309,18 @@ def test_incomplete_rows_take_no_part(spark):
     assert cox.CoxRows(more, "x", 2).left_out() == 5
 
 
+def test_subword_vectors_by_slices(spark, monkeypatch):
+    """A worker used to hold all words of a batch, whatever the length of its texts."""
+    texts = ["red house by the sea", None, "", "  ", "sea " * 9 + "the hill", "a", "red red sea"]
+    assert [list(x) for x in encode.slices(texts, 40)] == [texts[:5], texts[5:]] and [*encode.slices([])] == []
+    assert [len(x) for x in encode.slices(["abc"] * 5, 2)] == [1] * 5
+    df = frame(spark, i=range(len(texts)), t=texts).repartition(1)
+    whole = {r.i: r.v for r in encode.subword_vector(df, "t", 8, name="v").collect()}
+    monkeypatch.setattr(encode, "slices", lambda x: [x[j:j + 2] for j in range(0, len(x), 2)])
+    cut = {r.i: r.v for r in encode.subword_vector(df, "t", 8, name="v").collect()}
+    assert len(whole) == 7 and all(np.allclose(whole[i], cut[i]) for i in whole) and whole[1] == whole[3] == [0.0] * 8
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 300])
 def test_vector_means_shuffle_no_vectors(spark, part_bytes):
     """Each pair of a key and a term used to shuffle a vector of its own."""
