@@ -14,6 +14,7 @@ from lapsewise.functions.stem import stem_word
 from lapsewise.operators import (
     clean, compare, cox, coxnet, degrade, encode, linalg, metrics, pairs, running, split, stats, survival, text,
 )
+from lapsewise.operators.blocks import matrix
 from lapsewise.operators.linalg import DesignColumn
 from lapsewise.operators.survival import SurvSpec
 
@@ -625,3 +626,33 @@ def test_plans_prune_columns_and_run_python_once(spark):
         assert plan_of(plans.QUERIES[name](spark, folder)).split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1, name
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,12)]" in plan_of(plans.QUERIES["threshold_filter"](spark, folder))
     assert "ArrowEvalPython" not in plan_of(plans.QUERIES["pos_filter"](spark, folder))
+
+
+# --- many scores of the same rows -------------------------------------------------------------
+
+@pytest.mark.parametrize("times, limit", [(40, 500_000), (40, 100), (900, 150)])
+def test_score_totals_equal_concordance(spark, times, limit):
+    """Packed scores count the same pairs as the general operator: hot scores, signed zeros, scores that are not numbers, several ranges."""
+    rng = np.random.default_rng(3)
+    t, e, f = rng.integers(0, times, 1500) / 7, rng.integers(0, 2, 1500), rng.integers(0, 2, 1500)
+    x = np.stack([np.where(rng.random(1500) < 0.3, 1.5, rng.random(1500).round(2)), rng.normal(size=1500), np.where(t < 1, -0.0, 0.0)], axis=1)
+    x[7, 1] = np.nan
+    df = frame(spark, t=t, e=e, f=f, x=list(x)).repartition(3).select("t", F.col("e").cast("int"), F.col("f").cast("int"), "x")
+    got = pairs.score_totals(df, lambda b: matrix(b.column(3), 3), np.unique(t[e == 1]), {g: int((f == g).sum()) for g in (0, 1)}, limit)
+    want = metrics.concordance(df.select("t", "e", "f", F.posexplode("x").alias("i", "lp")), "lp", SurvSpec("t", "e"), by=["f", "i"], with_se=False)
+    assert got.orderBy("f", "i").collect() == want.select("f", "i", "concordant", "discordant", "tied").orderBy("f", "i").collect()
+
+
+def test_paths_fit_once_for_all_measures(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    df = frame(spark, time=rng.exponential(np.exp(-x[:, 0])).round(2) + 0.01, event=rng.integers(0, 2, 300), x=list(x), fold=np.arange(300) % 3)
+    cols = [DesignColumn("a", "a"), DesignColumn("b", "b")]
+    surv, how = SurvSpec("time", "event"), {"n_lambda": 4, "min_ratio": 0.1, "fold": "fold"}
+    apart = [coxnet.path(df, cols, surv=surv, measure=m, **how) for m in ("loglik", "C")]
+    made = []
+    monkeypatch.setattr(coxnet, "CoxRows", lambda *a: made.append(1) or cox.CoxRows(*a))
+    both = coxnet.paths(df, cols, ("loglik", "C"), surv=surv, **how)
+    assert len(made) == 1 and [p.cv.measure for p in both] == ["loglik", "C"]
+    for a, b in zip(apart, both):
+        assert np.allclose(a.betas, b.betas) and np.allclose(a.cv.mean, b.cv.mean) and a.cv.lambda_1se == b.cv.lambda_1se
