@@ -628,6 +628,32 @@ def test_plans_prune_columns_and_run_python_once(spark):
     assert "ArrowEvalPython" not in plan_of(plans.QUERIES["pos_filter"](spark, folder))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_closest_by_tiles_equals_brute_force(monkeypatch, metric):
+    monkeypatch.setattr(linalg, "TILE", (7, 9))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 5)).round(1)
+    x[::3], x[1] = x[0], np.nan
+    u = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    ids = np.arange(90) * 2
+    d = np.round(1 - u @ u.T if metric == "cosine" else np.linalg.norm(x[:, None] - x[None], axis=2), 9) + 0.0
+    np.fill_diagonal(d, np.inf)
+    at, near, other = linalg._closest(u, ids, u, ids, 4, metric, True)
+    for i in range(90):
+        want = [] if i == 1 else sorted((v, o) for v, o in zip(d[i], ids) if np.isfinite(v))[:4]
+        assert [o for o in other[at == i]] == [o for _, o in want] and np.allclose(near[at == i], [v for v, _ in want], atol=1e-9)
+
+
+def test_copies_far_from_the_origin_rank_by_key(spark):
+    """Squares of large components lose their last digits; copies are at distance 0 all the same."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 5)) + 1000.0
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = linalg.nearest_neighbours(df, "id", "v", 3, "euclidean", block_rows=4).where("id = 30").orderBy("rank").collect()
+    assert [(r.neighbour, r.distance) for r in got] == [(0, 0.0), (3, 0.0), (6, 0.0)]
+
+
 # --- many scores of the same rows -------------------------------------------------------------
 
 @pytest.mark.parametrize("times, limit", [(40, 500_000), (40, 100), (900, 150)])
