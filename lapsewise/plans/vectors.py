@@ -161,15 +161,18 @@ _TWO = S + """, v AS MATERIALIZED (SELECT obs, CAST(listed_price AS DOUBLE) AS x
  pc AS MATERIALIZED (SELECT obs, s1 * (u * (x - mx) + w * (y - my)) AS pc1, s2 * (-w * (x - mx) + u * (y - my)) AS pc2 FROM v, ax)"""
 
 
-def _two(spark, sf):
-    df = views.survival(spark, sf).select("obs", F.array(F.col("listed_price").cast("double"), F.col("lot_area").cast("double")).alias("v"))
+def _two(spark, sf, again=True):
+    flat = views.survival(spark, sf).select("obs", F.col("listed_price").cast("double").alias("x"), F.col("lot_area").cast("double").alias("y"))
+    if again:  # read for the components and again for the rows: the tables are joined once
+        flat = settle(flat)
+    df = flat.select("obs", F.array("x", "y").alias("v"))
     return df, linalg.pca(df, "v")
 
 
 @query("pca_two_eig", _TWO + """ SELECT 1 AS component, round(l1, 6) AS eigenvalue, round(100 * l1 / (l1 + l2), 6) AS percent, round(100 * l1 / (l1 + l2), 6) AS cumulative FROM ev
 UNION ALL SELECT 2, round(l2, 6), round(100 * l2 / (l1 + l2), 6), 100.0::DOUBLE FROM ev""")
 def pca_two_eig(spark, sf):
-    t = _two(spark, sf)[1].table(spark)
+    t = _two(spark, sf, again=False)[1].table(spark)
     return t.select(*[F.col(c) if c == "component" else _r(c) for c in t.columns])
 
 

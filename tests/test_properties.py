@@ -682,3 +682,12 @@ def test_paths_fit_once_for_all_measures(spark, monkeypatch):
     assert len(made) == 1 and [p.cv.measure for p in both] == ["loglik", "C"]
     for a, b in zip(apart, both):
         assert np.allclose(a.betas, b.betas) and np.allclose(a.cv.mean, b.cv.mean) and a.cv.lambda_1se == b.cv.lambda_1se
+
+
+def test_two_column_components_join_once(spark, monkeypatch):
+    from lapsewise.plans import vectors
+
+    rows = frame(spark, obs=["a", "b", "c"], listed_price=[1.0, 2.0, 4.0]).join(frame(spark, obs=["a", "b", "c"], lot_area=[3.0, 1.0, 2.0]), "obs")
+    monkeypatch.setattr(vectors.views, "survival", lambda *a: rows)
+    out = vectors.pca_two_coords(spark, "")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
