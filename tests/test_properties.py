@@ -12,7 +12,7 @@ from lapsewise.functions import special
 from lapsewise.functions.special import beta_cdf, digamma, trigamma
 from lapsewise.functions.stem import stem_word
 from lapsewise.operators import (
-    clean, compare, cox, coxnet, degrade, encode, linalg, metrics, pairs, running, split, stats, survival, text,
+    clean, compare, cox, coxnet, degrade, encode, grid, linalg, metrics, pairs, running, split, stats, survival, text,
 )
 from lapsewise.operators.blocks import matrix
 from lapsewise.operators.linalg import DesignColumn
@@ -691,3 +691,28 @@ def test_two_column_components_join_once(spark, monkeypatch):
     monkeypatch.setattr(vectors.views, "survival", lambda *a: rows)
     out = vectors.pca_two_coords(spark, "")
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
+
+
+def test_documents_count_their_terms_where_they_are(spark, monkeypatch):
+    rows = [(1, "red red blue"), (2, None), (None, "green red"), (3, "..."), (1, "blue of Grün"), (None, "green"), (4, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    opts = text.options(stemming=False, sparse=0.99)
+    monkeypatch.setattr(text, "COUNTED_TERMS", 2)
+    for some in (docs, docs.where("text like '%blue%' and text not like 'red%' or doc_id > 1")):  # with keys that repeat, and without
+        counts = text.term_counts(some, "doc_id", "text", opts)
+        long = text.document_terms(some, "doc_id", "text", opts).select("doc_id", F.inline("terms"))
+        assert Counter(map(tuple, long.collect())) == Counter(map(tuple, counts.collect()))
+        weights, _ = text.tfidf(some, "doc_id", "text", opts)
+        plain = text.weighted(counts, text.vocabulary(counts, some, 0.99), "doc_id", opts)
+        assert Counter(map(tuple, weights.collect())) == Counter(map(tuple, plain.collect()))
+    assert "Window" not in weights._jdf.queryExecution().toString()
+
+
+def test_term_vectors_need_no_shuffle_of_weights(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red red blue"), (2, "blue green"), (3, "..."), (4, "red green green")], "doc_id long, text string")
+    vectors = lambda: {r.doc_id: r["vector"] for r in encode.embed(docs, "doc_id", "text", "tf-idf", stemming=False, sparse=0.9, low_idf_quantile=0.1).collect()}
+    monkeypatch.setattr(text, "is_small", lambda *_: False)
+    plain = vectors()
+    monkeypatch.undo()
+    monkeypatch.setattr(text, "term_vectors", None)
+    assert vectors() == plain and plain[3] == [0.0] * len(plain[1])
