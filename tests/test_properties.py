@@ -716,3 +716,33 @@ def test_term_vectors_need_no_shuffle_of_weights(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(text, "term_vectors", None)
     assert vectors() == plain and plain[3] == [0.0] * len(plain[1])
+
+
+def test_grid_builds_what_representations_share_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red blue green {'plum ' * (i % 3)}") for i in range(12)], "doc_id long, text string")
+    made = Counter()
+    for module, name in ((text, "document_terms"), (encode, "encode")):
+        def counted(*args, _real=getattr(module, name), _name=name, **more):
+            made[_name] += 1
+            return _real(*args, **more)
+        monkeypatch.setattr(module, name, counted)
+    shared = []
+    for r in (grid.Representation("a", "tf-idf", options={"sparse": 0.7}), grid.Representation("b", "tf-idf", options={"sparse": 0.9, "low_idf_quantile": 0.1}),
+              grid.Representation("c", "encoder", 8, 2), grid.Representation("d", "encoder", 8, "80%"), grid.Representation("e", "encoder", 4)):
+        built, _ = grid.vectors_for(docs, grid.Setting(), r, shared)
+        assert "text" not in built.columns and built.count() == 12
+    assert made == {"document_terms": 1, "encode": 2}
+
+
+def test_encoder_digests_a_token_once(monkeypatch):
+    asked = []
+    real = encode._digest
+    monkeypatch.setattr(encode, "_digest", lambda piece: asked.append(piece) or real(piece))
+    model = encode.HashingEncoder(8)
+    out = model(["a home A b", "", "b home"])
+    assert sorted(asked) == ["a", "b", "home"]
+    want = np.zeros(8)
+    for i, token in enumerate("a home a b".split()):
+        h, sign = real(token)
+        want[h % 8] += (1.0 if sign else -1.0) / np.sqrt(1.0 + i)
+    assert (out[0] == np.tanh(want)).all() and not out[1].any()
