@@ -746,3 +746,16 @@ def test_encoder_digests_a_token_once(monkeypatch):
         h, sign = real(token)
         want[h % 8] += (1.0 if sign else -1.0) / np.sqrt(1.0 + i)
     assert (out[0] == np.tanh(want)).all() and not out[1].any()
+
+
+def test_removal_asks_for_the_wanted_tags_alone(spark):
+    docs = spark.createDataFrame([(1, "He took THAT 12 7th boats , which it 'twas ½ ٣ İt none - one's")], "doc_id long, text string")
+    for remove in (degrade.STUDY_TAGS, ("DET",), ("PRON",), ("NUM",), ("PUNCT", "DET"), ("PROPN",)):
+        for lower in (True, False):
+            fast = degrade.filter_pos_text(F.col("text"), remove=remove, lowercase=lower)
+            source = F.lower("text") if lower else F.col("text")
+            plain = F.array_join(F.filter(degrade.tokens_of(source), lambda t: ~degrade.tag_of(t).isin(list(remove))), " ")
+            row = docs.select(fast.alias("a"), plain.alias("b")).first()
+            assert row.a == row.b
+    removed = docs.select(degrade.filter_pos_text(F.col("text"), remove=degrade.STUDY_TAGS))
+    assert degrade.SIGN_PATTERN not in removed._jdf.queryExecution().optimizedPlan().toString()
