@@ -330,7 +330,7 @@ def drop_stop_words(spark, sf):
 
 @query("rebuild_text", _TOKENS_SQL + _FILTERED.format(where=_REMOVE))
 def rebuild_text(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _docs(spark, sf).repartition("doc_id")  # the texts are dealt out once, their tokens need no further shuffle
     tokens = degrade.annotate(docs, "doc_id", "text")
     return _digest(degrade.filter_pos_tokens(docs, tokens, "doc_id", remove=degrade.STUDY_TAGS, name="out"), "out")
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lapsewise import plans
 from lapsewise.functions import special
 from lapsewise.functions.special import beta_cdf, digamma, trigamma
 from lapsewise.functions.stem import stem_word
@@ -759,3 +760,12 @@ def test_removal_asks_for_the_wanted_tags_alone(spark):
             assert row.a == row.b
     removed = docs.select(degrade.filter_pos_text(F.col("text"), remove=degrade.STUDY_TAGS))
     assert degrade.SIGN_PATTERN not in removed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rebuilt_texts_shuffle_no_tokens(spark, tmp_path):
+    rows = [(1, "a red home", "en", "x"), (2, None, "en", "x"), (3, "the 3 homes", "en", "x"), (4, "the", "en", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = plans.QUERIES["rebuild_text"](spark, str(tmp_path))
+    assert "ObjectHashAggregate" in (plan := out._jdf.queryExecution().executedPlan().toString())
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 2  # texts and keys
+    assert {r.doc_id: r.n_chars for r in out.collect()} == {1: 8, 2: 0, 3: 5, 4: 0}
