@@ -769,3 +769,22 @@ def test_rebuilt_texts_shuffle_no_tokens(spark, tmp_path):
     assert "ObjectHashAggregate" in (plan := out._jdf.queryExecution().executedPlan().toString())
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 2  # texts and keys
     assert {r.doc_id: r.n_chars for r in out.collect()} == {1: 8, 2: 0, 3: 5, 4: 0}
+
+
+def test_typos_draw_for_a_bounded_number_of_characters(spark, monkeypatch):
+    """The draws of one long text, and of all texts of a slice, used to be made together."""
+    words = "The quick brown fox. " * 40
+    rows = [(i, words[: 7 * i % 800] or None) for i in range(60)] + [(None, ""), (60, words)]
+    plain = [degrade.mistype(t, (i, 5, 9), 0.1, 0.5, (0.4, 0.3, 0.15, 0.15)) for i, t in enumerate(t for _, t in rows if t)]
+    seen, draws = [], degrade.counter_draws
+    monkeypatch.setattr(degrade, "counter_draws", lambda at, *k: seen.append(len(at)) or draws(at, *k))
+    monkeypatch.setattr(degrade, "DRAW_CHARS", 64)
+    some = [t for _, t in rows if t]
+    keys = np.array([(i, 5, 9) for i in range(len(some))], dtype=np.int64)
+    assert degrade.mistype_all(some, keys, np.full(len(some), 0.1), 0.5, (0.4, 0.3, 0.15, 0.15)) == plain
+    # a draw per character of a piece; the kinds and choices are drawn for places that are hit
+    assert max(seen[:-2]) <= 64 and sum(seen[:-2]) == sum(map(len, some))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = df.select("doc_id", degrade.typos(F.col("text"), F.col("doc_id"), 0.2).alias("t")).collect()
+    assert [r.t for r in whole if r.doc_id is not None and r.doc_id < 1] == [None] and sum(r.t == "" for r in whole) == 1
+    assert degrade.degrade_levels(df, "doc_id", "text", (0.0, 0.1)).count() == 2 * len(rows)
