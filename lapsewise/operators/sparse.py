@@ -1,13 +1,13 @@
 """Sparse designs and Cox fits over them.
 
-A row holds its non-zero entries only, as sorted places and values. A fit keeps one number per distinct time in a Spark table and
-one number per column on the driver: risk masses are running sums over the table of times, and the gradient is a sum of residuals over
-non-zero entries. Nothing has the size of rows x columns or times x columns.
+A row holds its non-zero entries only, as sorted places and values. A fit keeps a few numbers per distinct time, in arrays or with very many
+times in a Spark table, and one number per column on the driver: risk masses are running sums over the times, and the gradient is a sum of
+residuals over non-zero entries. Nothing has the size of rows x columns or times x columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,8 +133,36 @@ def score_column(x: str, weights: np.ndarray) -> Column:
     return run.asNondeterministic()(F.col(x))
 
 
+# Up to this many distinct times a task adds up its rows per time in arrays; beyond, the times are a Spark table.
+DENSE_TIMES = 1 << 16
+PACKED = "n int, t binary, s binary, e binary, size binary, place binary, value binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``t, s, e, x`` as one row of plain arrays each, so that later passes convert nothing row by row."""
+    for b in batches:
+        _, place, value = _flat(b.column(3))
+        arrays = (numbers(b.column(0)), numbers(b.column(1)), numbers(b.column(2)), np.diff(b.column(3).offsets.to_numpy()).astype(np.int32),
+                  place.astype(np.int32, copy=False), value.astype(float, copy=False))
+        cells = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays]
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), *cells], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``t, s, e`` of the rows of each packed block, then row, place and value of its entries."""
+    for b in batches:
+        for i in range(b.num_rows):
+            t, s, e, size, place, value = (np.frombuffer(b.column(k)[i].as_buffer(), dtype)
+                                           for k, dtype in enumerate((float, float, float, np.int32, np.int32, float), 1))
+            yield t, s, e, np.repeat(np.arange(len(t)), size), place, value
+
+
 class SparseRows:
-    """The complete rows of a fit, ``t, s, e, x``; rows with a null or not-a-number time, event or entry take no part."""
+    """The complete rows of a fit, ``t, s, e, x``; rows with a null or not-a-number time, event or entry take no part.
+
+    They are kept as packed blocks. Only with more than ``DENSE_TIMES`` distinct times are they kept as rows, ``df``, which are joined with a table
+    of times.
+    """
 
     def __init__(self, df: DataFrame, x: str, width: int, surv: SurvSpec = SurvSpec()):
         self.p, self.late = width, surv.start is not None
@@ -142,28 +170,70 @@ class SparseRows:
             F.col(surv.time).cast("double").alias("t"), (F.col(surv.start).cast("double") if self.late else F.lit(0.0)).alias("s"),
             F.col(surv.event).cast("int").alias("e"), F.col(x).alias("x"))
         bad = F.isnan("t") | F.isnan("s") | F.exists("x", lambda c: c["value"].isNull() | F.isnan(c["value"]))
-        self.df = rows.where(F.col("t").isNotNull() & F.col("s").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~bad).persist(StorageLevel.MEMORY_AND_DISK)
-        p = width
+        self.df = rows.where(F.col("t").isNotNull() & F.col("s").isNotNull() & F.col("e").isNotNull() & F.col("x").isNotNull() & ~bad)
+        self.blocks = self.df.mapInArrow(_pack, PACKED).persist(StorageLevel.MEMORY_AND_DISK)
+        p, late = width, self.late
 
         def moments(batches):
-            out = np.zeros(2 + 2 * p)
-            for b in batches:
-                _, place, value = _flat(b.column(3))
-                out[0] += b.num_rows
-                out[1] += numbers(b.column(2)).sum()
+            out = np.zeros(3 + 2 * p)
+            out[-1] = 1.0
+            for t, _, e, _, place, value in _blocks(batches):
+                out[0] += len(t)
+                out[1] += e.sum()
                 out[2:2 + p] += np.bincount(place, value, minlength=p)
-                out[2 + p:] += np.bincount(place, value * value, minlength=p)
+                out[2 + p:-1] += np.bincount(place, value * value, minlength=p)
             return out
 
-        sums = tree_sum(self.df, moments, cells=2 + 2 * p)
+        sums = tree_sum(self.blocks, moments, cells=3 + 2 * p)
         if sums is None or sums[0] == 0:
             raise ValueError("no rows to fit")
-        self.n, self.n_event = int(sums[0]), int(sums[1])
-        sd = np.sqrt(np.maximum(sums[2 + p:] / self.n - (sums[2:2 + p] / self.n) ** 2, 0))
+        self.n, self.n_event, self.tasks = int(sums[0]), int(sums[1]), int(sums[-1])
+        sd = np.sqrt(np.maximum(sums[2 + p:-1] / self.n - (sums[2:2 + p] / self.n) ** 2, 0))
         self.flat = sd <= 1e-12
         self.sd = np.where(self.flat, 1.0, sd)
-        marks = self.df.select("t").union(self.df.select("s")) if self.late else self.df.select("t")
-        self.n_times = marks.distinct().count()
+
+        def marks(batches):
+            for t, s, *_ in _blocks(batches):
+                yield pa.RecordBatch.from_pydict({"t": np.unique(np.concatenate([t, s]) if late else t)})
+
+        times = settle(self.blocks.mapInArrow(marks, "t double").distinct())
+        self.n_times = times.count()
+        self.times = np.sort(times.toArrow()["t"].to_numpy()) if self.n_times <= DENSE_TIMES else None
+        if self.times is None:
+            self.blocks.unpersist()
+            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _dense_likelihood(self, weights: np.ndarray, ties: str) -> tuple[float, np.ndarray]:
+        """Value and gradient by two passes over the blocks, with sums per time in arrays."""
+        times, p, late, k = self.times, self.p, self.late, len(self.times)
+
+        def masses(batches):
+            out = np.zeros((4, k))
+            elp = 0.0
+            for t, s, e, row, place, value in _blocks(batches):
+                lp = np.bincount(row, value * weights[place], minlength=len(t))
+                r, at = np.exp(lp), np.searchsorted(times, t)
+                elp += e @ lp
+                for i, w in enumerate((e, r, e * r)):
+                    out[i] += np.bincount(at, w, minlength=k)
+                if late:
+                    out[3] += np.bincount(np.searchsorted(times, s), r, minlength=k)
+            return np.r_[out.ravel(), elp]
+
+        flat = tree_sum(self.blocks, masses, self.tasks, 4 * k + 1)
+        d, out, e0, into = flat[:-1].reshape(4, k)
+        sums = tie_sums((out[::-1].cumsum() - into[::-1].cumsum())[::-1], e0, d, ties)
+        upto, v = sums.u.cumsum(), sums.v
+
+        def kernel(batches):
+            total = np.zeros(p)
+            for t, s, e, row, place, value in _blocks(batches):
+                mass, at = np.exp(np.bincount(row, value * weights[place], minlength=len(t))), np.searchsorted(times, t)
+                w = upto[at] - e * v[at] - (upto[np.searchsorted(times, s)] if late else 0.0)
+                total += np.bincount(place, value * (e - mass * w)[row], minlength=p)
+            return total
+
+        return float(flat[-1] - sums.log.sum()), tree_sum(self.blocks, kernel, self.tasks, p)
 
     def likelihood(self, beta: np.ndarray, ties: str = "efron") -> tuple[float, np.ndarray]:
         """Log partial likelihood and gradient at coefficients on unit scale, by a fixed number of passes.
@@ -172,6 +242,9 @@ class SparseRows:
         ``v`` is the share that ties at the own time give back.
         """
         weights = np.where(self.flat, 0.0, beta / self.sd)
+        if self.times is not None:
+            value, gradient = self._dense_likelihood(weights, ties)
+            return value, np.where(self.flat, 0.0, gradient / self.sd)
         r, e = F.col("r"), F.col("e").cast("double")
         scored = self.df.withColumn("lp", score_column("x", weights)).select("t", "s", "e", "lp", F.exp("lp").alias("r"))
         zero = F.lit(0.0)
@@ -215,6 +288,7 @@ class SparseRows:
         return float(value), np.where(self.flat, 0.0, gradient / self.sd)
 
     def release(self) -> None:
+        self.blocks.unpersist()
         self.df.unpersist()
 
 

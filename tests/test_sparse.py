@@ -108,3 +108,21 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 
     plan = plans.QUERIES["bucketed_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_few_times_need_no_table_of_times(spark, monkeypatch, late):
+    """Every step used to join the rows with a table of times; with few times it adds up packed rows, to the same value and gradient."""
+    df = homes(spark).withColumn("s", F.col("t") - 1 - F.pmod("id", F.lit(9)))
+    surv = SurvSpec("t", "e", "s" if late else None)
+    rows, _ = sparse.sparse_design(df, ["v"], {"h": ["a", "b", "c"]})
+    beta = np.array([0.3, -0.2, 0.5])
+    monkeypatch.setattr(sparse, "DENSE_TIMES", 0)
+    by_table = sparse.SparseRows(rows, "x", 3, surv)
+    want = by_table.likelihood(beta)
+    monkeypatch.setattr(sparse, "DENSE_TIMES", 1 << 16)
+    monkeypatch.setattr(sparse, "running", None)
+    dense = sparse.SparseRows(rows, "x", 3, surv)
+    got = dense.likelihood(beta)
+    assert by_table.times is None and len(dense.times) == by_table.n_times
+    assert np.isclose(got[0], want[0]) and np.allclose(got[1], want[1], atol=1e-9)
