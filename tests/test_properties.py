@@ -788,3 +788,21 @@ def test_typos_draw_for_a_bounded_number_of_characters(spark, monkeypatch):
     whole = df.select("doc_id", degrade.typos(F.col("text"), F.col("doc_id"), 0.2).alias("t")).collect()
     assert [r.t for r in whole if r.doc_id is not None and r.doc_id < 1] == [None] and sum(r.t == "" for r in whole) == 1
     assert degrade.degrade_levels(df, "doc_id", "text", (0.0, 0.1)).count() == 2 * len(rows)
+
+
+def test_stemming_sends_runs_of_terms_to_python(spark, monkeypatch):
+    """A row of a Python batch used to hold all terms of a text, whatever its length."""
+    long = " ".join(f"walking{'s' * (i % 2)} word{i % 70}" for i in range(100))
+    docs = spark.createDataFrame([(1, long), (1, "Running"), (2, None), (3, ""), (None, "the of"), (None, "jumps jumped")], "doc_id long, text string")
+    found = {(r.doc_id, r.term): r.tf for r in text.term_counts(docs, "doc_id", "text").collect()}
+    whole = docs.select("doc_id", F.explode(text.terms_of(F.col("text"), text.TermOptions())).alias("term")).where("length(term) >= 3").collect()
+    assert found == Counter((r.doc_id, r.term) for r in whole) and found[1, "walk"] == 100 and found[None, "jump"] == 2
+
+    @F.arrow_udf("array<string>")
+    def only_runs(terms):
+        assert max(terms.value_lengths().fill_null(0).to_pylist()) <= 32, "a whole text"
+        return terms
+
+    monkeypatch.setattr(text, "stem_terms", only_runs)
+    raw = text.term_counts(docs, "doc_id", "text").agg(F.sum("tf")).first()[0]
+    assert raw == sum(found.values())
