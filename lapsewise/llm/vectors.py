@@ -6,83 +6,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapsewise.session import settle
 
-from .common import components, table
+from .common import components, table, tidy
 
 AXES = 12        # leading principal dimensions that carry the grid and the boxes
+SCREEN = 23      # leading dimensions that screen pairs, with the length of the rest as one more
 SAMPLE = 4096    # vectors, in expectation, that the dimensions are fitted on; they steer the cost, never the result
-BLOCK = 4096     # vectors in a sequence interval that travels as one row
-LEAF = 256       # intervals are halved down to this many vectors
+BLOCK = 4096     # vectors in a sequence interval, which is one row; up to four times as many where there are many intervals
+LEAF = 512       # intervals are halved down to this many vectors
+SLACK = 1e-5     # far above the rounding of a screened cosine in single precision
+SHARE = 8        # intervals that meet those of another share in one task
 
 
-def _clean(v) -> list | None:
-    """The components of a usable vector; None if it is null, zero or has a null or non-finite component."""
-    if v is None or any(x is None for x in v):
-        return None
-    a = np.asarray(v, dtype=np.float64)
-    return None if not len(a) or not np.isfinite(a).all() or not a.any() else a
+def _usable(vector: Column) -> Column:
+    """Neither null, empty nor zero, without null or non-finite components."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))  # NaN is above all in Spark
+    return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    scaled = rows / np.abs(rows).max(axis=1, keepdims=True)  # no overflow in the squares
+    scaled = rows / np.abs(rows).max(axis=1, keepdims=True).astype(np.float64)  # no overflow in the squares
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _padded(vectors: list, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, :len(v)] = v
+def _padded(vectors: pa.Array, width: int) -> np.ndarray:
+    sizes, flat = vectors.value_lengths().to_numpy(zero_copy_only=False), vectors.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(sizes), width), dtype=flat.dtype)
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
-def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [i for i, v in enumerate(batch.column("vector").to_pylist()) if _clean(v) is not None]
-        yield batch.take(pa.array(keep, pa.int64()))
+def _whole(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _ordered(axes: np.ndarray, eps: float):
-    """Cells on the leading dimensions, as a key that sorts like the tuple of cells."""
+    """Cells on the leading dimensions, as a key that sorts like the tuple of cells. Equal vectors of a batch become one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = _unit(_padded(batch.column("vector").to_pylist(), axes.shape[0])) if batch.num_rows else np.zeros((0, axes.shape[0]))
-            cells = np.floor(unit @ axes / eps).astype(np.int64) + (1 << 15)
-            key = cells.astype(">u2")
+            if not batch.num_rows:
+                continue
+            hashes = np.stack([_whole(batch.column(c)) for c in ("h1", "h2")], axis=1)
+            _, first, group = np.unique(hashes, axis=0, return_index=True, return_inverse=True)
+            ids = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(ids, group.ravel(), _whole(batch.column("id")))
+            few = batch.take(pa.array(first))
+            unit = _unit(_padded(few.column("vector"), len(axes)))
+            at = np.zeros((len(unit), axes.shape[1]))
+            for j, axis in enumerate(axes):  # place by place, so that equal vectors of other batches get this very cell
+                at += unit[:, j:j + 1] * axis
+            key = (np.floor(at / eps).astype(np.int64) + (1 << 15)).astype(">u2")
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([k.tobytes() for k in key], pa.binary())], names=[*batch.schema.names, "cell"])
+                [few.column("h1"), few.column("h2"), pa.array(ids), pa.array(np.bincount(group.ravel(), minlength=len(first))), few.column("vector"),
+                 pa.array([k.tobytes() for k in key], pa.binary())], names=["h1", "h2", "id", "copies", "vector", "cell"])
 
     return run
 
 
-def _blocks(axes: np.ndarray):
-    """Consecutive vectors of a sorted partition as rows of at most ``BLOCK``, with their box on the leading dimensions."""
+def _blocks(axes: np.ndarray, block: int):
+    """Consecutive vectors of a sorted partition as rows of at most ``block``, with their box on the leading dimensions. Equal vectors, which lie side
+    by side, are one with a count."""
     width = axes.shape[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, copies, vectors = [], [], []
-
-        def row() -> pa.RecordBatch:
-            raw = _padded(vectors, width)
-            at = _unit(raw) @ axes
-            return pa.RecordBatch.from_arrays(
-                [pa.array([min(ids)]), pa.array([np.array(ids).tobytes()], pa.binary()), pa.array([np.array(copies).tobytes()], pa.binary()),
-                 pa.array([raw.tobytes()], pa.binary()), pa.array([at.min(axis=0).tolist()], pa.list_(pa.float64())),
-                 pa.array([at.max(axis=0).tolist()], pa.list_(pa.float64()))], names=["block", "ids", "copies", "raw", "low", "high"])
+    def row(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        at = _unit(raw) @ axes
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([x.tobytes()], pa.binary()) for x in (ids, copies, raw)),
+             pa.array([at.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([at.max(axis=0).tolist()], pa.list_(pa.float64()))],
+            names=["ids", "copies", "raw", "low", "high"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for i, n, v in zip(*(batch.column(c).to_pylist() for c in ("id", "copies", "vector"))):
-                ids.append(i)
-                copies.append(n)
-                vectors.append(v)
-                if len(ids) == BLOCK:
-                    yield row()
-                    ids, copies, vectors = [], [], []
-        if ids:
-            yield row()
+            if not batch.num_rows:
+                continue
+            more = [*(_whole(batch.column(c)) for c in ("h1", "h2", "id", "copies")), _padded(batch.column("vector"), width)]
+            held = more if held is None else [np.concatenate(x) for x in zip(held, more)]
+            h1, h2, ids, copies, raw = held
+            starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            held = [h1[starts], h2[starts], np.minimum.reduceat(ids, starts), np.add.reduceat(copies, starts), raw[starts]]
+            while len(held[0]) > block:  # the last one may go on in the next batch
+                yield row(*(x[:block] for x in held[2:]))
+                held = [x[block:] for x in held]
+        if held is not None:
+            yield row(*held[2:])
 
     return run
 
@@ -100,23 +113,19 @@ def _roots(links: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-class _Join:
-    """Join of two sequence intervals by halving; intervals whose boxes lie apart are skipped."""
+class _Side:
+    """A sequence interval: its unit vectors, their places on the leading dimensions, and what screens their pairs.
 
-    def __init__(self, left: tuple, right: tuple | None, axes: np.ndarray, least: float, eps: float):
-        self.least, self.eps = least, eps * (1 + 1e-9)
-        self.self_join = right is None
-        sides = [left] if right is None else [left, right]
-        self.raw = np.concatenate([s[2] for s in sides])
-        self.ids = np.concatenate([s[0] for s in sides])
-        self.copies = np.concatenate([s[1] for s in sides])
-        self.unit = _unit(self.raw)
-        self.at = self.unit @ axes
-        self.links = np.zeros(len(self.ids), dtype=np.int64)
-        self.kept: list[np.ndarray] = []
-        n = len(left[0])
+    The leading dimensions of two unit vectors and the lengths of what is left of them, multiplied out, are never below their cosine.
+    """
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, axes: np.ndarray):
+        self.ids, self.copies, self.raw, self.unit = ids, copies, raw, _unit(raw)
+        at = self.unit @ axes
+        rest = np.sqrt(np.maximum(1 - (at * at).sum(axis=1, keepdims=True), 0))
+        self.screen = np.concatenate([at, rest], axis=1).astype(np.float32)
+        self.at = np.ascontiguousarray(at[:, :AXES])
         self.boxes: dict = {}
-        self.visit((0, n), (0, n) if right is None else (n, len(self.ids)))
 
     def box(self, span: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         if span not in self.boxes:
@@ -124,8 +133,21 @@ class _Join:
             self.boxes[span] = at.min(axis=0), at.max(axis=0)
         return self.boxes[span]
 
+
+class _Join:
+    """Join of two sequence intervals by halving; intervals whose boxes lie apart are skipped."""
+
+    def __init__(self, left: _Side, right: _Side | None, least: float, eps: float):
+        self.least, self.eps = least, eps * (1 + 1e-9)
+        self.left, self.right, self.alone = left, right or left, right is None
+        sides = [left] if self.alone else [left, right]
+        self.ids, self.copies = (np.concatenate([getattr(s, k) for s in sides]) for k in ("ids", "copies"))
+        self.links = np.zeros(len(self.ids), dtype=np.int64)
+        self.kept: list[np.ndarray] = []
+        self.visit((0, len(left.ids)), (0, len(self.right.ids)))
+
     def visit(self, a: tuple[int, int], b: tuple[int, int]) -> None:
-        (a_low, a_high), (b_low, b_high) = self.box(a), self.box(b)
+        (a_low, a_high), (b_low, b_high) = self.left.box(a), self.right.box(b)
         apart = np.maximum(0.0, np.maximum(a_low - b_high, b_low - a_high))
         if (apart * apart).sum() > self.eps ** 2:
             return
@@ -134,21 +156,32 @@ class _Join:
         halves = [[s] if s[1] - s[0] <= LEAF else [(s[0], sum(s) // 2), (sum(s) // 2, s[1])] for s in (a, b)]
         for x in halves[0]:
             for y in halves[1]:
-                if a != b or x <= y:  # within one interval each pair of halves once
+                if not self.alone or a != b or x <= y:  # within one interval each pair of halves once
                     self.visit(x, y)
 
-    def leaf(self, a: tuple[int, int], b: tuple[int, int]) -> None:
-        cos = self.unit[a[0]:a[1]] @ self.unit[b[0]:b[1]].T
+    def near(self, a: tuple[int, int], b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the linked pairs, decided in double precision; the screen only says which pairs cannot be."""
+        bound = self.left.screen[a[0]:a[1]] @ self.right.screen[b[0]:b[1]].T
+        if bound.max() < self.least - SLACK:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        r, c = np.nonzero(bound >= self.least - SLACK)
+        if 16 * len(r) > bound.size:
+            cos = (self.left.unit[a[0]:a[1]] @ self.right.unit[b[0]:b[1]].T)[r, c]
+        else:
+            cos = np.einsum("ij,ij->i", self.left.unit[a[0] + r], self.right.unit[b[0] + c])
         linked = cos >= self.least
-        for r, c in np.argwhere(np.abs(cos - self.least) < 1e-9):  # at the edge by the plain formula
-            x, y = self.raw[a[0] + r], self.raw[b[0] + c]
-            linked[r, c] = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= self.least
-        if a == b:
-            linked = np.triu(linked, 1)
-        r, c = np.nonzero(linked)
+        for i in np.flatnonzero(np.abs(cos - self.least) < 1e-9):  # at the edge by the plain formula
+            x, y = self.left.raw[a[0] + r[i]].astype(np.float64), self.right.raw[b[0] + c[i]].astype(np.float64)
+            linked[i] = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)) >= self.least
+        if self.alone and a == b:
+            linked &= r < c
+        return r[linked] + a[0], c[linked] + b[0]
+
+    def leaf(self, a: tuple[int, int], b: tuple[int, int]) -> None:
+        r, c = self.near(a, b)
         if not len(r):
             return
-        r, c = r + a[0], c + b[0]
+        c = c if self.alone else c + len(self.left.ids)
         np.add.at(self.links, r, self.copies[c])
         np.add.at(self.links, c, self.copies[r])
         nodes, pos = np.unique(np.concatenate([r, c]), return_inverse=True)
@@ -164,18 +197,21 @@ class _Join:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[has]), pa.array(self.links[has]), pa.array(least[root][has])], names=["id", "links", "near"])
 
 
-def _join(axes: np.ndarray, least: float, eps: float):
+def _join(axes: np.ndarray, least: float, eps: float, kind: str):
     width = axes.shape[0]
 
-    def side(batch: pa.RecordBatch, i: int, k: str) -> tuple:
-        ids, copies, raw = (np.frombuffer(batch.column(c + k)[i].as_buffer(), dtype=t) for c, t in (("ids", np.int64), ("copies", np.int64), ("raw", np.float64)))
-        return ids, copies, raw.reshape(-1, width)
+    def side(batch: pa.RecordBatch, i: int, k: str) -> _Side:
+        ids, copies, raw = (np.frombuffer(batch.column(c + k)[i].as_buffer(), dtype=t) for c, t in (("ids", np.int64), ("copies", np.int64), ("raw", kind)))
+        return _Side(ids, copies, raw.reshape(-1, width), axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                alone = batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py()
-                yield _Join(side(batch, i, "_a"), None if alone else side(batch, i, "_b"), axes, least, eps).rows()
+                a, b = (batch.column(c)[i].as_py() for c in ("block_a", "block_b"))
+                if a != at:  # it meets one after the other
+                    at, left = a, side(batch, i, "_a")
+                yield _Join(left, None if a == b else side(batch, i, "_b"), least, eps).rows()
 
     return run
 
@@ -184,49 +220,47 @@ def link_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     """Links by cosine and their components: ``vec_id, n_links, component_id, kept``, one row per input row.
 
     Unit vectors at cosine c lie sqrt(2 - 2c) apart, the side of the grid. Vectors are sorted by their cells on the leading principal
-    dimensions (ties by hash) and cut into sequence intervals. Pairs of intervals whose boxes are near are
-    joined by recursive halving with the same test; leaves are compared in double precision. A pair task
+    dimensions (ties by hash) and cut into sequence intervals, which are stored once. Pairs of intervals whose boxes are near are
+    joined by recursive halving with the same test; leaves are screened in single precision and compared in double precision. Tasks read the
+    two shares of intervals they join from where these are stored, so no interval is copied for its pairs. A pair
     returns a count and a nearest root per vector, never its links. Equal vectors are one vector with a count until the end, so
     a group of copies costs nothing. Vectors that are null, zero or hold null or non-finite components,
     and rows without an id, link with nothing (their component is their own id); shorter vectors are padded with zeros; repeated rows
     link as copies do. An empty table gives an empty result.
     """
     eps = float(np.sqrt(2 - 2 * least))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    known = rows.where("id IS NOT NULL").mapInArrow(_usable, "id long, vector array<double>")
+    kind = "float" if vectors.select(vector_col).schema[0].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     # -0.0 and 0.0 are one value for a hash of doubles in Spark, so copies meet whatever the sign of their zeros
-    keyed = settle(known.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(seed), "vector")))
-    width = keyed.agg(F.max(F.size("vector"))).first()[0]
-    if width is None:
+    wide = F.col("vector").cast("array<double>")
+    keyed = rows.where(F.col("id").isNotNull() & _usable(F.col("vector"))).withColumn("h1", F.xxhash64(wide)).withColumn("h2", F.xxhash64(F.lit(seed), wide))
+    # vectors themselves travel once, to their intervals
+    single = settle(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max(F.size("vector")).alias("width")))
+    n, width = single.agg(F.count("*"), F.max("width")).first()
+    if not n:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    single = settle(keyed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("vector", "id").alias("vector")))
-    n = single.count()
-    drawn = single.where(F.pmod(F.xxhash64("h1", F.lit(seed)), F.lit(max(1, -(-n // SAMPLE)))) == 0).select("vector").collect()
-    unit = _unit(_padded([r.vector for r in drawn], width)) if drawn else np.eye(width)
+    drawn = keyed.where(F.pmod(F.xxhash64("h1", F.lit(seed)), F.lit(max(1, -(-n // SAMPLE)))) == 0).dropDuplicates(["h1", "h2"]).select(wide.alias("vector")).collect()
+    unit = _unit(_padded(pa.array([r.vector for r in drawn], pa.list_(pa.float64())), width)) if drawn else np.eye(width)
     centred = unit - unit.mean(axis=0)
-    axes = np.ascontiguousarray(np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :AXES])
+    screen = np.ascontiguousarray(np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :SCREEN])
+    axes = np.ascontiguousarray(screen[:, :AXES])
 
-    cells = single.mapInArrow(_ordered(axes, eps), "h1 long, h2 long, id long, copies long, vector array<double>, cell binary")
-    parts = max(1, -(-n // BLOCK))
+    cells = keyed.mapInArrow(_ordered(axes, eps), f"h1 long, h2 long, id long, copies long, vector array<{kind}>, cell binary")
+    block = min(max(n // 64, BLOCK), 4 * BLOCK)
+    parts = -(-n // block)
     blocks = settle(
-        cells.repartitionByRange(parts, "cell", "h1").sortWithinPartitions("cell", "h1").select("id", "copies", "vector")
-        .mapInArrow(_blocks(axes), "block long, ids binary, copies binary, raw binary, low array<double>, high array<double>"))
-    # interval pairs: they share a cell of the two first dimensions, one side widened, and their boxes are near
-    cell = lambda c, k: F.floor(F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) / eps)
-    boxes = blocks.select("block", "low", "high")
-    own = boxes.select("block", "low", "high", F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("c"))
-    wide = boxes.select(F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"),
-                        F.explode(F.sequence(cell("low", 0) - 1, cell("high", 0) + 1)).alias("c"))
-    gaps = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("low_b", "high_b"), lambda p, q: F.greatest(F.lit(0.0), p["low"] - q["high_b"], q["low_b"] - p["high"]))
+        cells.repartitionByRange(parts, "cell", "h1", "h2").sortWithinPartitions("cell", "h1", "h2").coalesce(parts)
+        .mapInArrow(_blocks(axes, block), "ids binary, copies binary, raw binary, low array<double>, high array<double>")
+        .withColumn("block", F.monotonically_increasing_id()))
+    tidy(vectors.sparkSession)
+    # pairs of intervals: their boxes are near
+    shares = blocks.coalesce(max(min(parts, SHARE), -(-parts // SHARE)))
+    named = lambda k: shares.select(*[F.col(c).alias(c + k) for c in ("block", "ids", "copies", "raw", "low", "high")])
+    gaps = F.zip_with(F.arrays_zip("low_a", "high_a"), F.arrays_zip("low_b", "high_b"), lambda p, q: F.greatest(F.lit(0.0), p["low_a"] - q["high_b"], q["low_b"] - p["high_a"]))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = (
-        own.join(wide, "c").where(F.col("block") <= F.col("block_b")).where(apart <= eps * eps * (1 + 1e-9))
-        .select(F.col("block").alias("block_a"), "block_b").distinct()
-    )
-    named = lambda k: blocks.select(*[F.col(c).alias(c + k) for c in ("block", "ids", "copies", "raw")])
-    wanted = pairs.join(named("_a"), "block_a").join(named("_b"), "block_b").repartition(max(2 * parts, 12), "block_a", "block_b")
-    found = settle(wanted.select("block_a", "ids_a", "copies_a", "raw_a", "block_b", "ids_b", "copies_b", "raw_b")
-                   .mapInArrow(_join(axes, least, eps), "id long, links long, near long"))
+    near = (F.col("block_a") <= F.col("block_b")) & (apart <= eps * eps * (1 + 1e-9))
+    found = settle(named("_a").join(named("_b").hint("shuffle_replicate_nl"), near).select("block_a", "ids_a", "copies_a", "raw_a", "block_b", "ids_b", "copies_b", "raw_b")
+                   .mapInArrow(_join(screen, least, eps, "f4" if kind == "float" else "f8"), "id long, links long, near long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("near").alias("b")))
     solved = (

@@ -160,3 +160,30 @@ def test_no_pairs_are_collected(spark):
     """A group of copies meets as one vector with a count."""
     df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert vectors.link_vectors(df).select("n_links", "component_id").distinct().collect() == [(2999, 0)]
+
+
+def test_intervals_are_not_copied_for_their_pairs(spark, monkeypatch):
+    """Every pair of intervals used to shuffle both of them, so the disk in use grew with the square of the table."""
+    plans = []
+
+    def settle(df, plain=vectors.settle):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(vectors, "settle", settle)
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    base, side = rng.normal(size=(2, 300, 30))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = 0.95 + np.where(np.arange(300) % 2, 1e-7, -1e-7) * rng.integers(0, 30, 300)  # closer to the edge than single precision tells
+    near = cos[:, None] * base + np.sqrt(1 - cos[:, None] ** 2) * side
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([*base, *near])]
+    rows += [(600 + i, rows[7][1]) for i in range(50)]  # copies, dealt over all tasks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    n, roots = plain_vectors(rows, 0.95)
+    got = {r.vec_id: r for r in vectors.link_vectors(df).collect()}
+    assert {i: r.n_links for i, r in got.items()} == n and {i: r.component_id for i, r in got.items()} == roots
+    joins = [p for p in plans if "raw_b" in p]
+    assert joins and not any("Exchange" in p for p in joins)
