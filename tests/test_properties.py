@@ -806,3 +806,35 @@ def test_stemming_sends_runs_of_terms_to_python(spark, monkeypatch):
     monkeypatch.setattr(text, "stem_terms", only_runs)
     raw = text.term_counts(docs, "doc_id", "text").agg(F.sum("tf")).first()[0]
     assert raw == sum(found.values())
+
+
+def test_word_grams_are_hashed_side_by_side(monkeypatch):
+    """Every n-gram of every word used to be hashed by a call of its own."""
+    import hashlib
+    import random
+
+    from lapsewise.functions import digest
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh<>éß日🙂", k=rng.choice([1, 2, 5, 9, 30, 53, 70]))) for _ in range(300)]
+    places = {}
+
+    def place(gram):
+        h = hashlib.md5(gram.encode()).hexdigest()
+        return places.setdefault(gram, (int(h[:8], 16) % 10, 2 * (int(h[8], 16) % 2) - 1))
+
+    want = np.zeros((len(words), 10))
+    for i, word in enumerate(words):
+        marked = f"<{word}>"
+        for gram in [marked[j:j + n] for n in range(3, 7) for j in range(len(marked) - n + 1)] + [marked]:
+            at, sign = place(gram)
+            want[i, at] += sign
+    norm = np.sqrt((want ** 2).sum(1, keepdims=True))
+    want /= np.where(norm > 0, norm, 1.0)
+    real, asked = hashlib.md5, []
+    monkeypatch.setattr(hashlib, "md5", lambda x: asked.append(x) or real(x))
+    seen = digest.Digests(6)
+    for _ in range(2):  # also with a full table
+        assert np.array_equal(encode.word_vectors(words, 10, 3, 6, seen), want)
+    assert asked and all(len(x) > digest.LONGEST for x in asked)
+    assert encode.word_vectors([], 10, 3, 6, seen).shape == (0, 10)
