@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import DETERMINERS, ENGLISH_STOPWORDS, NEARBY_KEYS, PRONOUNS
 from ..operators import degrade, encode, sparse, stats, text
-from ..session import settle
+from ..session import settle, shuffle_width
 from ..sources import views
 from ..sources.tables import table
 from .registry import query
@@ -263,8 +263,10 @@ FROM b JOIN embeddings USING (vec_id) GROUP BY doc_id""")
 def vector_table_mean(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("term"), "embedding")
     spot = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint") % vectors.count()
-    # dealt by document alone: the counts per vector and the sums need no further shuffle
-    counts = _counts(spark, sf).repartition("doc_id").groupBy("doc_id", spot.alias("term")).agg(F.sum("tf").alias("tf"))
+    # texts are dealt by document: the counts, the counts per vector and the sums need no further shuffle
+    docs = _docs(spark, sf)
+    docs = docs.repartition(max(shuffle_width(spark), docs.rdd.getNumPartitions()), "doc_id")
+    counts = text.term_counts(docs, "doc_id", "text", text.options(**_PLAIN)).groupBy("doc_id", spot.alias("term")).agg(F.sum("tf").alias("tf"))
     df = encode.vector_table_mean(counts, vectors, "doc_id")
     return df.select("doc_id", F.round(F.element_at("vector", 1), 6).alias("v1"),
                      F.round(F.element_at("vector", 64), 6).alias("v64"))

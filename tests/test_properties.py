@@ -838,3 +838,23 @@ def test_word_grams_are_hashed_side_by_side(monkeypatch):
         assert np.array_equal(encode.word_vectors(words, 10, 3, 6, seen), want)
     assert asked and all(len(x) > digest.LONGEST for x in asked)
     assert encode.word_vectors([], 10, 3, 6, seen).shape == (0, 10)
+
+
+def test_vector_means_store_no_counts(spark, monkeypatch):
+    """With more than one part the counts, and a sum per key and part, used to be checkpointed; odd rows count as in a join."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, eager=True: pytest.fail("rows are stored"))
+    monkeypatch.setattr(encode, "PAIRS", 7)
+    rng = np.random.default_rng(5)
+    pairs = [(int(k), f"t{t}", int(rng.integers(1, 5))) for k in range(9) for t in rng.choice(14, 6)]
+    pairs += [(None, "t1", 2), (None, "t2", None), (20, None, 3), (21, "t3", None), (22, "absent", 1)]
+    vectors = [(f"t{t}", [float(x) for x in rng.normal(size=3)]) for t in range(13)]
+    vectors += [("t3", [1.0, None, 0.0]), ("t3", [0.5, 0.5, 0.5]), (None, [1.0, 1.0, 1.0]), ("never used", None), ("nor this", [2.0])]
+    counts = spark.createDataFrame(pairs, "doc long, term string, tf int")
+    table = spark.createDataFrame(vectors, "term string, embedding array<double>")
+    one, many = ({r.doc: r.vector for r in encode.vector_table_mean(counts, table, "doc", part_bytes=b).collect()} for b in (1 << 20, 200))
+    assert set(one) == set(many) == {*range(9), None, 21} and many[21] == one[21] == [None] * 3
+    assert all(np.allclose(one[k], many[k], rtol=1e-12) for k in one if k != 21)
+    nothing = encode.vector_table_mean(counts.limit(0), table, "doc", part_bytes=200)
+    assert nothing.collect() == [] and nothing.schema == encode.vector_table_mean(counts, table, "doc").schema
+    with pytest.raises(Exception, match="a vector is null or not of length"):
+        encode.vector_table_mean(counts.union(spark.createDataFrame([(1, "never used", 1)], "doc long, term string, tf int")), table, "doc", part_bytes=200).collect()
