@@ -858,3 +858,23 @@ def test_vector_means_store_no_counts(spark, monkeypatch):
     assert nothing.collect() == [] and nothing.schema == encode.vector_table_mean(counts, table, "doc").schema
     with pytest.raises(Exception, match="a vector is null or not of length"):
         encode.vector_table_mean(counts.union(spark.createDataFrame([(1, "never used", 1)], "doc long, term string, tf int")), table, "doc", part_bytes=200).collect()
+
+
+def test_small_tasks_of_a_fit_are_joined(spark, monkeypatch):
+    """Every partition used to bring its own sums per event time, however few its rows were."""
+    rng = np.random.default_rng(6)
+    rows = [(float(t), int(e), [float(x) for x in v]) for t, e, v in zip(rng.exponential(4, 400).round(1) + 0.1, rng.integers(0, 2, 400), rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "sale_time double, event int, x array<double>").repartition(30)
+    cols = [DesignColumn("a", "a", "num"), DesignColumn("b", "b", "num")]
+    cores, cached = spark.sparkContext.defaultParallelism, lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = cached()
+    prepared = cox.CoxRows(df, "x", 2)
+    assert prepared.tasks == prepared.df.rdd.getNumPartitions() == cores
+    one = cox.fit(df, cols, rows=prepared)
+    prepared.release()
+    assert cached() == before
+    monkeypatch.setattr(cox, "TASK_BYTES", 1)
+    apart = cox.CoxRows(df, "x", 2)
+    assert apart.tasks == apart.df.rdd.getNumPartitions() == 30
+    assert np.allclose(cox.fit(df, cols, rows=apart).beta, one.beta, rtol=1e-9)
+    apart.release()
